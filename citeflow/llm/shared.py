@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,6 +43,11 @@ def hash64(*cols: Column | str) -> Column:
     return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 63) - 1))
 
 
+def worker_memory() -> dict:
+    """A dictionary that lives as long as the Python worker, for caches that tasks may share."""
+    return sys.modules.setdefault("_worker_memory", types.ModuleType("_worker_memory")).__dict__
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -3,67 +3,106 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeflow.llm.shared import block_offsets, materialise
+from citeflow.llm.shared import block_offsets, materialise, worker_memory
 
 WORD_BPE = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; beyond it both caches start anew, which changes no result.
-CACHE_WORDS = 400_000
-#: The tokenizer's own pre-tokenisation (fixed values of its file), for text below U+0250.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-_NOT_PLAIN = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
+#: Words of one generation of a worker's cache: when it is full it becomes the old one, which the next replaces.
+CACHE_WORDS = 300_000
+#: Bytes of text that are encoded at once (one text at least).
+SLICE = 16_000_000
+#: Text with other characters is encoded whole (composition, case or space could differ from Arrow's there).
+_NOT_PLAIN = "[\\x1c-\\x1f\\x{130}]|[^\\x00-\\x{24F}]"
+
+
+def plain_pieces() -> re.Pattern[str]:
+    """The tokenizer's own pre-tokenisation (a fixed value of its file), spelt out for what is below U+0250."""
+    below = [chr(c) for c in range(0x250)]
+    letters, numbers = ("".join(re.escape(c) for c in below if unicodedata.category(c)[0] == kind) for kind in "LN")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
 
 
 class WordTokenizer:
     """Ids by a word-level BPE file, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
-    No token of this vocabulary crosses white space, and a word's ids do not depend on its neighbours,
-    so the ids of words seen before come from a cache. Text with a character from U+0250 on (where
-    composition or case could differ from Python's) is encoded whole. Special tokens' strings in a text
-    are ordinary text.
+    Its model turns a piece (a run of letters, a digit, a run of other signs) into ids whatever its
+    neighbours are. So the words of many texts are split and numbered together by Arrow, each different
+    word is looked up or encoded once, and the texts' ids are gathered by word number. Special tokens'
+    strings in a text are ordinary text.
     """
 
     def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
         self.full.encode_special_tokens = True
-        self.pieces = regex.compile(PIECES)
-        self.words: dict[str, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
-
-    def _whole(self, text: str) -> list[int]:
-        return self.full.encode(text, add_special_tokens=False).ids
-
-    def _word(self, word: str) -> list[int]:
-        ids: list[int] = []
-        for part in self.pieces.findall(word.lower()):
-            got = self.parts.get(part)
-            if got is None:
-                got = self.parts[part] = self._whole(part)
-            ids += got
-        self.words[word] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        if _NOT_PLAIN.search(text):
-            return self._whole(text)
-        if len(self.words) > CACHE_WORDS or len(self.parts) > CACHE_WORDS:
-            self.words.clear()
-            self.parts.clear()
-        seen, out = self.words.get, []
-        for word in text.split():
-            ids = seen(word)
-            out += self._word(word) if ids is None else ids
-        return out
+        self.pieces = plain_pieces().findall
+        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.full.model
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            parts = []
+            for piece in self.pieces(word):
+                mapped = piece if piece.isascii() else self.to_bytes.pre_tokenize_str(piece)[0][0]
+                parts += [t.id.to_bytes(2, "little") for t in self.model.tokenize(mapped)]
+            got = b"".join(parts)
+        self.young[word] = got
+        return got
+
+    def encode_whole(self, text: str) -> np.ndarray:
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u2")
+
+    def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids (unsigned 16-bit) of each text; null is empty."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _NOT_PLAIN)
+        words = pc.utf8_split_whitespace(pc.utf8_lower(texts.filter(pc.invert(odd))))
+        flat = pc.list_flatten(words)
+        coded = flat.dictionary_encode()
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        seen, miss = self.young.get, self._word
+        known = [seen(w) or (miss(w) if w else b"") for w in coded.dictionary.to_pylist()]
+        size = np.array([len(k) // 2 for k in known], np.int64)
+        ids, first = np.frombuffer(b"".join(known), "<u2"), np.cumsum(size) - size
+        number = coded.indices.to_numpy()
+        length = size[number]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = ids[np.repeat(first[number] - ends[:-1], length) + np.arange(ends[-1])]
+        borders = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())]).astype(np.int64)]
+        plain = iter([ids[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)])
+        return [self.encode_whole(texts[i].as_py()) if o else next(plain) for i, o in enumerate(odd.to_pylist())]
+
+
+def by_bytes(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about SLICE bytes in ``column``."""
+    if not batch.num_rows:
+        return
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(SLICE, total[-1], SLICE), "right"), [batch.num_rows]]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(int(a), int(b - a))
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """This worker's tokenizer, which keeps what it learned from one task to the next."""
+    kept = worker_memory()
+    if path not in kept:
+        kept[path] = WordTokenizer(path)
+    return kept[path]
 
 
 def token_table(docs: DataFrame, *, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,22 +116,18 @@ def token_table(docs: DataFrame, *, tokenizer_path: str, end_id: int, id_col: st
         raise ValueError("ids must fit 16 bits")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, local, tok = TaskContext.get().partitionId(), 0, WordTokenizer(tokenizer_path)
+        part, local, tok = TaskContext.get().partitionId(), 0, worker_tokenizer(tokenizer_path)
         if tok.full.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        for batch in batches:
-            packed, starts, counts = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = tok.encode(text or "")
-                ids.append(end_id)
-                packed.append(np.array(ids, "<u2").tobytes())
-                starts.append(local)
-                counts.append(len(ids))
-                local += len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([part] * len(packed), pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
-                names=[id_col, "_part", "_local", "_n", "_ids"],
-            )
+        end = end_id.to_bytes(2, "little")
+        for whole in batches:
+            for batch in by_bytes(whole, 1):
+                packed = [ids.tobytes() + end for ids in tok.encode_many(batch.column(1))]
+                counts = np.array([len(p) // 2 for p in packed], np.int64)
+                starts = local + np.cumsum(counts) - counts
+                local += int(counts.sum())
+                columns = [batch.column(0), pa.array(np.full(len(packed), part, np.int64)), pa.array(starts), pa.array(counts), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "_part", "_local", "_n", "_ids"])
 
     schema = f"{id_col} {kind.simpleString()}, _part long, _local long, _n long, _ids binary"
     return materialise(docs.select(id_col, text_col).mapInArrow(encode, schema), "tokens")
@@ -120,19 +155,20 @@ def cut_pieces(tokens: DataFrame, length: int, *, id_col: str = "doc_id") -> Dat
     names = [id_col, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, cols = [], [[] for _ in range(6)]
-            for i, (at, n, raw) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                ids, done = np.frombuffer(raw, "<u2").astype("<u4"), 0
-                while done < n:
-                    seq, off = divmod(at + done, length)
-                    size = min(n - done, length - off)
-                    rows.append(i)
-                    for col, value in zip(cols, (done, size, n, seq, off, ids[done : done + size].tobytes()), strict=True):
-                        col.append(value)
-                    done += size
-            arrays = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for whole in batches:
+            for batch in by_bytes(whole, 3):
+                rows, cols = [], [[] for _ in range(6)]
+                for i, (at, n, raw) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                    ids, done = np.frombuffer(raw, "<u2").astype("<u4"), 0
+                    while done < n:
+                        seq, off = divmod(at + done, length)
+                        size = min(n - done, length - off)
+                        rows.append(i)
+                        for col, value in zip(cols, (done, size, n, seq, off, ids[done : done + size].tobytes()), strict=True):
+                            col.append(value)
+                        done += size
+                arrays = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = f"{id_col} {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     return with_offsets(tokens).select(id_col, "_start", "_n", "_ids").mapInArrow(cut, schema)
