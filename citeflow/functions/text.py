@@ -87,7 +87,7 @@ def contains_term(text: Column, term: Column) -> Column:
 def evidence_key(c: Column) -> Column:
     """Evidence text without quotes around it, or a comma or backslash after it."""
     inner = F.regexp_replace(collapse(c), '^"+|"+$', "")
-    return F.trim(F.rtrim(F.regexp_replace(F.regexp_replace(inner, r"\\+$", ""), ",+$", "")))
+    return F.trim(F.regexp_replace(inner, r"[\\,]+$", ""))
 
 
 def evidence_windows(c: Column, size: int) -> Column:
