@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeflow.llm.shared import hash64, materialise
+from citeflow.llm.shared import hash64, materialise, worker_memory
 
 _WORD = re.compile(r"\w+")
 #: Columns of a set-by-n-gram matrix that are held at once.
@@ -54,14 +54,14 @@ class Shingler:
     """
 
     def __init__(self, n: int):
-        self.n, self.cache = n, {}
+        self.n, self.cache = n, worker_memory().setdefault("word hashes", {})
         with np.errstate(over="ignore"):
             self.place = _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def _hash(self, word: str) -> int:
         import xxhash
 
-        if len(self.cache) > 500_000:
+        if len(self.cache) > 200_000:
             self.cache.clear()
         h = self.cache[word] = xxhash.xxh64_intdigest(word)
         return h
