@@ -17,9 +17,9 @@ from citeflow.llm.shared import block_offsets, materialise, worker_memory
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words of one generation of a worker's cache: when it is full it becomes the old one, which the next replaces.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 #: Bytes of text that are encoded at once (one text at least).
-SLICE = 16_000_000
+SLICE = 2_000_000
 #: Text with other characters is encoded whole (composition, case or space could differ from Arrow's there).
 _NOT_PLAIN = "[\\x1c-\\x1f\\x{130}]|[^\\x00-\\x{24F}]"
 
@@ -76,12 +76,12 @@ class WordTokenizer:
             self.young, self.old = {}, self.young
         seen, miss = self.young.get, self._word
         known = [seen(w) or (miss(w) if w else b"") for w in coded.dictionary.to_pylist()]
-        size = np.array([len(k) // 2 for k in known], np.int64)
-        ids, first = np.frombuffer(b"".join(known), "<u2"), np.cumsum(size) - size
+        size = np.array([len(k) // 2 for k in known], np.int32)
+        ids, first = np.frombuffer(b"".join(known), "<u2"), np.cumsum(size, dtype=np.int32) - size
         number = coded.indices.to_numpy()
         length = size[number]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        ids = ids[np.repeat(first[number] - ends[:-1], length) + np.arange(ends[-1])]
+        ends = np.concatenate([[0], np.cumsum(length, dtype=np.int32)]).astype(np.int32)
+        ids = ids[np.repeat(first[number] - ends[:-1], length) + np.arange(ends[-1], dtype=np.int32)]
         borders = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())]).astype(np.int64)]
         plain = iter([ids[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)])
         return [self.encode_whole(texts[i].as_py()) if o else next(plain) for i, o in enumerate(odd.to_pylist())]
@@ -128,6 +128,8 @@ def token_table(docs: DataFrame, *, tokenizer_path: str, end_id: int, id_col: st
                 local += int(counts.sum())
                 columns = [batch.column(0), pa.array(np.full(len(packed), part, np.int64)), pa.array(starts), pa.array(counts), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "_part", "_local", "_n", "_ids"])
+                del batch, columns, packed
+                pa.default_memory_pool().release_unused()
 
     schema = f"{id_col} {kind.simpleString()}, _part long, _local long, _n long, _ids binary"
     return materialise(docs.select(id_col, text_col).mapInArrow(encode, schema), "tokens")
