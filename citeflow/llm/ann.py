@@ -27,7 +27,8 @@ class AnnSettings:
 
     ``epsilon`` is the test's width: a candidate is abandoned after d coordinates when its estimated
     distance exceeds (1 + epsilon / sqrt(d)) times the bound. ``recall`` is the share of true neighbours
-    that the probed lists must hold, on the sample, for the number of probes that is chosen.
+    that the probed lists must hold, on the sample, for the number of probes that is chosen. A query's
+    lists are visited in rounds, nearest first, each expected to yield ``yields`` times k rows at most.
     """
 
     k: int = 20
@@ -36,6 +37,7 @@ class AnnSettings:
     recall: float = 0.98
     epsilon: float = 2.1
     columns: int = 16
+    yields: int = 8
     rounds: int = 8
     seed: int = 5
 
@@ -44,7 +46,7 @@ class AnnSettings:
 class Model:
     centroids: np.ndarray  # (lists, D) in rotated space
     rotation: np.ndarray  # (dim + 1, dim + 1)
-    bounding: np.ndarray  # (sample, D) rotated, for the queries' bounds
+    bounding: np.ndarray  # (sample, D) rotated, for the queries' first bounds
     largest: float  # largest squared norm
     probes: int
 
@@ -95,7 +97,27 @@ def fit(sample: np.ndarray, n: int, largest: float, how: AnnSettings) -> Model:
     place = np.argsort(np.argsort(_distances(queries, centroids), axis=1), axis=1)
     where = np.sort(np.take_along_axis(place, near[truth], axis=1).ravel())
     probes = int(where[min(len(where) - 1, int(np.ceil(how.recall * len(where))))]) + 1 if len(where) else 1
-    return Model(centroids, rotation, base[rng.permutation(len(base))[:4096]], largest, min(len(centroids), probes))
+    return Model(centroids, rotation, base, largest, min(len(centroids), probes))
+
+
+def bound_rank(k: int, sample: int, n: int) -> int:
+    """The rank within the sample whose distance bounds the k-th of all n: twice what is expected there,
+    for what the tests abandon wrongly, and room for the sample's chance."""
+    expected = k * min(1.0, sample / n)
+    return int(np.ceil(2 * expected + 2 * expected**0.5 + 2))
+
+
+def visits(lists: int, passing: float, how: AnnSettings) -> list[int]:
+    """Ends of the rounds over a query's probed lists.
+
+    ``passing`` rows of all lists are within the first bound. After a share 1/y of the lists the k-th best
+    so far is a bound that about y * k rows of the rest pass, so each round takes y times as many lists.
+    """
+    ends = [lists]
+    while passing > how.yields * how.k and ends[0] > 1:
+        ends.insert(0, -(-ends[0] // how.yields))
+        passing /= how.yields
+    return ends
 
 
 def scan(ids: np.ndarray, turned: np.ndarray, original: np.ndarray, query_ids: np.ndarray, turned_q: np.ndarray, original_q: np.ndarray, bound: np.ndarray, how: AnnSettings, pairs: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,6 +170,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, how: AnnSettings | None =
     chosen = good.where(F.pmod(F.xxhash64("id", F.lit(how.seed)), F.lit(1 << 30)) / float(1 << 30) < share).orderBy(F.xxhash64("id")).limit(how.sample)
     rows = chosen.select("v").collect() or good.select("v").limit(how.sample).collect()
     model = fit(np.array([r[0] for r in rows], np.float64), n, largest, how)
+    rank = bound_rank(how.k, len(rows), n)
     sent = spark.sparkContext.broadcast(SimpleNamespace(**vars(model)))
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,32 +185,51 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, how: AnnSettings | None =
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for frame in frames:
-            for at in range(0, len(frame), 512):
+            for at in range(0, len(frame), 256):
                 part = frame.iloc[at : at + 512]
                 x = np.array(part.v.tolist(), np.float64).reshape(len(part), -1)
                 turned = rotated(x, m.rotation, None)
                 lists = np.argsort(_distances(turned, m.centroids), axis=1, kind="stable")[:, : m.probes]
-                # The (k+1)-th distance within the sample (which may hold the query) bounds the k-th of all;
-                # twice as many leave room for what the tests abandon wrongly.
-                near, at_least = _distances(turned, m.bounding), 2 * how.k
-                bound = np.partition(near, at_least, axis=1)[:, at_least] if near.shape[1] > at_least else np.full(len(part), np.inf)
-                yield pd.DataFrame({"lists": list(lists.astype(np.int32)), "id": part.id.to_numpy(), "turned": [t.tobytes() for t in turned], "original": [o.tobytes() for o in x], "bound": bound.astype(np.float64)})
+                near = _distances(turned, m.bounding)
+                bound = np.partition(near, rank, axis=1)[:, rank] if near.shape[1] > rank else np.full(len(part), np.inf)
+                bound = bound + 1e-6 * (m.largest + (x * x).sum(axis=1))  # what single precision may lose
+                yield pd.DataFrame({"lists": list(lists.astype(np.int32)), "id": part.id.to_numpy(), "turned": [t.tobytes() for t in turned], "original": [o.tobytes() for o in x], "norm": (x * x).sum(axis=1), "bound": bound.astype(np.float64)})
 
     index = materialise(good.mapInPandas(assign, "list int, id long, turned binary, original binary"), "index")
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"), dim)).dropDuplicates(["id"])
-    probed = materialise(asked.mapInPandas(probe, "lists array<int>, id long, turned binary, original binary, bound double"), "probes")
+    probed = materialise(asked.mapInPandas(probe, "lists array<int>, id long, turned binary, original binary, norm double, bound double"), "probes")
 
     block = int(min(4096, max(256, 2 * n // len(model.centroids))))
-    found = materialise(_visit(index, probed, block, how), "found")
+    found, begin = None, 0
+    for end in visits(model.probes, rank * n / len(rows), how):
+        now = probed.withColumn("lists", F.slice("lists", begin + 1, end - begin))
+        if found is not None:
+            now = _tightened(now, found, largest, how)
+        new = materialise(_visit(index, now, block, how), "found")
+        found, begin = new if found is None else found.union(new), end
     # Queries left with fewer than k: all lists, without abandoning anything.
     count = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= how.k)
     every = F.sequence(F.lit(0), F.lit(len(model.centroids) - 1))
     short = materialise(probed.join(count.select(F.col("query_id").alias("id")), "id", "left_anti").withColumns({"lists": every, "bound": F.lit(float("inf"))}), "short")
     if not short.isEmpty():
         found = found.union(_visit(index, short, block, how))
+    return _best(found, how.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, with their rank."""
     best = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= how.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _tightened(probed: DataFrame, found: DataFrame, largest: float, how: AnnSettings) -> DataFrame:
+    """``probed`` with the distance of the k-th best found so far as bound, where that is smaller."""
+    last = _best(found, how.k).where(F.col("rank") == how.k).select(F.col("query_id").alias("id"), F.col("score").alias("_score"))
+    reached = F.col("norm") + F.lit(largest)
+    # |q - x|^2 with the extra coordinate is |q|^2 + largest - 2 q.x; a little more for single precision.
+    tight = F.least(F.col("bound"), reached - 2 * F.col("_score") + 1e-6 * reached)
+    return probed.join(last, "id", "left").withColumn("bound", F.coalesce(tight, "bound")).select(probed.columns)
 
 
 def _visit(index: DataFrame, probed: DataFrame, block: int, how: AnnSettings) -> DataFrame:

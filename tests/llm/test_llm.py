@@ -258,6 +258,10 @@ def test_nearest(spark):
         assert [r for r, _, _ in found] == list(range(1, 21)) and all(abs(v - s[i]) < 1e-9 for _, i, v in found)
         hits += len({i for _, i, _ in found} & set(best))
     assert hits / (20 * len(got)) >= 0.9
+    rounds = ann.nearest(d, d.where("vec_id % 20 = 0"), how=ann.AnnSettings(sample=60, yields=2)).collect()
+    found = sum(r.score >= np.sort(np.delete(x @ x[r.query_id], r.query_id))[-20] - 1e-9 for r in rounds)
+    assert len(rounds) == 600 and found >= 0.9 * 600
+    assert ann.visits(64, 100 * 20, ann.AnnSettings()) == [1, 8, 64] and ann.visits(64, 160, ann.AnnSettings()) == [64]
     few = ann.nearest(d.where("vec_id < 5"), d.where("vec_id = 0")).collect()
     assert len(few) == 4 and ann.nearest(d.limit(0), d.limit(0)).count() == 0
 
