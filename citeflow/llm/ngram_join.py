@@ -54,7 +54,7 @@ class Shingler:
     """
 
     def __init__(self, n: int):
-        self.n, self.cache = n, worker_memory().setdefault("word hashes", {})
+        self.n, self.cache = n, worker_memory("word hashes")
         with np.errstate(over="ignore"):
             self.place = _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 

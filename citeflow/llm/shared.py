@@ -43,9 +43,15 @@ def hash64(*cols: Column | str) -> Column:
     return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def worker_memory() -> dict:
-    """A dictionary that lives as long as the Python worker, for caches that tasks may share."""
-    return sys.modules.setdefault("_worker_memory", types.ModuleType("_worker_memory")).__dict__
+def worker_memory(name: str) -> dict:
+    """A dictionary that lives in the Python worker for the tasks that share its name.
+
+    A worker serves one job after another, so it keeps one such dictionary only: the last asked for.
+    """
+    held = sys.modules.setdefault("_worker_memory", types.ModuleType("_worker_memory")).__dict__
+    if held.get("owner") != name:
+        held.update(owner=name, kept={})
+    return held["kept"]
 
 
 def text_or_empty(col: str = "text") -> Column:

@@ -99,7 +99,7 @@ def by_bytes(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 def worker_tokenizer(path: str) -> WordTokenizer:
     """This worker's tokenizer, which keeps what it learned from one task to the next."""
-    kept = worker_memory()
+    kept = worker_memory("tokenizer")
     if path not in kept:
         kept[path] = WordTokenizer(path)
     return kept[path]
