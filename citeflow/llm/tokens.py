@@ -132,7 +132,7 @@ def token_table(docs: DataFrame, *, tokenizer_path: str, end_id: int, id_col: st
                 pa.default_memory_pool().release_unused()
 
     schema = f"{id_col} {kind.simpleString()}, _part long, _local long, _n long, _ids binary"
-    return materialise(docs.select(id_col, text_col).mapInArrow(encode, schema), "tokens")
+    return materialise(docs.select(id_col, text_col).mapInArrow(encode, schema), "tokens", "zstd")
 
 
 def with_offsets(tokens: DataFrame) -> DataFrame:
