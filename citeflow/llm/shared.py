@@ -6,6 +6,8 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +40,18 @@ def materialise(df: DataFrame, name: str, compression: str | None = None) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> Iterator[None]:
+    """Arrow batches of about ``limit`` bytes for the jobs run inside, so that buffers of texts stay small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def hash64(*cols: Column | str) -> Column:
     """A non-negative 63-bit hash."""
     return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 63) - 1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,31 +14,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeflow.llm.shared import block_offsets, materialise, worker_memory
+from citeflow.llm.shared import block_offsets, materialise, small_batches, worker_memory
 
 WORD_BPE = "word_bpe_49k.json"
-#: Words of one generation of a worker's cache: when it is full it becomes the old one, which the next replaces.
-CACHE_WORDS = 120_000
+#: Pieces of one generation of a worker's cache: when it is full it becomes the old one, which the next replaces.
+CACHE_PIECES = 120_000
 #: Bytes of text that are encoded at once (one text at least).
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: Text with other characters is encoded whole (composition, case or space could differ from Arrow's there).
-_NOT_PLAIN = "[\\x1c-\\x1f\\x{130}]|[^\\x00-\\x{24F}]"
+_NOT_PLAIN = "[\\x1c-\\x1f\\x{130}]|[^\\x00-\\x{17F}]"
 
 
 def plain_pieces() -> re.Pattern[str]:
-    """The tokenizer's own pre-tokenisation (a fixed value of its file), spelt out for what is below U+0250."""
-    below = [chr(c) for c in range(0x250)]
+    """The tokenizer's own pre-tokenisation (a fixed value of its file), spelt out for what is below U+0180.
+
+    A line feed, which no word has, is a piece of its own.
+    """
+    below = [chr(c) for c in range(0x180)]
     letters, numbers = ("".join(re.escape(c) for c in below if unicodedata.category(c)[0] == kind) for kind in "LN")
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|\n|[^\s{letters}{numbers}]+")
 
 
 class WordTokenizer:
     """Ids by a word-level BPE file, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
     Its model turns a piece (a run of letters, a digit, a run of other signs) into ids whatever its
-    neighbours are. So the words of many texts are split and numbered together by Arrow, each different
-    word is looked up or encoded once, and the texts' ids are gathered by word number. Special tokens'
-    strings in a text are ordinary text.
+    neighbours are. So the words of many texts are split and numbered together by Arrow, the different
+    words are split into pieces together, each new piece is encoded once, and the texts' ids are gathered
+    by word number. Special tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -46,21 +50,31 @@ class WordTokenizer:
         self.full = Tokenizer.from_file(path)
         self.full.encode_special_tokens = True
         self.pieces = plain_pieces().findall
-        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        signs = [chr(c) for c in range(0x180) if chr(c) != " "]
+        self.mapped = {ord(c): m for c in signs if (m := to_bytes(c)[0][0]) != c}
         self.model = self.full.model
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
-        got = self.old.get(word)
-        if got is None:
-            parts = []
-            for piece in self.pieces(word):
-                mapped = piece if piece.isascii() else self.to_bytes.pre_tokenize_str(piece)[0][0]
-                parts += [t.id.to_bytes(2, "little") for t in self.model.tokenize(mapped)]
-            got = b"".join(parts)
-        self.young[word] = got
-        return got
+    def _encode(self, piece: str) -> bytes:
+        plain = piece.isascii() and piece.isprintable()
+        return array("H", [t.id for t in self.model.tokenize(piece if plain else piece.translate(self.mapped))]).tobytes()
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has."""
+        if len(self.young) > CACHE_PIECES:
+            self.young, self.old = {}, self.young
+        young, old, encode = self.young, self.old, self._encode
+        young["\n"] = b""
+        row = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py()
+        pieces = self.pieces(row + "\n")
+        for piece in set(pieces).difference(young):
+            young[piece] = old.get(piece) or encode(piece)
+        ids = [young[p] for p in pieces]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        ends = np.cumsum(size)[size == 0]
+        return np.frombuffer(b"".join(ids), np.uint16), np.diff(ends, prepend=0).astype(np.int32)
 
     def encode_whole(self, text: str) -> np.ndarray:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u2")
@@ -72,16 +86,12 @@ class WordTokenizer:
         words = pc.utf8_split_whitespace(pc.utf8_lower(texts.filter(pc.invert(odd))))
         flat = pc.list_flatten(words)
         coded = flat.dictionary_encode()
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
-        seen, miss = self.young.get, self._word
-        known = [seen(w) or (miss(w) if w else b"") for w in coded.dictionary.to_pylist()]
-        size = np.array([len(k) // 2 for k in known], np.int32)
-        ids, first = np.frombuffer(b"".join(known), "<u2"), np.cumsum(size, dtype=np.int32) - size
+        words_ids, size = self._word_ids(coded.dictionary)
+        first = np.cumsum(size, dtype=np.int32) - size
         number = coded.indices.to_numpy()
         length = size[number]
         ends = np.concatenate([[0], np.cumsum(length, dtype=np.int32)]).astype(np.int32)
-        ids = ids[np.repeat(first[number] - ends[:-1], length) + np.arange(ends[-1], dtype=np.int32)]
+        ids = words_ids[np.repeat(first[number] - ends[:-1], length) + np.arange(ends[-1], dtype=np.int32)]
         borders = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())]).astype(np.int64)]
         plain = iter([ids[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)])
         return [self.encode_whole(texts[i].as_py()) if o else next(plain) for i, o in enumerate(odd.to_pylist())]
@@ -132,7 +142,8 @@ def token_table(docs: DataFrame, *, tokenizer_path: str, end_id: int, id_col: st
                 pa.default_memory_pool().release_unused()
 
     schema = f"{id_col} {kind.simpleString()}, _part long, _local long, _n long, _ids binary"
-    return materialise(docs.select(id_col, text_col).mapInArrow(encode, schema), "tokens", "zstd")
+    with small_batches(docs.sparkSession):
+        return materialise(docs.select(id_col, text_col).mapInArrow(encode, schema), "tokens", "zstd")
 
 
 def with_offsets(tokens: DataFrame) -> DataFrame:
