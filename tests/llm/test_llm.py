@@ -3,15 +3,18 @@ tables and extra columns."""
 
 import hashlib
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from citeflow.llm import ann, exact_dedup, html_extract, langid, licenses, mixing, ngram_join, packing, tokenbin, warc
 from citeflow.llm.queries import tokenizer_path
+from citeflow.llm.tokens import WordTokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, slot long"
 
@@ -278,3 +281,14 @@ def test_pipeline(spark, tmp_path):
         docs = spark.createDataFrame(out.collect(), docs.schema)
     assert docs.where("text is null or text = ''").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_word_tokenizer():
+    """Ids equal the library's for control signs, composed letters, case, special tokens' strings and other scripts."""
+    tok = WordTokenizer(tokenizer_path())
+    rng = random.Random(1)
+    signs = [chr(c) for c in range(0x260)] + list("aaaa  eee'stre,.\n\t") * 20 + ["<|endoftext|>", "é", "日本"]
+    texts = ["".join(rng.choices(signs[: 0x180 if k % 2 else None], k=k % 60)) for k in range(2000)] + [None, ""]
+    for _ in range(2):
+        got = tok.encode_many(pa.array(texts))
+        assert [g.tolist() for g in got] == [tok.full.encode(t or "", add_special_tokens=False).ids for t in texts]
