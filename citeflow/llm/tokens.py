@@ -18,7 +18,7 @@ from citeflow.llm.shared import block_offsets, materialise, small_batches, worke
 
 WORD_BPE = "word_bpe_49k.json"
 #: Pieces of one generation of a worker's cache: when it is full it becomes the old one, which the next replaces.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: Bytes of text that are encoded at once (one text at least).
 SLICE = 1_000_000
 #: Text with other characters is encoded whole (composition, case or space could differ from Arrow's there).
