@@ -57,7 +57,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("qid"), F.expr(f"concat(substring(text, 1, 80), case when item_id % 2 = 0 then concat(' 12 CFR ', {ref('item_id * 4')}, ' and § ', {ref('item_id * 4 + 3')}) else '' end)").alias("question"))
+    return b.select(F.col("item_id").alias("qid"), F.expr(f"concat(text, case when item_id % 2 = 0 then concat(' 12 CFR ', {ref('item_id * 4')}, ' and § ', {ref('item_id * 4 + 3')}) else '' end)").alias("question"))
 
 
 SQL_REF = lambda n: f"(({n}) // 50 + 1) || '.' || ({n})"
