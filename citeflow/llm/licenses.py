@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 #: The base phrases and their labels.
 BASE = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
-# Label | keyword that must occur | expression for the name | SPDX identifier expression.
+# Label | keywords one of which must occur | expression for the name | SPDX identifier expression.
+# In all tables a space in a keyword or an expression stands for any gap.
 FAMILIES = """
 mit | mit | mit(?:/x11| \\(expat\\))?(?: license)? | mit
 apache | apache | apache(?: software)?(?: license)?(?:,? ?v(?:ersion)? ?[12](?:\\.\\d)?)? | apache-[12]\\.\\d
 agpl | affero | (?:gnu )?affero general public license(?:,? ?v(?:ersion)? ?\\d(?:\\.\\d)?)? | agpl-\\d\\.\\d(?:-only|-or-later)?
-lgpl | lesser | (?:gnu )?(?:lesser|library) general public license(?:,? ?v(?:ersion)? ?\\d(?:\\.\\d)?)? | lgpl-\\d\\.\\d(?:-only|-or-later)?
+lgpl | lesser or library | (?:gnu )?(?:lesser|library) general public license(?:,? ?v(?:ersion)? ?\\d(?:\\.\\d)?)? | lgpl-\\d\\.\\d(?:-only|-or-later)?
 gpl | general public | (?:gnu )?general public license(?:,? ?v(?:ersion)? ?\\d(?:\\.\\d)?)? | gpl-\\d\\.\\d(?:-only|-or-later)?
 gpl-short | gpl | (?:gnu )?gpl(?: ?v?\\d(?:\\.\\d)?)?\\+? | gpl-\\d\\.\\d\\+
 bsd-2-clause | bsd | (?:2-clause|two-clause|simplified|freebsd) bsd(?: license)? | bsd-2-clause
@@ -39,7 +40,7 @@ zlib | zlib | zlib(?:/libpng)?(?: license)? | zlib
 boost | boost | boost software license(?:,? ?v(?:ersion)? ?\\d(?:\\.\\d)?)? | bsl-\\d\\.\\d
 artistic | artistic | artistic license(?:,? ?v?(?:ersion)? ?\\d(?:\\.\\d)?)? | artistic-\\d\\.\\d
 unlicense | unlicense | (?:the )?unlicense | unlicense
-wtfpl | wtf | do what the f\\*?u?\\*?c?k you want to public license | wtfpl
+wtfpl | want to public | do what the f\\*?u?\\*?c?k you want to public license | wtfpl
 postgresql | postgresql | postgresql licen[cs]e | postgresql
 python | python software foundation | python software foundation license(?:,? ?v(?:ersion)? ?\\d)? | python-\\d\\.\\d
 php | php license | php license(?:,? ?v(?:ersion)? ?\\d(?:\\.\\d+)?)? | php-\\d\\.\\d+
@@ -58,22 +59,22 @@ osl | open software license | open software license(?:,? ?v(?:ersion)? ?\\.? ?\\
 ncsa | illinois | university of illinois/ncsa open source license | ncsa
 cecill | cecill | cecill(?:-[abc])?(?: free software)?(?: license)? | cecill-[abc\\d](?:\\.\\d)?
 mulan | mulan | mulan permissive software license(?:,? ?v?\\d)? | mulanpsl-\\d\\.\\d
-cc-by-nc-nd | nd | (?:cc |creative commons )(?:by-nc-nd|attribution-noncommercial-noderivatives)(?: \\d\\.\\d)? | cc-by-nc-nd-\\d\\.\\d
-cc-by-nc-sa | sa | (?:cc |creative commons )(?:by-nc-sa|attribution-noncommercial-sharealike)(?: \\d\\.\\d)? | cc-by-nc-sa-\\d\\.\\d
-cc-by-nc | nc | (?:cc |creative commons )(?:by-nc|attribution-noncommercial)(?!-)(?: \\d\\.\\d)? | cc-by-nc-\\d\\.\\d
-cc-by-nd | nd | (?:cc |creative commons )(?:by-nd|attribution-noderivatives)(?: \\d\\.\\d)? | cc-by-nd-\\d\\.\\d
-cc-by-sa | sa | (?:cc |creative commons )(?:by-sa|attribution-sharealike)(?: \\d\\.\\d)? | cc-by-sa-\\d\\.\\d
-cc-by | cc by | (?:cc |creative commons )(?:by|attribution)(?!-)(?: \\d\\.\\d)? | cc-by-\\d\\.\\d
+cc-by-nc-nd | nd or noderivatives | (?:cc |creative commons )(?:by-nc-nd|attribution-noncommercial-noderivatives)(?: \\d\\.\\d)? | cc-by-nc-nd-\\d\\.\\d
+cc-by-nc-sa | sa or sharealike | (?:cc |creative commons )(?:by-nc-sa|attribution-noncommercial-sharealike)(?: \\d\\.\\d)? | cc-by-nc-sa-\\d\\.\\d
+cc-by-nc | nc or noncommercial | (?:cc |creative commons )(?:by-nc|attribution-noncommercial)(?!-)(?: \\d\\.\\d)? | cc-by-nc-\\d\\.\\d
+cc-by-nd | nd or noderivatives | (?:cc |creative commons )(?:by-nd|attribution-noderivatives)(?: \\d\\.\\d)? | cc-by-nd-\\d\\.\\d
+cc-by-sa | sa or sharealike | (?:cc |creative commons )(?:by-sa|attribution-sharealike)(?: \\d\\.\\d)? | cc-by-sa-\\d\\.\\d
+cc-by | cc by or creative commons | (?:cc |creative commons )(?:by|attribution)(?!-)(?: \\d\\.\\d)? | cc-by-\\d\\.\\d
 cc0 | cc0 | cc0(?: \\d\\.\\d)?(?: universal)? | cc0-\\d\\.\\d
 """
-# Rank | name of the form | expression around <name> (or <id>). Higher ranks win.
+# Rank | name of the form | single words one of which must occur | expression around <name> (or <id>). Higher ranks win.
 FORMS = r"""
-60 | spdx | spdx-license-identifier:\s*(?:<id>)\b
-50 | licensed | (?:is |are |be )?(?:dual-|re)?licen[sc]ed\s+(?:to you )?under\s+(?:the terms of\s+)?(?:the\s+|a\s+|an\s+)?(?:<name>)
-45 | released | (?:released|distributed|published|provided|made available|available|redistributed)\s+under\s+(?:the terms (?:of|and conditions of)\s+)?(?:the\s+|a\s+|an\s+)?(?:<name>)
-40 | terms | (?:subject to|governed by|according to|in accordance with|under)\s+(?:the\s+)?(?:terms|conditions|terms and conditions)\s+of\s+(?:the\s+)?(?:<name>)
-35 | copy | (?:copy|text)\s+of\s+(?:the\s+)?(?:<name>)
-30 | notice | (?:licen[sc]e|licensing)\s*[:=]\s*(?:the\s+)?(?:<name>)
+60 | spdx | spdx-license-identifier | spdx-license-identifier:\s*(?:<id>)\b
+50 | licensed | licen | (?:is |are |be )?(?:dual-|re)?licen[sc]ed\s+(?:to you )?under\s+(?:the terms of\s+)?(?:the\s+|a\s+|an\s+)?(?:<name>)
+45 | released | under | (?:released|distributed|published|provided|made available|available|redistributed)\s+under\s+(?:the terms (?:of|and conditions of)\s+)?(?:the\s+|a\s+|an\s+)?(?:<name>)
+40 | terms | terms or conditions | (?:subject to|governed by|according to|in accordance with|under)\s+(?:the\s+)?(?:terms|conditions|terms and conditions)\s+of\s+(?:the\s+)?(?:<name>)
+35 | copy | copy or text | (?:copy|text)\s+of\s+(?:the\s+)?(?:<name>)
+30 | notice | licen | (?:licen[sc]e|licensing)\s*[:=]\s*(?:the\s+)?(?:<name>)
 """
 # Rank | label | keyword | expression. Notices that belong to no family's forms.
 NOTICES = r"""
@@ -92,6 +93,15 @@ NOTICES = r"""
 10 | gpl | general public license | \bgeneral public license\b
 """
 
+# A gap between words: white space, and at a line's end or start also signs of comments and boxes.
+_BLANK, _SIGNS = r"[\t\f\v ]", r"[#*/;%!|-]"
+GAP = rf"(?:(?<!{_SIGNS}){_BLANK}*+{_SIGNS}*+{_BLANK}*+[\r\n][\s#*/;%!|>-]*+|{_BLANK}++)"
+
+
+def with_gaps(expression: str) -> str:
+    """The expression with a gap for each space and each run of white space."""
+    return re.sub(r"\\s\+| ", lambda _: GAP, re.sub(r"\\s\*", " ?", expression))
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -99,20 +109,25 @@ class Rule:
     rank: int
     name: str
     label: str
-    keyword: bytes
+    keywords: tuple[str, ...]
+    form: str
     pattern: str
 
 
+def _fields(table: str) -> list[list[str]]:
+    return [[x.strip() for x in line.split(" | ")] for line in table.strip().splitlines()]
+
+
 def rules() -> tuple[Rule, ...]:
     """All rules: every form of every family, then the notices. Keywords are lower case."""
     out: list[Rule] = []
-    fields = lambda table: ([x.strip() for x in line.split(" | ")] for line in table.strip().splitlines())
-    for label, keyword, name, spdx in fields(FAMILIES):
-        for rank, form, around in fields(FORMS):
-            key = "spdx-license-identifier" if form == "spdx" else keyword
-            out.append(Rule(len(out), int(rank), f"{label}:{form}", label.removesuffix("-short"), key.encode(), rf"(?<![a-z0-9]){around.replace('<name>', name).replace('<id>', spdx)}(?![a-z0-9])"))
-    for rank, label, keyword, expression in fields(NOTICES):
-        out.append(Rule(len(out), int(rank), f"{label}:notice{len(out)}", label, keyword.encode(), expression))
+    for label, keywords, name, spdx in _fields(FAMILIES):
+        for rank, form, _, around in _fields(FORMS):
+            keys = ("spdx-license-identifier",) if form == "spdx" else tuple(keywords.split(" or "))
+            whole = with_gaps(around.replace("<name>", name).replace("<id>", spdx))
+            out.append(Rule(len(out), int(rank), f"{label}:{form}", label.removesuffix("-short"), keys, form, f"(?<![a-z0-9]){whole}(?![a-z0-9])"))
+    for rank, label, keyword, expression in _fields(NOTICES):
+        out.append(Rule(len(out), int(rank), f"{label}:notice{len(out)}", label, (keyword,), "", with_gaps(expression)))
     return tuple(out)
 
 
@@ -125,13 +140,15 @@ class Scanner:
         self.rules = rules()
         self.by_keyword: dict[str, list[int]] = {}
         for rule in self.rules:
-            self.by_keyword.setdefault(rule.keyword.decode("latin-1"), []).append(rule.order)
+            for keyword in rule.keywords:
+                self.by_keyword.setdefault(keyword, []).append(rule.order)
+        # No rule of a form can match where none of its words or not its part before the name stands.
+        self.forms = [(form, tuple(words.split(" or ")), re.compile(with_gaps(re.sub(r"\(\?:<(?:name|id)>\).*", "", around)).encode())) for _, form, words, around in _fields(FORMS)]
+        self.gap = re.compile(GAP.encode())
         self.words = ahocorasick.Automaton()
-        for keyword in self.by_keyword:
+        for keyword in {*self.by_keyword, *(w for _, words, _ in self.forms for w in words)}:
             self.words.add_word(keyword, keyword)
         self.words.make_automaton()
-        # No rule can match where none of these stands: statements name a licence, terms, a right or a domain.
-        self.gate = re.compile(rb"licen|under|terms|spdx|copy of|text of|permission|redistribut|without any|public domain|rights reserved|proprietary|unauthorized|conditions of")
         self.compiled: dict[int, re.Pattern[bytes]] = {}
         gap = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
         edge = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -152,11 +169,10 @@ class Scanner:
 
     def detect(self, low: bytes) -> list[tuple[Rule, int, int]]:
         """Detections in order of place that no detection of higher rank contains or crosses."""
-        if not self.gate.search(low):
-            return []
-        keys = {k for _, k in self.words.iter(low.decode("latin-1"))}
+        keys = {k for _, k in self.words.iter(self.gap.sub(b" ", low).decode("latin-1"))}
+        forms = {"", *(form for form, words, before in self.forms if not keys.isdisjoint(words) and before.search(low))}
         found = []
-        for order in sorted(o for k in keys for o in self.by_keyword[k]):
+        for order in sorted({o for k in keys for o in self.by_keyword.get(k, ()) if self.rules[o].form in forms}):
             if order not in self.compiled:
                 self.compiled[order] = re.compile(self.rules[order].pattern.encode())
             found += [(self.rules[order], m.start(), m.end()) for m in self.compiled[order].finditer(low)]
