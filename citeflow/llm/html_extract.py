@@ -40,6 +40,8 @@ MARKS = frozenset(
     "breadcrumb breadcrumbs header masthead topbar footer copyright comment comments respond reply replies disqus related recommended "
     "recommendations share sharing social toolbar pagination pager complementary contentinfo search hidden skip".split()
 )
+# What else a compound name such as site-footer or cookie-bar may have and still be a mark.
+AFFIXES = frozenset("site top bottom left right primary secondary global bar box list link links area block slot unit item items button buttons icon icons inner outer bg text".split())
 CONTENT = frozenset("article content post entry story main body text maincontent articlebody".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:.-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:.-]*)([^>]*)>""", re.S)
@@ -59,6 +61,14 @@ class Node:
     hidden: bool = False
     children: list[Node] = field(default_factory=list)
     token: int = -1
+    marked: bool = False
+
+
+def is_mark(token: str) -> bool:
+    """Whether a whole class, id or role says that its element is not the article: each part of it does,
+    or belongs to such names. States of a page (has-sidebar, comments-open, header-fixed) do not."""
+    parts = _PART.findall(token)
+    return any(x in MARKS for x in parts) and all(x in MARKS or x in AFFIXES or x.isdigit() for x in parts)
 
 
 def parse(page: str) -> tuple[Node, list[tuple[str, str]]]:
@@ -110,7 +120,8 @@ def parse(page: str) -> tuple[Node, list[tuple[str, str]]]:
             stack.pop()
         found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if "=" in attrs else {}
         marks = frozenset(_PART.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower()))
-        node = Node(name, marks, hidden=bool(attrs) and bool(_HIDDEN.search(attrs)))
+        marked = bool(marks & MARKS) and name not in ("html", "body") and any(map(is_mark, " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().split()))
+        node = Node(name, marks, marked=marked, hidden=bool(attrs) and bool(_HIDDEN.search(attrs)))
         stack[-1].children.append(node)
         label = name + "." + ".".join(sorted(marks)) if marks and not any(c.isdigit() for x in marks for c in x) else name
         stream.append((label, ""))
@@ -216,11 +227,34 @@ def template_tokens(wrapper: list[list], stream: list[tuple[str, str]]) -> set[i
 
 
 def _left_out(node: Node, in_article: bool) -> bool:
-    if node.name in LEFT_OUT or node.hidden or bool(node.marks & MARKS):
+    if node.name in LEFT_OUT or node.hidden or node.marked:
         return True
     return node.name == "header" and not in_article
 
 
+def _unmark(node: Node, total: int) -> tuple[int, bool]:
+    """Take the mark from each element that has an article or <main> or most of ``total`` characters.
+    The characters of ``node`` and whether it has an article."""
+    if not node.name and not node.children:
+        return len(node.text.strip()), False
+    length, holds = 0, False
+    for c in node.children:
+        if not (c.name and (c.name in LEFT_OUT - {"form"} or c.hidden)):
+            n, has = _unmark(c, total)
+            length, holds = length + n, holds or has
+    alone = node.name in ("article", "main")
+    if node.marked and (holds or 2 * length > total) and not alone:
+        node.marked = False
+    return length, holds or alone and not node.marked
+
+
+def _whole_length(node: Node) -> int:
+    """Characters of the element, without what is never text of an article, marks aside."""
+    if not node.name and not node.children:
+        return len(node.text.strip())
+    return sum(_whole_length(c) for c in node.children if not (c.name and (c.name in LEFT_OUT - {"form"} or c.hidden)))
+
+
 def _length(node: Node) -> int:
     if not node.name and not node.children:
         return len(node.text.strip())
@@ -242,24 +276,35 @@ def _dense(node: Node) -> bool:
 
 
 def main_region(top: Node) -> Node:
-    """The article: the longest <article>, else <main>, else the longest element marked as content, else all."""
+    """The article: the longest <article>, else <main>, else the longest element marked as content, else all.
+
+    Articles outside of marked elements come first; where there is none, a mark around an article or
+    around most of the page's text does not count."""
+    if region := _named(top, ("article", "main")):
+        return region
+    _unmark(top, _whole_length(top))
+    return _named(top, ("article", "main", "content")) or top
+
+
+def _named(top: Node, kinds: tuple[str, ...]) -> Node | None:
     inside = _without(top)
-    plain = lambda c: not (c.marks & MARKS) and not c.hidden
-    for want in (
+    plain = lambda c: not c.marked and not c.hidden
+    wants = (
         lambda c: c.name == "article" and plain(c),
         lambda c: (c.name == "main" or "main" in c.marks and c.name == "div") and plain(c),
         lambda c: c.name in ("div", "section", "td") and bool(c.marks & CONTENT) and plain(c) and _dense(c),
-    ):
+    )
+    for want in wants[: len(kinds)]:
         found = [r for r in _regions(inside, want) if _length(r)]
         if found:
             return max(found, key=_length) if len(found) > 1 else found[0]
-    return top
+    return None
 
 
 def _without(node: Node) -> Node:
     """The tree without menus, sidebars and comments (forms and headers may wrap an article)."""
-    drop = lambda c: c.name in ("nav", "aside", "footer") or c.hidden or c.name not in ("html", "body") and bool(c.marks & MARKS)
-    return Node(node.name, node.marks, children=[c if not c.children else _without(c) if c.name not in ("article", "main") else c for c in node.children if not drop(c)])
+    drop = lambda c: c.name in ("nav", "aside", "footer") or c.hidden or c.marked
+    return Node(node.name, node.marks, marked=node.marked, children=[c if not c.children else _without(c) if c.name not in ("article", "main") else c for c in node.children if not drop(c)])
 
 
 def blocks(region: Node, template: set[int]) -> list[str]:
@@ -273,7 +318,7 @@ def blocks(region: Node, template: set[int]) -> list[str]:
                     out[-1].append(c.text)
             elif c.name == "br":
                 out[-1].append(" ")
-            elif c.name == "header" and not (c.marks & MARKS) and not c.hidden:
+            elif c.name == "header" and not c.marked and not c.hidden:
                 heads = [h for h in _regions(c, lambda x: x.name in ("h1", "h2", "h3", "h4", "h5", "h6"))]
                 for h in heads:
                     out.append([])
