@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeflow.llm.shared import hash64, materialise, text_or_empty
+from citeflow.llm.shared import ROW, hash64, materialise, numbered, text_or_empty
 
 #: Characters of a text that the sampled splitters see.
 HEAD = 32
@@ -89,6 +89,10 @@ def exact_duplicates(
 
 
 def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept. Ids must be unique."""
-    found = exact_duplicates(docs, id_col=id_col, text_col=text_col, keep=keep)
-    return docs.join(found.where("kept").select(id_col), id_col, "left_semi")
+    """``docs`` with one row of each group of equal texts, all columns kept. Rows count singly, whatever
+    their ids: null ids lose to any other, and of rows with one id and text one stays."""
+    rows = numbered(docs)
+    known = F.col(id_col).isNotNull() if keep == "largest" else F.col(id_col).isNull()
+    keyed = rows.select(F.struct(known.alias("known"), F.col(id_col).alias("id"), F.col(ROW).alias("row")).alias("_key"), F.col(text_col))
+    kept = exact_duplicates(keyed, id_col="_key", text_col=text_col, keep=keep).where("kept").select(F.col("_key.row").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)

@@ -251,13 +251,16 @@ def identify_languages(
 
 
 def keep_identified(docs: DataFrame, *, how: Training | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the documents whose language is ``und`` (no text or no letter), all columns kept."""
+    """``docs`` without the documents whose language is ``und`` (no text or no letter), all columns kept.
+
+    Where no row is labelled, documents go by their text alone."""
     label = _labeller(docs, how or Training(), id_col=id_col, text_col=text_col, lang_col=lang_col)
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, names, _ in label(batches, at):
-            yield batch.filter(pa.array([x != "und" for x in names], pa.bool_()))
+            texts = names if label.labels else ["und" if not t or not _LETTER.search(t) else "" for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([x != "und" for x in texts], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
@@ -283,4 +286,5 @@ def _labeller(docs: DataFrame, how: Training, *, id_col: str, text_col: str, lan
                     names[i], scores[i] = model.labels[best], float(prob[row, best])
                 yield batch, names, scores
 
+    label.labels = net.labels
     return label

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeflow.llm.shared import materialise
+from citeflow.llm.shared import ROW, materialise, numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the key that name its block: 4096 blocks a source.
@@ -58,16 +58,18 @@ def mix_sources(
     share: float = 1.5,
     cap: float = 2.0,
     seed: int = 7,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: id, ``size``, ``source``, ``source_size``, ``target``, ``taken``.
 
     ``size`` is the number of words (null text: 0), ``taken`` the words that the mix takes, repeats
     counted: whole epochs of the source, then its documents by key up to the rounded target; the
     document at the cut gives its first words only. Null sources form one source; null ids sort first
-    among equal keys; repeated rows are documents of their own. Sources of size 0 get target 0. Only
+    among equal keys; repeated rows are documents of their own. ``row_col``, a number of each row, decides
+    what is left of ties and comes with the result. Sources of size 0 get target 0. Only
     one row per source passes through a single task (a source is a column value, not a document).
     """
-    d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([row_col] if row_col else []))
     d = d.withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.lit("")))))
     d = materialise(d.withColumn("_block", F.substring("_key", 1, BLOCK_DIGITS)), "sizes")
 
@@ -78,7 +80,7 @@ def mix_sources(
     starts = blocks.withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
     starts = materialise(starts.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(F.col("a.source").alias("_source"), F.col("_block").alias("_b"), "_start", "source_size", "target"), "starts")
 
-    inside = Window.partitionBy("source", "_block").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_block").orderBy("_key", "_id", "size", *([row_col] if row_col else [])).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_b")))
     budget = F.floor(F.col("target") + 0.5).cast("long")
@@ -86,7 +88,7 @@ def mix_sources(
     rest = budget - epochs * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_start") - F.col("_in")))
     taken = (epochs * F.col("size") + cut).cast("long")
-    return d.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", taken.alias("taken"))
+    return d.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", taken.alias("taken"), *([row_col] if row_col else []))
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,6 +105,13 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text
     return whole.unionByName(cut)
 
 
+def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` as mixed, with any ids: each row has a plan of its own, null or repeated as its id may be."""
+    rows = numbered(docs)
+    plan = mix_sources(rows, id_col=id_col, text_col=text_col, row_col=ROW, **options)
+    return apply_mix(rows, plan, id_col=ROW, text_col=text_col).select(docs.columns)
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word."""
     words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))

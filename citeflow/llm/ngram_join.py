@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeflow.llm.shared import hash64, materialise, worker_memory
+from citeflow.llm.shared import ROW, hash64, materialise, numbered, worker_memory
 
 _WORD = re.compile(r"\w+")
 #: Columns of a set-by-n-gram matrix that are held at once.
@@ -171,16 +171,7 @@ def _links(left: list[np.ndarray], right: list[np.ndarray], threshold: float) ->
     return both >= threshold * union - 1e-9
 
 
-def ngram_classes(
-    docs: DataFrame,
-    *,
-    n: int = 5,
-    threshold: float = 0.8,
-    recall: float = 0.9995,
-    block: int = 256,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
+def ngram_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per input row: id, ``class_id``, ``n_links``, ``set_id``.
 
     Two documents are linked when the Jaccard similarity of their sets of word n-grams is ``threshold``
@@ -188,11 +179,30 @@ def ngram_classes(
     linked with this one, ``set_id`` the smallest id with the same n-gram set. A pair at the threshold
     is found with chance ``recall`` at least (closer ones with more), and pairs in one candidate group
     are compared whether or not they met. Null text is empty; texts without words link only with equal
-    texts; rows with null ids are left out; repeated rows count as documents; an empty table gives an
-    empty result; other columns are ignored. Ids must be integers.
+    texts; null ids are never the smallest while a class or set has another; repeated rows and ids count
+    as documents of their own; an empty table gives an empty result; other columns are ignored.
+    ``options`` are those of ``row_classes``.
     """
+    rows = numbered(docs.select(id_col, text_col))
+    found = materialise(row_classes(rows, id_col=ROW, text_col=text_col, **options).join(rows.select(ROW, F.col(id_col).alias("_id")), ROW), "found")
+    sets = found.groupBy(F.col("set_id").alias("_set"), F.col("class_id").alias("_class")).agg(F.min("_id").alias("_least"))
+    classes = sets.groupBy(F.col("_class").alias("_c")).agg(F.min("_least").alias("_root"))
+    named = materialise(sets.join(classes, F.col("_class") == F.col("_c")).select("_set", "_least", "_root"), "named")
+    return found.join(named, F.col("set_id") == F.col("_set")).select(F.col("_id").alias(id_col), F.col("_root").alias("class_id"), "n_links", F.col("_least").alias("set_id"))
+
+
+def row_classes(
+    docs: DataFrame,
+    *,
+    n: int = 5,
+    threshold: float = 0.8,
+    recall: float = 0.9995,
+    block: int = 256,
+    id_col: str,
+    text_col: str = "text",
+) -> DataFrame:
+    """``ngram_classes`` of rows whose ids are unique integers, none of them null."""
     bands, rows = choose_bands(threshold, recall)
-    docs = docs.where(F.col(id_col).isNotNull())
     signed = materialise(signatures(docs, n=n, bands=bands, rows=rows, id_col=id_col, text_col=text_col), "signatures")
     sets = materialise(signed.groupBy("_set").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies")), "sets")
     reps = signed.select("_id", F.col("_set").alias("_s"), "_bands").join(sets, (F.col("_id") == F.col("_rep")) & (F.col("_s") == F.col("_set"))).select("_rep", "_bands").dropDuplicates(["_rep"])
@@ -257,6 +267,10 @@ def ngram_classes(
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the document of smallest id of each class, all columns kept. Ids must be unique."""
-    found = ngram_classes(docs, id_col=id_col, text_col=text_col, **options)
-    return docs.join(found.where(F.col(id_col) == F.col("class_id")).select(id_col), id_col, "left_semi")
+    """``docs`` with the document of smallest id of each class, all columns kept. Null ids lose to any
+    other, and of rows with one id in a class one stays."""
+    rows = numbered(docs)
+    found = row_classes(rows, id_col=ROW, text_col=text_col, **options).select(ROW, "class_id")
+    order = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.col(ROW).alias("row"))
+    kept = found.join(rows.select(ROW, order.alias("_order")), ROW).groupBy("class_id").agg(F.min("_order").alias("_first"))
+    return rows.join(kept.select(F.col("_first.row").alias(ROW)), ROW, "left_semi").select(docs.columns)

@@ -68,6 +68,15 @@ def worker_memory(name: str) -> dict:
     return held["kept"]
 
 
+#: The column by which numbered rows are joined back.
+ROW = "_row_number"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` written once with a number of its own for each row, in ROW, whatever its ids are."""
+    return materialise(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

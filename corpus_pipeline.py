@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from citeflow.llm.exact_dedup import drop_duplicates
 from citeflow.llm.langid import keep_identified
-from citeflow.llm.mixing import apply_mix, mix_sources
+from citeflow.llm.mixing import mix_documents
 from citeflow.llm.ngram_join import drop_near_duplicates
 from citeflow.llm.packing import pack_documents, piece_digests
 from citeflow.llm.queries import tokenizer_path
@@ -34,7 +34,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them; the one at a cut with its first words."""
-    return apply_mix(docs, mix_sources(docs))
+    return mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
