@@ -152,7 +152,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, how: AnnSettings | None =
     """(query_id, rank, vec_id, score): each query's ``k`` best rows by inner product in double
     precision, best first, ties to the smaller id, never the row of the query's own id.
 
-    Vectors that are null, zero, of another length than the longest, or with null or non-finite
+    Vectors that are null, zero, of another length than most, or with null or non-finite
     components take no part, nor do null ids; repeated ids count once. An empty table gives an empty
     result; other columns are ignored. Lists of any size are split into blocks of bounded size, and so are the
     queries that probe one.
@@ -160,7 +160,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, how: AnnSettings | None =
     how = how or AnnSettings()
     spark = vectors.sparkSession
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull())
-    dim = given.agg(F.max(F.size("v"))).first()[0] or 0
+    # The length that most rows have (the longer one of two alike), so that a malformed row decides nothing.
+    dim = (given.where(F.size("v") > 0).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first() or [0])[0]
     good = given.where(usable(F.col("v"), dim))
     n, largest = good.agg(F.count(F.lit(1)), F.max(squared(F.col("v")))).first()
     schema = "query_id long, rank int, vec_id long, score double"
