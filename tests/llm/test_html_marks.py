@@ -24,7 +24,7 @@ PAGES = [
 
 @pytest.mark.parametrize("page", PAGES)
 def test_marks(page):
-    assert html_extract.main_text(page, []) == WANT
+    assert html_extract.main_text(page) == WANT
 
 
 def test_names():

@@ -198,15 +198,6 @@ def test_html(spark):
     assert html_extract.extract_main_text(d.limit(0)).count() == 0
 
 
-def test_wrapper():
-    pages = [f"<ul>{'<li><a>x</a></li>' * n}</ul><div>Same note</div>{'<i>opt</i>' * (n % 2)}<p>{'text %d ' % n * 5}</p>" for n in range(1, 6)]
-    wrapper = html_extract.induce(pages)
-    keys = [w[0] for w in wrapper]
-    assert "(li a # /a /li)+" in keys and any(w[1] and w[0] == "i" for w in wrapper)
-    assert [w[2] for w in wrapper if w[2]] == ["Same note", "opt"]
-    assert html_extract.main_text(pages[4], wrapper).endswith("text 5 text 5") and "Same note" not in html_extract.main_text(pages[4], wrapper)
-
-
 def test_language(spark):
     rng = np.random.default_rng(2)
     words = {"en": "the of and that with this from".split(), "de": "der die und nicht für über auch".split()}
