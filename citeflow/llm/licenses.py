@@ -1,7 +1,7 @@
 """License scan by ordered signature rules.
 
-Each rule is a regular expression behind a keyword; one pass of an automaton over a text tells which
-keywords it has, and only their rules run. Detections that lie inside one of higher rank are suppressed.
+Each rule is a regular expression behind keywords; one pass of an automaton over a text tells which
+keywords it has, and only their rules run. Detections that lie inside a better one are suppressed.
 """
 
 from __future__ import annotations
@@ -59,12 +59,12 @@ osl | open software license | open software license(?:,? ?v(?:ersion)? ?\\.? ?\\
 ncsa | illinois | university of illinois/ncsa open source license | ncsa
 cecill | cecill | cecill(?:-[abc])?(?: free software)?(?: license)? | cecill-[abc\\d](?:\\.\\d)?
 mulan | mulan | mulan permissive software license(?:,? ?v?\\d)? | mulanpsl-\\d\\.\\d
-cc-by-nc-nd | nd or noderivatives | (?:cc |creative commons )(?:by-nc-nd|attribution-noncommercial-noderivatives)(?: \\d\\.\\d)? | cc-by-nc-nd-\\d\\.\\d
-cc-by-nc-sa | sa or sharealike | (?:cc |creative commons )(?:by-nc-sa|attribution-noncommercial-sharealike)(?: \\d\\.\\d)? | cc-by-nc-sa-\\d\\.\\d
-cc-by-nc | nc or noncommercial | (?:cc |creative commons )(?:by-nc|attribution-noncommercial)(?!-)(?: \\d\\.\\d)? | cc-by-nc-\\d\\.\\d
-cc-by-nd | nd or noderivatives | (?:cc |creative commons )(?:by-nd|attribution-noderivatives)(?: \\d\\.\\d)? | cc-by-nd-\\d\\.\\d
-cc-by-sa | sa or sharealike | (?:cc |creative commons )(?:by-sa|attribution-sharealike)(?: \\d\\.\\d)? | cc-by-sa-\\d\\.\\d
-cc-by | cc by or creative commons | (?:cc |creative commons )(?:by|attribution)(?!-)(?: \\d\\.\\d)? | cc-by-\\d\\.\\d
+cc-by-nc-nd | creative commons or cc by or cc attribution | (?:cc |creative commons )(?:by-nc-nd|attribution-noncommercial-noderivatives)(?: \\d\\.\\d)? | cc-by-nc-nd-\\d\\.\\d
+cc-by-nc-sa | creative commons or cc by or cc attribution | (?:cc |creative commons )(?:by-nc-sa|attribution-noncommercial-sharealike)(?: \\d\\.\\d)? | cc-by-nc-sa-\\d\\.\\d
+cc-by-nc | creative commons or cc by or cc attribution | (?:cc |creative commons )(?:by-nc|attribution-noncommercial)(?!-)(?: \\d\\.\\d)? | cc-by-nc-\\d\\.\\d
+cc-by-nd | creative commons or cc by or cc attribution | (?:cc |creative commons )(?:by-nd|attribution-noderivatives)(?: \\d\\.\\d)? | cc-by-nd-\\d\\.\\d
+cc-by-sa | creative commons or cc by or cc attribution | (?:cc |creative commons )(?:by-sa|attribution-sharealike)(?: \\d\\.\\d)? | cc-by-sa-\\d\\.\\d
+cc-by | creative commons or cc by or cc attribution | (?:cc |creative commons )(?:by|attribution)(?!-)(?: \\d\\.\\d)? | cc-by-\\d\\.\\d
 cc0 | cc0 | cc0(?: \\d\\.\\d)?(?: universal)? | cc0-\\d\\.\\d
 """
 # Rank | name of the form | single words one of which must occur | expression around <name> (or <id>). Higher ranks win.
@@ -76,18 +76,123 @@ FORMS = r"""
 35 | copy | copy or text | (?:copy|text)\s+of\s+(?:the\s+)?(?:<name>)
 30 | notice | licen | (?:licen[sc]e|licensing)\s*[:=]\s*(?:the\s+)?(?:<name>)
 """
-# Rank | label | keyword | expression. Notices that belong to no family's forms.
+# Rank | label | keyword | expression. Sentences, titles and addresses that belong to no family's forms.
 NOTICES = r"""
 55 | mit | permission is hereby granted | permission is hereby granted, free of charge, to any person obtaining a copy
+52 | mit | to deal in the software | to deal in the software without restriction, including without limitation the rights to use, copy, modify
+52 | mit | substantial portions | shall be included in all copies or substantial portions of the software
 55 | isc | permission to use, copy | permission to use, copy, modify,? and/or distribute this software for any purpose
+56 | 0bsd | permission to use, copy | permission to use, copy, modify,? and/or distribute this software for any purpose with or without fee is hereby granted\.
+55 | hpnd | permission to use, copy | permission to use, copy, modify,? and distribute this software and its documentation for any purpose
 55 | bsd | redistribution and use | redistribution and use in source and binary forms, with or without modification
+56 | bsd-3-clause | endorse or promote | neither the names? of .{1,80} nor the names of (?:its|any) contributors may be used to endorse or promote products
+56 | bsd-4-clause | advertising materials | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+50 | bsd | above copyright notice | redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer
 55 | gpl | free software foundation | redistribute it and/or modify it under the terms of the gnu general public license
-55 | zlib | without any express | provided 'as-is', without any express or implied warranty
+57 | lgpl | free software foundation | redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public license
+57 | agpl | free software foundation | redistribute it and/or modify it under the terms of the gnu affero general public license
+52 | gpl | either version | either version [123](?:\.0)? of the license, or \(at your option\) any later version
+52 | gpl | a copy of the gnu general | you should have received a copy of the gnu general public license along with
+53 | lgpl | a copy of the gnu lesser | you should have received a copy of the gnu lesser general public license along with
+53 | agpl | a copy of the gnu affero | you should have received a copy of the gnu affero general public license along with
+50 | gpl | gpl-compatible | released as gpl-compatible free software
+45 | gpl | copyleft | gnu general public license is a free, copyleft license
+56 | zlib | without any express | provided 'as-is', without any express or implied warranty
+54 | zlib | misrepresented | the origin of this software must not be misrepresented
+54 | zlib | altered source | altered source versions must be plainly marked as such
+55 | apache | in compliance with | you may not use this file except in compliance with the license
+53 | apache | unless required by | unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an "as is" basis
+54 | apache | apache software foundation | licensed to the apache software foundation \(asf\) under one or more contributor license agreements
+54 | apache-1.1 | developed by the apache | this product includes software developed by the apache software foundation
+55 | mpl | mozilla public | this source code form is subject to the terms of the mozilla public license
+54 | mpl | incompatible with secondary | this source code form is "incompatible with secondary licenses"
+54 | mpl | alternatively, the contents | alternatively, the contents of this file may be used under the terms of
+55 | epl | eclipse public | this program and the accompanying materials are made available under the terms of the eclipse public license
+54 | cddl | cddl header start | cddl header start
+55 | cddl | common development | the contents of this file are subject to the terms of the common development and distribution license
+55 | boost | boost software license | permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+53 | unlicense | public domain | this is free and unencumbered software released into the public domain
+53 | unlicense | unencumbered | anyone is free to copy, modify, publish, use, compile, sell, or distribute this software
+53 | wtfpl | what the fuck | you just do what the fuck you want to
+55 | cc0 | creative commons | the person who associated a work with this deed has dedicated the work to the public domain
+50 | cc-by | creative commons | this work is licensed under a creative commons attribution(?: \d\.\d)?(?: international| unported| generic)? license
+51 | cc-by-sa | creative commons | this work is licensed under a creative commons attribution-sharealike(?: \d\.\d)?(?: international| unported| generic)? license
+51 | cc-by-nc | creative commons | this work is licensed under a creative commons attribution-noncommercial(?: \d\.\d)?(?: international| unported| generic)? license
+52 | cc-by-nc-sa | creative commons | this work is licensed under a creative commons attribution-noncommercial-sharealike(?: \d\.\d)?(?: international| unported| generic)? license
+52 | cc-by-nc-nd | creative commons | this work is licensed under a creative commons attribution-noncommercial-noderivatives(?: \d\.\d)?(?: international| unported| generic)? license
+54 | gfdl | free documentation | permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license
+53 | gfdl | invariant sections | with no invariant sections, no front-cover texts,? and no back-cover texts
+54 | ofl | font software | this font software is licensed under the sil open font license
+53 | ofl | reserved font name | with reserved font name
+54 | artistic | artistic license | under the same terms as perl itself|under the terms of the artistic license
+50 | perl | as perl itself | under the same terms as perl itself
+54 | python | psf license | psf license agreement
+54 | python | python software foundation | this license agreement is between the python software foundation
+54 | postgresql | university of california | permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement
+54 | ncsa | deal with the software | to deal with the software without restriction
+54 | openssl | openssl project | this product includes software developed by the openssl project
+53 | curl | daniel stenberg | copyright \(c\) .{0,40}daniel stenberg
+54 | libpng | libpng | this copy of the libpng notices is provided for your convenience
+53 | ijg | independent jpeg | this software is based in part on the work of the independent jpeg group
+53 | unicode | unicode data files | unicode data files and software
+54 | w3c | w3c | w3c (?:software notice and license|software and document notice and license)
+53 | icu | icu license | icu license - icu
+54 | sleepycat | sleepycat | sleepycat license|the sleepycat software
+54 | beerware | beer-ware | the beer-ware license
+53 | json | good, not evil | the software shall be used for good, not evil
+53 | vim | vim license | vim license
+54 | ms-pl | microsoft public | this license governs use of the accompanying software\. if you use the software, you accept this license
+54 | eupl | european union public | licen[cs]ed under the eupl
+54 | cecill | cecill | governed by the cecill(?:-[abc])? license under french law
+54 | busl | business source | business source license(?: 1\.1)?
+54 | elastic | elastic license | elastic license(?: 2\.0)?
+54 | sspl | server side public | server side public license
+54 | commons-clause | commons clause | "?commons clause"? license condition
+54 | polyform | polyform | polyform (?:noncommercial|small business|shield|strict|perimeter|free trial|internal use) license
+54 | openrail | openrail | (?:creativeml |bigscience )?openrail(?:-m|\+\+-m|\+\+)?(?: license)?
+54 | llama | community license | llama \d(?:\.\d)? community license
+54 | odbl | open database | this .{1,60} is made available under the open database license
+54 | data-license | community data | community data license agreement
+58 | mit | opensource.org/licenses | opensource\.org/licenses/mit\b
+58 | bsd-3-clause | opensource.org/licenses | opensource\.org/licenses/bsd-3-clause\b
+58 | bsd-2-clause | opensource.org/licenses | opensource\.org/licenses/bsd-2-clause\b
+58 | isc | opensource.org/licenses | opensource\.org/licenses/isc\b
+58 | apache | opensource.org/licenses | opensource\.org/licenses/apache-2\.0
+58 | gpl | opensource.org/licenses | opensource\.org/licenses/gpl-[23]\.0
+58 | lgpl | opensource.org/licenses | opensource\.org/licenses/lgpl-[23]\.[01]
+58 | apache | apache.org/licenses | apache\.org/licenses/license-[12]\.[01]
+58 | gpl | gnu.org/licenses | gnu\.org/licenses/(?:old-licenses/)?gpl(?:-[123]\.0)?(?:\.(?:html|txt|en\.html))?
+58 | lgpl | gnu.org/licenses | gnu\.org/licenses/(?:old-licenses/)?lgpl(?:-[23]\.[01])?(?:\.(?:html|txt|en\.html))?
+58 | agpl | gnu.org/licenses | gnu\.org/licenses/agpl(?:-3\.0)?(?:\.(?:html|txt|en\.html))?
+58 | gfdl | gnu.org/licenses | gnu\.org/licenses/fdl(?:-1\.[123])?(?:\.(?:html|txt|en\.html))?
+50 | gnu | gnu.org/licenses | gnu\.org/licenses/?(?![a-z])
+58 | mpl | mozilla.org/mpl | mozilla\.org/mpl/[12]\.[01]
+58 | mpl | mozilla.org/en-us/mpl | mozilla\.org/en-us/mpl/[12]\.[01]
+58 | epl | eclipse.org/legal | eclipse\.org/legal/epl-(?:v10|2\.0|v20)
+58 | boost | boost.org/license | boost\.org/license_1_0\.txt
+58 | unlicense | unlicense.org | \bunlicense\.org\b
+58 | ofl | scripts.sil.org/ofl | scripts\.sil\.org/ofl
+58 | cc-by | creativecommons.org/licenses | creativecommons\.org/licenses/by/\d\.\d
+58 | cc-by-sa | creativecommons.org/licenses | creativecommons\.org/licenses/by-sa/\d\.\d
+58 | cc-by-nc | creativecommons.org/licenses | creativecommons\.org/licenses/by-nc/\d\.\d
+58 | cc-by-nd | creativecommons.org/licenses | creativecommons\.org/licenses/by-nd/\d\.\d
+58 | cc-by-nc-sa | creativecommons.org/licenses | creativecommons\.org/licenses/by-nc-sa/\d\.\d
+58 | cc-by-nc-nd | creativecommons.org/licenses | creativecommons\.org/licenses/by-nc-nd/\d\.\d
+58 | cc0 | creativecommons.org/publicdomain | creativecommons\.org/publicdomain/zero/\d\.\d
+58 | public-domain | creativecommons.org/publicdomain | creativecommons\.org/publicdomain/mark/\d\.\d
+58 | odbl | opendatacommons.org | opendatacommons\.org/licenses/odbl
+58 | odc-by | opendatacommons.org | opendatacommons\.org/licenses/by
+58 | pddl | opendatacommons.org | opendatacommons\.org/licenses/pddl
 55 | public-domain | public domain | (?:released|dedicated|placed|committed|donated)\s+(?:in|in)?to\s+the\s+public\s+domain
+50 | public-domain | public domain | works? of the (?:united states|u\.s\.) government .{0,60}public domain
 25 | public-domain | public domain | \bpublic domain\b
 25 | all-rights-reserved | rights reserved | all rights reserved
-25 | proprietary | proprietary | proprietary and confidential|confidential and proprietary
-25 | proprietary | unauthorized | unauthorized (?:copying|use|reproduction) (?:of|or)
+27 | some-rights-reserved | rights reserved | some rights reserved
+28 | proprietary | proprietary | proprietary and confidential|confidential and proprietary
+28 | proprietary | trade secret | (?:contains|constitutes?|is an?)\s+(?:\w+ ){0,3}trade secrets?\b
+28 | proprietary | unauthorized | unauthorized (?:copying|use|reproduction|distribution) (?:of|or)
+28 | proprietary | license agreement | end(?: |-)user license agreement
+28 | proprietary | non-disclosure | under (?:the terms of )?a non-disclosure agreement
 10 | mit | mit license | \bmit licen[cs]e\b
 10 | apache | apache license | \bapache licen[cs]e\b
 10 | gpl | general public license | \bgeneral public license\b
@@ -105,12 +210,13 @@ def with_gaps(expression: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
+    """A signature; of each of its sets of keywords one must stand in a text, or the rule does not run."""
+
     order: int
     rank: int
     name: str
     label: str
-    keywords: tuple[str, ...]
-    form: str
+    keywords: tuple[tuple[str, ...], ...]
     pattern: str
 
 
@@ -122,15 +228,40 @@ def rules() -> tuple[Rule, ...]:
     """All rules: every form of every family, then the notices. Keywords are lower case."""
     out: list[Rule] = []
     for label, keywords, name, spdx in _fields(FAMILIES):
-        for rank, form, _, around in _fields(FORMS):
-            keys = ("spdx-license-identifier",) if form == "spdx" else tuple(keywords.split(" or "))
+        for rank, form, words, around in _fields(FORMS):
+            keys = (tuple(words.split(" or ")),) if form == "spdx" else (tuple(keywords.split(" or ")), tuple(words.split(" or ")))
             whole = with_gaps(around.replace("<name>", name).replace("<id>", spdx))
-            out.append(Rule(len(out), int(rank), f"{label}:{form}", label.removesuffix("-short"), keys, form, f"(?<![a-z0-9]){whole}(?![a-z0-9])"))
+            out.append(Rule(len(out), int(rank), f"{label}:{form}", label.removesuffix("-short"), keys, f"(?<![a-z0-9]){whole}(?![a-z0-9])"))
     for rank, label, keyword, expression in _fields(NOTICES):
-        out.append(Rule(len(out), int(rank), f"{label}:notice{len(out)}", label, (keyword,), "", with_gaps(expression)))
+        out.append(Rule(len(out), int(rank), f"{label}:notice{len(out)}", label, ((keyword,),), with_gaps(expression)))
     return tuple(out)
 
 
+def suppress(found: list[tuple[int, int, int, int]]) -> list[int]:
+    """Indexes of the detections (rank, order, start, end) that no better one contains.
+
+    A higher rank is better, of one rank the longer, then the rule that stands first. Detections that only
+    cross both stay. A sweep over starts with a Fenwick tree over ends: n log n.
+    """
+    best = sorted(range(len(found)), key=lambda i: (-found[i][0], found[i][2] - found[i][3], found[i][1], found[i][2], i))
+    place = {i: k for k, i in enumerate(best)}
+    ends = {e: k for k, e in enumerate(sorted({f[3] for f in found}, reverse=True), 1)}
+    tree, kept = [len(found)] * (len(ends) + 1), []
+    # At one start the longer ones come first, then the better ones, so that all that contain a detection are in the tree.
+    for i in sorted(range(len(found)), key=lambda i: (found[i][2], -found[i][3], place[i])):
+        at, low = ends[found[i][3]], len(found)
+        while at:
+            low = min(low, tree[at])
+            at -= at & -at
+        if low > place[i]:
+            kept.append(i)
+        at = ends[found[i][3]]
+        while at <= len(ends):
+            tree[at] = min(tree[at], place[i])
+            at += at & -at
+    return kept
+
+
 class Scanner:
     """Scans lower-cased UTF-8 (only A-Z are lowered), so that offsets are those of bytes."""
 
@@ -138,15 +269,13 @@ class Scanner:
         import ahocorasick
 
         self.rules = rules()
+        self.gap = re.compile(GAP.encode())
+        self.words = ahocorasick.Automaton()
         self.by_keyword: dict[str, list[int]] = {}
         for rule in self.rules:
-            for keyword in rule.keywords:
+            for keyword in rule.keywords[0]:
                 self.by_keyword.setdefault(keyword, []).append(rule.order)
-        # No rule of a form can match where none of its words or not its part before the name stands.
-        self.forms = [(form, tuple(words.split(" or ")), re.compile(with_gaps(re.sub(r"\(\?:<(?:name|id)>\).*", "", around)).encode())) for _, form, words, around in _fields(FORMS)]
-        self.gap = re.compile(GAP.encode())
-        self.words = ahocorasick.Automaton()
-        for keyword in {*self.by_keyword, *(w for _, words, _ in self.forms for w in words)}:
+        for keyword in {k for rule in self.rules for some in rule.keywords for k in some}:
             self.words.add_word(keyword, keyword)
         self.words.make_automaton()
         self.compiled: dict[int, re.Pattern[bytes]] = {}
@@ -168,20 +297,17 @@ class Scanner:
         return [(m.start(), label) for pattern, label in self.base for m in pattern.finditer(low)]
 
     def detect(self, low: bytes) -> list[tuple[Rule, int, int]]:
-        """Detections in order of place that no detection of higher rank contains or crosses."""
+        """Detections in order of place that no better one contains."""
         keys = {k for _, k in self.words.iter(self.gap.sub(b" ", low).decode("latin-1"))}
-        forms = {"", *(form for form, words, before in self.forms if not keys.isdisjoint(words) and before.search(low))}
         found = []
-        for order in sorted({o for k in keys for o in self.by_keyword.get(k, ()) if self.rules[o].form in forms}):
+        for order in sorted({o for k in keys for o in self.by_keyword.get(k, ())}):
+            rule = self.rules[order]
+            if any(keys.isdisjoint(some) for some in rule.keywords[1:]):
+                continue
             if order not in self.compiled:
-                self.compiled[order] = re.compile(self.rules[order].pattern.encode())
-            found += [(self.rules[order], m.start(), m.end()) for m in self.compiled[order].finditer(low)]
-        found.sort(key=lambda d: (-d[0].rank, d[1] - d[2], d[1], d[0].order))
-        kept: list[tuple[Rule, int, int]] = []
-        for rule, a, b in found:
-            if not any(x < b and a < y for _, x, y in kept):
-                kept.append((rule, a, b))
-        return sorted(kept, key=lambda d: d[1])
+                self.compiled[order] = re.compile(rule.pattern.encode())
+            found += [(rule.rank, order, m.start(), m.end()) for m in self.compiled[order].finditer(low)]
+        return [(self.rules[found[i][1]], *found[i][2:]) for i in suppress(found)]
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,8 +315,10 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ``base_labels``, ``labels``, ``score``, ``detections`` (rule, label, rank, start, end in characters).
 
     ``score`` is the highest detection's rank over 60 (a statement such as an SPDX line scores 1), at
-    least 0.5 with a base place, 0 with neither. Null text is empty. Repeated rows get equal answers, an
-    empty table an empty one; other columns are ignored.
+    least 0.5 with a base place, 0 with neither. Null text is empty. Ties of rank go to the longer
+    detection, then to the rule that stands first. Time grows with n log n of a text's detections and with
+    its length. Repeated rows and null ids get answers of their own, an empty table an empty one; other
+    columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     spans = pa.list_(pa.struct([("rule", pa.string()), ("label", pa.string()), ("rank", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -205,11 +333,13 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 low = (raw or b"").lower()
                 starts = scanner.word_starts(low)
                 base, found = scanner.base_places(low), scanner.detect(low)
-                places = [int(starts[:at].sum()) for at, _ in base]
+                before = np.cumsum(starts) - starts if base else None
+                places = [int(before[at]) for at, _ in base]
                 labels = {label for _, label in base}
                 score = max([0.5 * bool(base), *(r.rank / 60 for r, _, _ in found)])
-                chars = lambda at: len(low[:at].decode(errors="replace"))  # noqa: B023, E731
-                out = [{"rule": r.name, "label": r.label, "rank": r.rank, "start": chars(a), "end": chars(b)} for r, a, b in found]
+                # A character's first byte is any but a continuation byte.
+                chars = np.concatenate([[0], np.cumsum((np.frombuffer(low, np.uint8) & 0xC0) != 0x80)]) if found else None
+                out = [{"rule": r.name, "label": r.label, "rank": r.rank, "start": int(chars[a]), "end": int(chars[b])} for r, a, b in found]
                 rows.append((int(starts.sum()), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {r.label for r, _, _ in found})), score, out))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)

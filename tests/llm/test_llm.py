@@ -180,6 +180,37 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_repeated_ids_and_large_records(spark, tmp_path):
+    big, same = "x" * (17 << 20), "y" * 2000
+    given = [(1, same), (1, same), (1, "tiny"), (2, same), (2, "other" * 400), (None, same), (None, None), (3, big), (4, big), (5, "z" * ((1 << 24) - 300)), (5, same[:-1])]
+    d = spark.createDataFrame([(i, f"u{i}", t, 0, "q") for i, t in given], "record_id long, uri string, payload string, payload_bytes long, refers_to string")
+    path = str(tmp_path / "warc")
+    warc.write_archives(d, path)
+    back = warc.read_archives(spark, path).collect()
+    number = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    best = {t: max((i for i, u in given if u == t and i is not None), default=None) for _, t in given}
+    want = Counter()
+    for i, t in given:
+        first = best[t] if i is not None and len(t or "") >= 1000 else i
+        want[i, len(t or ""), number(t), None if first == i else first] += 1
+    assert Counter((r.record_id, r.payload_bytes, r.payload_digest, r.refers_to) for r in back) == want
+    assert all((r.payload is None) == (r.record_type == "revisit") and (r.payload is None or number(r.payload) == r.payload_digest) for r in back)
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    members = sum(len(list(warc._expand(memoryview(open(f"{path}/{f}", "rb").read())))) for f in files)
+    assert members == len(given)
+
+
+def test_warc_reader_is_linear():
+    """A 200 MB archive of many members is read in seconds."""
+    import gzip
+    import time
+
+    head = b"WARC/1.1\r\nContent-Length: 40000\r\n\r\n"
+    one = gzip.compress(head + os.urandom(40_000) + b"\r\n\r\n", 0)
+    start = time.time()
+    assert sum(1 for _ in warc._records(one * 5000)) == 5000 and time.time() - start < 20
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h2>Site</h2></header>
 <nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div><div class="ad">Buy</div>
 <article><h1>Head %d &amp; more</h1><p>One  two <b>bold</b>&nbsp;%s<p>Second %d<br>line</p><aside>pull</aside><form><input> Sign up</form></article>
