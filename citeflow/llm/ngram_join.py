@@ -1,10 +1,11 @@
 """Similarity join on word n-grams: MinHash banding finds who may be close, full sets decide.
 
 Documents with equal n-gram sets form one class and only its smallest id goes on, so that copies cost
-nothing. Representatives are shuffled on band hashes; those that meet in a band fall, directly or
-through others, into one group of candidates. Inside a group every two representatives are compared on
-their full n-gram sets, in blocks: a task holds two blocks and returns counts and a spanning forest,
-never pairs, so a group of near copies costs many comparisons but few rows.
+nothing. Representatives are shuffled on band hashes; those that meet in a band are checked against the
+first of the bucket on their whole signatures, and what is clearly apart does not join their groups.
+Inside a group every two representatives are compared on their full n-gram sets, in blocks: a task holds
+two blocks and returns counts and a spanning forest, never pairs, so a group of near copies costs many
+comparisons but few rows. Only links that the full sets confirm are closed into classes.
 """
 
 from __future__ import annotations
@@ -18,12 +19,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from citeflow.llm.shared import ROW, hash64, materialise, numbered, worker_memory
 
 _WORD = re.compile(r"\w+")
 #: Columns of a set-by-n-gram matrix that are held at once.
 STRIP = 8192
+#: N-grams that a block of representatives holds (or one representative).
+BLOCK_GRAMS = 1 << 21
+#: A signature's estimate that joins a bucket's member to its first one, and the one from which nothing that
+#: is not joined can be near the member: the distances .5, .15 and the threshold's .2 leave .15 for chance.
+JOINED, SETTLED, CHECKS = 0.5, 0.85, 2
 
 
 def choose_bands(threshold: float, recall: float, low: float = 0.4, noise: float = 0.1, most: int = 400) -> tuple[int, int]:
@@ -83,7 +91,8 @@ class Shingler:
 
 
 def signatures(docs: DataFrame, *, n: int, bands: int, rows: int, id_col: str, text_col: str, seed: int = 11) -> DataFrame:
-    """(``_id``, ``_set`` a 128-bit digest of the whole n-gram set, ``_bands``)."""
+    """(``_id``, ``_set`` a 128-bit digest of the whole n-gram set, ``_grams`` its size, ``_sig`` a byte of
+    each minimum, ``_bands``)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -94,7 +103,7 @@ def signatures(docs: DataFrame, *, n: int, bands: int, rows: int, id_col: str, t
         flip = rng.integers(0, 1 << 32, k, dtype=np.uint32)[:, None]
         times = (rng.integers(0, 1 << 32, k, dtype=np.uint32) | np.uint32(1))[:, None]
         for batch in batches:
-            keys, banded = [], []
+            keys, banded, sizes, signs = [], [], [], []
             for text in batch.column(1).to_pylist():
                 grams = shingle(text or "")
                 keys.append(xxhash.xxh3_128_digest(grams.tobytes()))
@@ -102,6 +111,8 @@ def signatures(docs: DataFrame, *, n: int, bands: int, rows: int, id_col: str, t
                 least = np.full((k, 1), 0xFFFFFFFF, np.uint32)
                 for at in range(0, len(low), 1024):
                     least = np.minimum(least, ((low[at : at + 1024] ^ flip) * times).min(axis=1, keepdims=True))
+                sizes.append(len(grams))
+                signs.append(least.astype(np.uint8).tobytes())
                 values = least.reshape(bands, rows).astype(np.uint64)
                 mixed = np.arange(1, bands + 1, dtype=np.uint64)
                 for r in range(rows):
@@ -109,10 +120,53 @@ def signatures(docs: DataFrame, *, n: int, bands: int, rows: int, id_col: str, t
                 banded.append(mixed.view(np.int64))
             flat = np.concatenate(banded) if banded else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), lists], names=["_id", "_set", "_bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), lists], names=["_id", "_set", "_grams", "_sig", "_bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), text_col).mapInArrow(sign, f"_id {kind}, _set binary, _bands array<long>")
+    return docs.select(F.col(id_col).alias("_id"), text_col).mapInArrow(sign, f"_id {kind}, _set binary, _grams long, _sig binary, _bands array<long>")
+
+
+@pandas_udf(DoubleType())
+def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The share of equal bytes of two signatures, which estimates the sets' similarity."""
+    if not len(a):
+        return pd.Series([], dtype="float64")
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
+    return pd.Series((x == y).mean(axis=1))
+
+
+def candidates(met: DataFrame, signs: DataFrame) -> DataFrame:
+    """Edges (``a``, ``b``) that join the representatives of ``met`` (``_key`` of a bucket, ``_rep``) which
+    may be near; ``signs`` has ``_rep`` and ``_sig``.
+
+    In each bucket the members are checked against the first one. Those near enough are joined to it; those
+    that are very near are settled, the others are checked again among themselves. What two checks leave is
+    joined unchecked. No near pair of a bucket falls apart: a member that is joined to nothing is too far
+    from the first one to be near a settled member.
+    """
+    left, edges = met, None
+    for _ in range(CHECKS):
+        first = left.groupBy("_key").agg(F.min("_rep").alias("_first"), F.max("_rep").alias("_last")).where("_first != _last").drop("_last")
+        held = materialise(left.join(first, "_key").where("_rep != _first"), "members")
+        pairs = held.select("_rep", "_first").distinct().join(signs, "_rep").join(signs.select(F.col("_rep").alias("_first"), F.col("_sig").alias("_other")), "_first")
+        pairs = materialise(pairs.select("_rep", "_first", agreement("_sig", "_other").alias("_near")), "checked")
+        new = pairs.where(F.col("_near") >= JOINED).select(F.col("_rep").alias("a"), F.col("_first").alias("b"))
+        edges = new if edges is None else edges.union(new)
+        left = held.join(pairs.where(F.col("_near") < SETTLED).select("_rep", "_first"), ["_rep", "_first"], "left_semi").select("_key", "_rep")
+    rest = left.groupBy("_key").agg(F.min("_rep").alias("b"))
+    return edges.union(left.join(rest, "_key").select(F.col("_rep").alias("a"), "b"))
+
+
+def _with_least(rows: DataFrame, least: DataFrame, limit: int) -> DataFrame:
+    """``rows`` (``a``, ``b``) with ``m`` of their ``a`` in ``least`` (``a``, ``m``, ``n`` rows of it).
+
+    The nodes with more than ``limit`` rows, of which there are few, are joined by broadcast, so that no
+    task gets all rows of one node.
+    """
+    hot = F.broadcast(least.where(F.col("n") > limit).select(F.col("a").alias("_hot"), F.col("m").alias("_m")))
+    met = rows.join(hot, F.col("a") == F.col("_hot"), "left")
+    cold = met.where(F.col("_hot").isNull()).select("a", "b").join(least.select("a", "m"), "a")
+    return met.where(F.col("_hot").isNotNull()).select("a", "b", F.col("_m").alias("m")).union(cold.select("a", "b", "m"))
 
 
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -125,13 +179,15 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     pairs = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     state = None
     while True:
+        # Fewer than 8192 nodes have more rows than the limit, as there are two rows a pair.
+        limit = max(256, pairs.count() // 4096)
         both = pairs.union(pairs.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        pairs = materialise(small, name)
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _with_least(both.where("b > a"), low, limit).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = materialise(large, name)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, least, limit).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        pairs = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), name)
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == state:
             break
@@ -171,6 +227,26 @@ def _links(left: list[np.ndarray], right: list[np.ndarray], threshold: float) ->
     return both >= threshold * union - 1e-9
 
 
+def _roots(link: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column the smallest id that links lead to. A row without links leads to itself, and
+    so does such a column; where both sides are the same nodes, the rows' answer is the whole one."""
+    out = [rows.copy(), columns.copy()]
+    left = link.any(axis=1)
+    while left.any():
+        inside, new = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+        reached = np.zeros(len(columns), bool)
+        new[left.argmax()] = True
+        while new.any():
+            inside |= new
+            ahead = link[new].any(axis=0) & ~reached
+            reached |= ahead
+            new = link[:, ahead].any(axis=1) & ~inside
+        least = min(rows[inside].min(), columns[reached].min())
+        out[0][inside], out[1][reached] = least, least
+        left &= ~inside
+    return out[0], out[1]
+
+
 def ngram_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per input row: id, ``class_id``, ``n_links``, ``set_id``.
 
@@ -197,30 +273,28 @@ def row_classes(
     n: int = 5,
     threshold: float = 0.8,
     recall: float = 0.9995,
-    block: int = 256,
+    block: int = 1024,
     id_col: str,
     text_col: str = "text",
 ) -> DataFrame:
     """``ngram_classes`` of rows whose ids are unique integers, none of them null."""
     bands, rows = choose_bands(threshold, recall)
     signed = materialise(signatures(docs, n=n, bands=bands, rows=rows, id_col=id_col, text_col=text_col), "signatures")
-    sets = materialise(signed.groupBy("_set").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies")), "sets")
-    reps = signed.select("_id", F.col("_set").alias("_s"), "_bands").join(sets, (F.col("_id") == F.col("_rep")) & (F.col("_s") == F.col("_set"))).select("_rep", "_bands").dropDuplicates(["_rep"])
-
-    met = reps.select("_rep", F.posexplode("_bands").alias("_band", "_hash"))
-    met = met.withColumn("_key", F.xxhash64("_band", "_hash")).select("_key", "_rep")
-    buckets = met.groupBy("_key").agg(F.min("_rep").alias("_least"), F.max("_rep").alias("_most")).where("_least != _most")
-    stars = met.join(buckets, "_key").where("_rep != _least").select(F.col("_rep").alias("a"), F.col("_least").alias("b"))
-    groups = materialise(connected(stars, "candidates"), "groups")
-
-    # Blocks of about `block` members; small groups share a bin, large ones have pairs of blocks.
-    sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("_members")), "root")
-    parts = F.ceil(F.col("_members") / block).cast("int")
-    bins = max(1, math.ceil(groups.count() / block))
-    member = sized.select("root", F.col("node").alias("_rep"), parts.alias("_parts"), F.pmod(hash64("node"), parts).cast("int").alias("_block"))
-    member = member.join(sets.select("_rep", "_copies"), "_rep")
+    sets = materialise(signed.groupBy("_set").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"), F.max("_grams").alias("_grams")), "sets")
+    reps = signed.select("_id", F.col("_set").alias("_s"), "_sig", "_bands").join(sets.select("_rep", "_set"), (F.col("_id") == F.col("_rep")) & (F.col("_s") == F.col("_set")))
+
+    met = reps.select("_rep", F.posexplode("_bands").alias("_band", "_hash")).select(F.xxhash64("_band", "_hash").alias("_key"), "_rep")
+    groups = materialise(connected(candidates(met, reps.select("_rep", "_sig")), "candidates"), "groups")
+
+    # Blocks of about `block` members and BLOCK_GRAMS n-grams; small groups share a bin, large ones have pairs of blocks.
+    nodes = materialise(groups.join(sets.select(F.col("_rep").alias("node"), "_copies", "_grams"), "node"), "nodes")
+    sized = nodes.join(nodes.groupBy("root").agg(F.count(F.lit(1)).alias("_members"), F.sum("_grams").alias("_all")), "root")
+    parts = F.greatest(F.ceil(F.col("_members") / block), F.ceil(F.col("_all") / BLOCK_GRAMS)).cast("int")
+    total = nodes.agg(F.count(F.lit(1)), F.sum("_grams")).first()
+    bins = max(1, math.ceil(total[0] / block), math.ceil((total[1] or 0) / BLOCK_GRAMS))
+    member = sized.select("root", F.col("node").alias("_rep"), "_copies", parts.alias("_parts"), F.pmod(hash64("node"), parts).cast("int").alias("_block"))
     texts = docs.select(F.col(id_col).alias("_rep"), F.col(text_col).alias("_text"))
-    held = member.join(texts, "_rep").dropDuplicates(["_rep"])
+    held = member.join(texts, "_rep")
     mates = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.least(F.col("_block"), j).alias("i"), F.greatest(F.col("_block"), j).alias("j")))
     held = held.select("root", "_rep", "_copies", "_text", "_block", "_parts", F.explode(mates).alias("_pair"))
     small = F.col("_parts") == 1
@@ -237,23 +311,12 @@ def row_classes(
             link = _links(grams[0], grams[-1], threshold)
             if i == j:
                 np.fill_diagonal(link, False)
-            ids = np.concatenate([h._rep.to_numpy() for h in halves])
+            ids = [h._rep.to_numpy() for h in halves]
             copies = [h._copies.to_numpy() for h in halves]
             counts = np.concatenate([link @ copies[-1], *([] if i == j else [link.T @ copies[0]])])
-            shift = 0 if i == j else len(halves[0])
-            root = list(range(len(ids)))
-
-            def find(x: int, root: list[int] = root) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for a, b in zip(*np.nonzero(link), strict=True):
-                a, b = find(a), find(b + shift)
-                if a != b:
-                    root[max(a, b, key=lambda x: ids[x])] = min(a, b, key=lambda x: ids[x])
-            out.append(pd.DataFrame({"_rep": ids, "_links": counts, "_to": ids[[find(x) for x in range(len(ids))]]}))
+            roots = _roots(link, ids[0], ids[-1])
+            ids, roots = (ids[0], roots[0]) if i == j else map(np.concatenate, (ids, roots))
+            out.append(pd.DataFrame({"_rep": ids, "_links": counts, "_to": roots}))
         return pd.concat(out) if out else pd.DataFrame({"_rep": [], "_links": [], "_to": []})
 
     compared = held.select("_task", "root", F.col("_pair.i").alias("i"), F.col("_pair.j").alias("j"), "_block", "_rep", "_copies", "_text")

@@ -110,3 +110,35 @@ def test_classes(spark):
 def test_labelled(spark):
     d = spark.createDataFrame([(i, "one two" if i % 2 else "12", "en", "s", 7) for i in range(40)], SCHEMA)
     assert langid.keep_identified(d, how=langid.Training(steps=2)).count() == 20
+
+
+def test_candidates_lose_no_pair(spark):
+    """Chains, mixed buckets and hot groups: pairs near enough that share a bucket end up in one component."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    texts, row = [], list(base)
+    for k in range(110):
+        row = [*row[:k], f"x{k}", *row[k + 1 :]]
+        texts += [" ".join(row)] * (1 if k % 4 else 2)
+    other = [f"v{rng.randrange(900)}" for _ in range(90)]
+    texts += [" ".join([*other[:k], "mark", *other[k + 1 :]]) for k in range(60)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in ngram_join.ngram_classes(d, block=16).collect()}
+    sets = [grams(t) for t in texts]
+    links = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    classes = {i: min(j for j, _ in c) for c in plain_classes(list(enumerate(texts))) for i, _ in c}
+    assert {i: (r.class_id, r.n_links) for i, r in got.items()} == {i: (classes[i], links[i]) for i in range(len(texts))}
+
+
+def test_connected_with_hot_node(spark):
+    """Stars with more rows than the limit, chains and both at once."""
+    rng = random.Random(4)
+    edges = [(1000 + i, 7) for i in range(900)] + [(i, i + 1) for i in range(2000, 2060)] + [(2060, 1005), (5, 7)] + [(3000 + rng.randrange(50), 3000 + rng.randrange(50)) for _ in range(60)]
+    got = {r.node: r.root for r in ngram_join.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert got == {x: find(x) for x in list(root)}
