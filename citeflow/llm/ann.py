@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from citeflow.llm.shared import hash64, materialise
 
@@ -29,6 +30,7 @@ class AnnSettings:
     distance exceeds (1 + epsilon / sqrt(d)) times the bound. ``recall`` is the share of true neighbours
     that the probed lists must hold, on the sample, for the number of probes that is chosen. A query's
     lists are visited in rounds, nearest first, each expected to yield ``yields`` times k rows at most.
+    While more than the share ``sparse`` of a list is left, a column block is one matrix product.
     """
 
     k: int = 20
@@ -37,6 +39,7 @@ class AnnSettings:
     recall: float = 0.98
     epsilon: float = 2.1
     columns: int = 16
+    sparse: float = 0.1
     yields: int = 8
     rounds: int = 8
     seed: int = 5
@@ -126,19 +129,21 @@ def scan(ids: np.ndarray, turned: np.ndarray, original: np.ndarray, query_ids: n
     dim, step = turned.shape[1], max(1, pairs // max(1, len(ids)))
     for at in range(0, len(query_ids), step):
         q, limit, qid = turned_q[at : at + step], bound[at : at + step], query_ids[at : at + step]
-        head = min(how.columns, dim)
-        partial = _distances(q[:, :head], turned[:, :head])
-        wide = limit * (1 + how.epsilon / head**0.5) ** 2
-        alive = partial * (dim / head) <= wide[:, None]
-        alive &= ids[None, :] != qid[:, None]
-        row, col = np.nonzero(alive)
-        partial = partial[row, col]
-        for lo in range(head, dim, how.columns):
+        partial, alive, row = np.zeros((len(q), len(ids)), np.float32), ids[None, :] != qid[:, None], None
+        for lo in range(0, dim, how.columns):
             hi = min(dim, lo + how.columns)
-            partial = partial + ((q[row, lo:hi] - turned[col, lo:hi]) ** 2).sum(1)
             slack = (1 + how.epsilon / hi**0.5) ** 2 if hi < dim else 1 + 1e-4
-            keep = partial * (dim / hi) <= limit[row] * slack + 1e-5
-            row, col, partial = row[keep], col[keep], partial[keep]
+            if row is None:
+                # Many are left: a matrix product costs less than picking them out.
+                partial += _distances(q[:, lo:hi], turned[:, lo:hi])
+                alive &= partial * (dim / hi) <= limit[:, None] * slack + 1e-5
+                if hi == dim or np.count_nonzero(alive) < how.sparse * alive.size:
+                    row, col = np.nonzero(alive)
+                    partial = partial[row, col]
+            else:
+                partial = partial + ((q[row, lo:hi] - turned[col, lo:hi]) ** 2).sum(1)
+                keep = partial * (dim / hi) <= limit[row] * slack + 1e-5
+                row, col, partial = row[keep], col[keep], partial[keep]
         score = np.einsum("ij,ij->i", original_q[at : at + step][row], original[col])
         order = np.lexsort((ids[col], -score, row))
         row, col, score = row[order], col[order], score[order]
@@ -173,6 +178,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, how: AnnSettings | None =
     model = fit(np.array([r[0] for r in rows], np.float64), n, largest, how)
     rank = bound_rank(how.k, len(rows), n)
     sent = spark.sparkContext.broadcast(SimpleNamespace(**vars(model)))
+    # Vectors travel in their own precision; each task rotates what it reads.
+    kind = np.float32 if vectors.schema[vector_col].dataType == ArrayType(FloatType()) else np.float64
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
@@ -181,24 +188,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, how: AnnSettings | None =
                 part = frame.iloc[at : at + 2048]
                 x = np.array(part.v.tolist(), np.float64).reshape(len(part), -1)
                 turned = rotated(x, m.rotation, m.largest)
-                yield pd.DataFrame({"list": _distances(turned, m.centroids).argmin(1), "id": part.id.to_numpy(), "turned": [t.tobytes() for t in turned], "original": [o.tobytes() for o in x]})
+                yield pd.DataFrame({"list": _distances(turned, m.centroids).argmin(1), "id": part.id.to_numpy(), "original": [o.tobytes() for o in x.astype(kind)]})
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for frame in frames:
             for at in range(0, len(frame), 256):
-                part = frame.iloc[at : at + 512]
+                part = frame.iloc[at : at + 256]
                 x = np.array(part.v.tolist(), np.float64).reshape(len(part), -1)
                 turned = rotated(x, m.rotation, None)
                 lists = np.argsort(_distances(turned, m.centroids), axis=1, kind="stable")[:, : m.probes]
                 near = _distances(turned, m.bounding)
                 bound = np.partition(near, rank, axis=1)[:, rank] if near.shape[1] > rank else np.full(len(part), np.inf)
                 bound = bound + 1e-6 * (m.largest + (x * x).sum(axis=1))  # what single precision may lose
-                yield pd.DataFrame({"lists": list(lists.astype(np.int32)), "id": part.id.to_numpy(), "turned": [t.tobytes() for t in turned], "original": [o.tobytes() for o in x], "norm": (x * x).sum(axis=1), "bound": bound.astype(np.float64)})
+                yield pd.DataFrame({"lists": list(lists.astype(np.int32)), "id": part.id.to_numpy(), "original": [o.tobytes() for o in x.astype(kind)], "norm": (x * x).sum(axis=1), "bound": bound.astype(np.float64)})
 
-    index = materialise(good.mapInPandas(assign, "list int, id long, turned binary, original binary"), "index")
+    index = materialise(good.mapInPandas(assign, "list int, id long, original binary"), "index")
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"), dim)).dropDuplicates(["id"])
-    probed = materialise(asked.mapInPandas(probe, "lists array<int>, id long, turned binary, original binary, norm double, bound double"), "probes")
+    probed = materialise(asked.mapInPandas(probe, "lists array<int>, id long, original binary, norm double, bound double"), "probes")
 
     block = int(min(4096, max(256, 2 * n // len(model.centroids))))
     found, begin = None, 0
@@ -206,14 +213,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, how: AnnSettings | None =
         now = probed.withColumn("lists", F.slice("lists", begin + 1, end - begin))
         if found is not None:
             now = _tightened(now, found, largest, how)
-        new = materialise(_visit(index, now, block, how), "found")
+        new = materialise(_visit(index, now, block, how, sent, kind), "found")
         found, begin = new if found is None else found.union(new), end
     # Queries left with fewer than k: all lists, without abandoning anything.
     count = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= how.k)
     every = F.sequence(F.lit(0), F.lit(len(model.centroids) - 1))
     short = materialise(probed.join(count.select(F.col("query_id").alias("id")), "id", "left_anti").withColumns({"lists": every, "bound": F.lit(float("inf"))}), "short")
     if not short.isEmpty():
-        found = found.union(_visit(index, short, block, how))
+        found = found.union(_visit(index, short, block, how, sent, kind))
     return _best(found, how.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -233,21 +240,22 @@ def _tightened(probed: DataFrame, found: DataFrame, largest: float, how: AnnSett
     return probed.join(last, "id", "left").withColumn("bound", F.coalesce(tight, "bound")).select(probed.columns)
 
 
-def _visit(index: DataFrame, probed: DataFrame, block: int, how: AnnSettings) -> DataFrame:
+def _visit(index: DataFrame, probed: DataFrame, block: int, how: AnnSettings, sent, kind: type) -> DataFrame:
     """(query_id, vec_id, score): the best of each block of each probed list."""
     # At most `most_lists` rows each.
     sizes = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     calls = probed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count(F.lit(1)) / 1024).cast("int").alias("groups"))
     plan = F.broadcast(materialise(sizes.join(calls, "list"), "plan"))
-    left = index.join(plan, "list").select("list", F.pmod(hash64("id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "id", "turned", "original")
-    right = probed.select(F.explode("lists").alias("list"), "id", "turned", "original", "bound").join(plan, "list")
-    right = right.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(hash64("id"), "groups").cast("int").alias("group"), "id", "turned", "original", "bound")
+    left = index.join(plan, "list").select("list", F.pmod(hash64("id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "id", "original")
+    right = probed.select(F.explode("lists").alias("list"), "id", "original", "bound").join(plan, "list")
+    right = right.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(hash64("id"), "groups").cast("int").alias("group"), "id", "original", "bound")
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        read = lambda col, kind: np.frombuffer(b"".join(col), kind).reshape(len(col), -1)
-        found = scan(a.id.to_numpy(), read(a.turned, np.float32), read(a.original, np.float64), b.id.to_numpy(), read(b.turned, np.float32), read(b.original, np.float64), b.bound.to_numpy(), how)
+        m = sent.value
+        x, q = (np.frombuffer(b"".join(f.original), kind).reshape(len(f), -1).astype(np.float64) for f in (a, b))
+        found = scan(a.id.to_numpy(), rotated(x, m.rotation, m.largest), x, b.id.to_numpy(), rotated(q, m.rotation, None), q, b.bound.to_numpy(), how)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
     keys = ["list", "part", "group"]
