@@ -53,12 +53,12 @@ def exact_duplicates(
     salted = d.join(F.broadcast(heavy), "_sha", "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(hash64("_id"), F.coalesce("_salts", F.lit(1)))).cast("int")
     )
-    # The splitters are sampled from the texts' heads and, for texts with one head, their digests: keys
-    # of bounded size that equal texts share.
-    salted = salted.withColumn("_head", F.substring("_text", 1, HEAD))
-    run = Window.partitionBy("_head", "_sha", "_text", "_salt")
+    # The splitters are sampled from the texts' heads and, for texts with one head, a number: keys of
+    # about fifty bytes that equal texts share, as the driver holds a hundred of them a partition.
+    salted = salted.withColumns({"_head": F.substring("_text", 1, HEAD), "_number": F.xxhash64("_text")})
+    run = Window.partitionBy("_head", "_number", "_text", "_salt")
     runs = (
-        salted.repartitionByRange("_head", "_sha", "_salt")
+        salted.repartitionByRange("_head", "_number", "_salt")
         .withColumn("_row", F.row_number().over(run.orderBy(best("_id"))))
         .withColumn("_best", pick("_id").over(run))
         .withColumn("_size", F.count(F.lit(1)).over(run))

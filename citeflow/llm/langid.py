@@ -16,18 +16,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LETTER = re.compile(r"[^\W\d_]")
-#: Byte that fills windows up; its positions carry no label.
+#: What letters are among; numerals and such are told apart by ``has_letter``.
+_WORDS = re.compile(r"[^\W\d_]+")
+#: Byte that fills windows up; its positions carry no label. In a text it reads as a blank.
 PAD = 0
-LABEL_BOUND = 64
 
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds and settings of the fit. At most ``per_label`` rows of each of at most LABEL_BOUND labels
-    are read, with ``windows`` windows of ``window`` bytes from each; predictions have no bound."""
+    """Bounds and settings of the fit. At most ``per_label`` rows of each label and about ``rows`` in all
+    are read, with ``windows`` windows of ``window`` bytes from each; labels and predictions have no bound."""
 
     per_label: int = 500
+    rows: int = 32_000
     windows: int = 3
     window: int = 64
     hidden: int = 8
@@ -37,18 +38,22 @@ class Training:
     seed: int = 3
 
 
-def _hard(x: np.ndarray) -> np.ndarray:
-    """Piecewise linear sigmoid, in place."""
-    x *= 0.25
-    x += 0.5
-    return np.clip(x, 0.0, 1.0, out=x)
+def has_letter(text: str) -> bool:
+    """Whether the text has a letter (of Unicode's category L)."""
+    return any(any(map(str.isalpha, m[0])) for m in _WORDS.finditer(text))
 
 
-class BiGru:
-    """Gates z and r, candidate c: h' = z h + (1 - z) clip(c); a softmax over both directions' states.
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place, by the hyperbolic tangent, which does not overflow."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1.0
+    x *= 0.5
+    return x
 
-    The gates are piecewise linear, which costs a fraction of exponentials at no loss here.
-    """
+
+class BiGru:
+    """Gates z and r, candidate c: h' = z h + (1 - z) tanh(c); a softmax over both directions' states."""
 
     def __init__(self, params: dict[str, np.ndarray], labels: list[str]):
         self.p, self.labels = params, labels
@@ -74,17 +79,17 @@ class BiGru:
         """Add one direction's logits over ``x`` (time, batch) to ``logits`` (time, label, batch)."""
         table, gates, cand, top = (self.p[f"{k}{d}"] for k in "xgco")
         hidden = len(cand)
-        h = np.zeros((hidden, x.shape[1]), np.float32)
+        h = np.zeros((hidden, x.shape[1]), table.dtype)
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             a = np.take(table, x[t], axis=1, mode="clip")
             zr = a[: 2 * hidden]
             zr += gates @ h
-            _hard(zr)
+            _sigmoid(zr)
             z, r = zr[:hidden], zr[hidden:]
             rh = r * h
             c = a[2 * hidden :]
             c += cand @ rh
-            np.clip(c, -1.0, 1.0, out=c)
+            np.tanh(c, out=c)
             if tape is not None:
                 tape.append((t, h, z, r, rh, c))
             h = h - c
@@ -93,7 +98,7 @@ class BiGru:
             logits[t] += top @ h
 
     def position_logits(self, x: np.ndarray, tapes: tuple[list, list] | None = None) -> np.ndarray:
-        logits = np.zeros((x.shape[0], len(self.labels), x.shape[1]), np.float32)
+        logits = np.zeros((x.shape[0], len(self.labels), x.shape[1]), self.p["bias"].dtype)
         logits += self.p["bias"]
         for i, d in enumerate("fb"):
             self._run(x, d, logits, tapes and tapes[i])
@@ -108,24 +113,24 @@ class BiGru:
         real = (x != PAD)[:, None, :].astype(np.float32)
         count = max(1.0, float(real.sum()))
         cols = np.arange(x.shape[1])
-        loss = float(-(np.log(prob[:, y, cols] + 1e-9) * real[:, 0]).sum() / count)
+        loss = float(-(np.log(np.maximum(prob[:, y, cols], 1e-30)) * real[:, 0]).sum() / count)
         delta = prob
         delta[:, y, cols] -= 1
-        delta *= real / np.float32(count)
+        delta *= real / delta.dtype.type(count)
         g = {"bias": delta.sum((0, 2))[:, None]}
         for i, d in enumerate("fb"):
             gates, cand, top = (self.p[f"{k}{d}"] for k in "gco")
             hidden = len(cand)
             gg, gc, go = np.zeros_like(gates), np.zeros_like(cand), np.zeros_like(top)
-            inner = np.empty((len(x), 3 * hidden, x.shape[1]), np.float32)
-            dh = np.zeros((hidden, x.shape[1]), np.float32)
+            inner = np.empty((len(x), 3 * hidden, x.shape[1]), top.dtype)
+            dh = np.zeros((hidden, x.shape[1]), top.dtype)
             for t, h, z, r, rh, c in reversed(tapes[i]):
                 go += delta[t] @ (c + z * (h - c)).T
                 dh = dh + top.T @ delta[t]
-                dc = dh * (1 - z) * (np.abs(c) < 1)
+                dc = dh * (1 - z) * (1 - c * c)
                 drh = cand.T @ dc
-                inner[t, :hidden] = dh * (h - c) * (0.25 * ((z > 0) & (z < 1)))
-                inner[t, hidden : 2 * hidden] = drh * h * (0.25 * ((r > 0) & (r < 1)))
+                inner[t, :hidden] = dh * (h - c) * z * (1 - z)
+                inner[t, hidden : 2 * hidden] = drh * h * r * (1 - r)
                 inner[t, 2 * hidden :] = dc
                 dzr = inner[t, : 2 * hidden]
                 gc += dc @ rh.T
@@ -163,7 +168,7 @@ def byte_windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarra
     out = np.zeros((int(counts.sum()), window), np.uint8)
     flat, at = out.reshape(-1), 0
     for t, c in zip(texts, counts, strict=True):
-        flat[at : at + len(t)] = np.frombuffer(t, np.uint8)
+        flat[at : at + len(t)] = np.frombuffer(t.replace(b"\0", b" "), np.uint8)
         at += int(c) * window
     return out, np.repeat(np.arange(len(texts)), counts)
 
@@ -175,7 +180,7 @@ def train(texts: list[bytes], labels: list[str], how: Training) -> BiGru:
     rng = np.random.default_rng(how.seed)
     by_label: list[list[np.ndarray]] = [[] for _ in names]
     for text, label in zip(texts, labels, strict=True):
-        raw = np.frombuffer(text, np.uint8)
+        raw = np.frombuffer(text.replace(b"\0", b" "), np.uint8)
         for start in rng.integers(0, max(1, len(raw) - how.window + 1), how.windows):
             piece = raw[start : start + how.window]
             if len(piece):
@@ -208,20 +213,22 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, how: Training, *, id_col: str, text_col: str, lang_col: str) -> list:
     """The bounded sample, by hash of the id: at most twice ``per_label`` rows a label are collected."""
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LABEL_BOUND).collect()
+    # A row a label, and so no more than there are languages.
+    counts = usable.groupBy(lang_col).count().orderBy(lang_col).collect()
     if not counts:
         return []
+    each = max(1, min(how.per_label, how.rows // len(counts)))
     bar = None
     for lang, n in counts:
-        level = min(1.0, 1.2 * how.per_label / n)
+        level = min(1.0, 1.2 * each / n)
         bar = (F.when if bar is None else bar.when)(F.col(lang_col) == lang, F.lit(level))
     share = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(how.seed)), F.lit(1 << 20)) / float(1 << 20)
     span = F.lit(how.windows * how.window * 4)
     start = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.greatest(F.lit(1), F.length(text_col) - span)) + 1
     rows = usable.where(share < bar.otherwise(0.0)).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.substring(F.col(text_col), start.cast("int"), span).alias("text"))
-    rows = rows.orderBy(F.xxhash64("id"), "id", "text").limit(LABEL_BOUND * 2 * how.per_label).collect()
+    rows = rows.orderBy(F.xxhash64("id"), "id", "text").limit(2 * each * len(counts)).collect()
     taken: dict[str, int] = {}
-    return [r for r in rows if taken.setdefault(r.lang, 0) < how.per_label and not taken.update({r.lang: taken[r.lang] + 1})]
+    return [r for r in rows if taken.setdefault(r.lang, 0) < each and not taken.update({r.lang: taken[r.lang] + 1})]
 
 
 def identify_languages(
@@ -250,17 +257,24 @@ def identify_languages(
     return given.mapInArrow(predict, f"{id_col} {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, *, how: Training | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the documents whose language is ``und`` (no text or no letter), all columns kept.
+def keep_identified(docs: DataFrame, *, how: Training | None = None, least_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` that the network takes for one of its languages, all columns kept.
 
-    Where no row is labelled, documents go by their text alone."""
+    Documents go whose prediction is ``und`` (null text, or none of its characters a letter) or has a
+    score below ``least_score``: no learned language fits their positions. Unlike labels are not held
+    against a document. Where no row is labelled, documents go by their letters alone. Repeated rows and
+    null ids stay as they are; an empty table stays empty; extra columns of any name are kept.
+    """
     label = _labeller(docs, how or Training(), id_col=id_col, text_col=text_col, lang_col=lang_col)
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, names, _ in label(batches, at):
-            texts = names if label.labels else ["und" if not t or not _LETTER.search(t) else "" for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([x != "und" for x in texts], pa.bool_()))
+        for batch, names, scores in label(batches, at):
+            if label.labels:
+                good = [n != "und" and s >= least_score for n, s in zip(names, scores, strict=True)]
+            else:
+                good = [bool(t) and has_letter(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
@@ -277,7 +291,7 @@ def _labeller(docs: DataFrame, how: Training, *, id_col: str, text_col: str, lan
             for at in range(0, max(1, whole.num_rows), 256):
                 batch = whole.slice(at, 256)
                 texts = batch.column(column).to_pylist()
-                known = [i for i, t in enumerate(texts) if t and model.labels and _LETTER.search(t)]
+                known = [i for i, t in enumerate(texts) if t and model.labels and has_letter(t)]
                 names, scores = ["und"] * len(texts), [0.0] * len(texts)
                 windows, owner = byte_windows([texts[i].encode() for i in known], how.window)
                 prob = model.document_probabilities(windows, owner, len(known)) if known else None

@@ -94,15 +94,19 @@ def mix_sources(
 def apply_mix(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` as mixed: a document taken for two epochs comes twice, one at the cut with its first
     words, one not taken not at all (but documents without words, which cost nothing, stay once).
-    Ids must be unique in ``docs``; copies share their document's id."""
-    plan = mixed.where((F.col("taken") > 0) | (F.col("size") == 0)).select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    joined = docs.join(plan, docs[id_col] == F.col("_id"))
-    joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("_taken") / F.greatest("_size", F.lit(1)))).cast("int"))))
-    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"))
-    part = joined.withColumn("_words", words)
-    whole = part.where(F.col("_words") >= F.col("_size")).select(docs.columns)
-    cut = part.where(F.col("_words") < F.col("_size")).withColumn(text_col, first_words(F.col(text_col), F.col("_words"))).select(docs.columns)
-    return whole.unionByName(cut)
+
+    Rows of ``docs`` and ``mixed`` belong together by ``id_col``, which is unique in both (null ids match
+    nothing: give rows a number first, as ``mix_documents`` does). Columns of any name are kept; an empty
+    table gives an empty result."""
+    plan = mixed.where((F.col("taken") > 0) | (F.col("size") == 0)).select(F.col(id_col).alias("id"), "size", "taken")
+    # Both sides are wrapped, so that no column of ``docs`` can clash with one of the plan.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    joined = held.join(plan.select(F.struct("*").alias("plan")), F.col("doc")[id_col] == F.col("plan.id"))
+    copies = F.greatest(F.lit(1), F.ceil(F.col("plan.taken") / F.greatest("plan.size", F.lit(1)))).cast("int")
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    words = F.least(F.col("plan.size"), F.col("plan.taken") - (F.col("copy") - 1) * F.col("plan.size"))
+    text = F.when(words >= F.col("plan.size"), F.col("doc")[text_col]).otherwise(first_words(F.col("doc")[text_col], words))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from citeflow.llm.shared import new_path
-from citeflow.llm.tokens import token_table, with_offsets
+from citeflow.llm.tokens import by_bytes, token_table, with_offsets
 
 #: Ends every record: an id pair that no vocabulary below 65,535 has.
 RECORD_END = "\u0000\u0000"
@@ -59,7 +59,7 @@ def write_shards(
     end_id: int = 2,
     pad_id: int = 0,
     key: int = 2024,
-    shard_records: int = 1024,
+    shard_records: int = 8192,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -72,9 +72,8 @@ def write_shards(
     and empty texts give ``end_id`` alone; an empty table writes no shard.
     """
     tokens = token_table(docs, tokenizer_path=tokenizer_path, end_id=end_id, id_col=id_col, text_col=text_col)
-    pieces = slotted_pieces(tokens, length=length, key=key, shard_records=shard_records)
-    raw = F.substring(F.col("_ids"), (F.col("start") * BYTES + 1).cast("int"), (F.col("length") * BYTES).cast("int"))
-    body = pieces.select("slot", "shard", F.struct("offset", raw.cast("string").alias("raw")).alias("part"), "length")
+    parts = sequence_parts(tokens, length=length, key=key).withColumn("shard", F.expr(f"slot div {shard_records}"))
+    body = parts.select("slot", "shard", F.struct("offset", F.col("raw").cast("string").alias("raw")).alias("part"), "length")
     records = body.repartitionByRange("shard").groupBy("shard", "slot").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.sum("length").alias("n"))
     pad = F.lit(int(pad_id).to_bytes(BYTES, "little")).cast("string")
     value = F.concat(F.array_join(F.transform("parts", lambda p: p["raw"]), ""), F.repeat(pad, (F.lit(length) - F.col("n")).cast("int")))
@@ -86,12 +85,40 @@ def write_shards(
         .partitionBy("shard")
         .text(path)
     )
+    pieces = slotted_pieces(tokens.drop("_ids"), length=length, key=key, shard_records=shard_records)
     return pieces.select(id_col, "start", "length", "sequence_id", "slot", "shard", "offset")
 
 
+def sequence_parts(tokens: DataFrame, *, length: int, key: int) -> DataFrame:
+    """(slot, offset, length, raw): the ids of documents that stand next to each other, cut into sequences.
+
+    A batch's documents are one or more stretches of the whole row of ids; each is cut once, so that
+    neither a long document nor many short ones are copied for each sequence that they touch.
+    """
+    n = _sequences(tokens, length)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_bytes(whole, 2):
+                starts, counts = (batch.column(k).to_numpy() for k in (0, 1))
+                raws, breaks = batch.column(2).to_pylist(), np.nonzero(starts[1:] != starts[:-1] + counts[:-1])[0] + 1
+                for a, b in zip([0, *breaks], [*breaks, len(raws)], strict=True):
+                    run, first, end = b"".join(raws[a:b]), int(starts[a]), int(starts[b - 1] + counts[b - 1])
+                    sequence = np.arange(first // length, (end - 1) // length + 1)
+                    lo, hi = np.maximum(sequence * length, first), np.minimum((sequence + 1) * length, end)
+                    data = [run[BYTES * (x - first) : BYTES * (y - first)] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(permute(sequence, n, key)), pa.array(lo - sequence * length), pa.array(hi - lo), pa.array(data, pa.binary())], names=["slot", "offset", "length", "raw"])
+
+    return with_offsets(tokens).select("_start", "_n", "_ids").mapInArrow(cut, "slot long, offset long, length long, raw binary")
+
+
+def _sequences(tokens: DataFrame, length: int) -> int:
+    return -(-(tokens.agg(F.sum("_n")).first()[0] or 0) // length)
+
+
 def slotted_pieces(tokens: DataFrame, *, length: int, key: int, shard_records: int) -> DataFrame:
     """A row for each part of a document in one sequence, with the sequence's slot and shard."""
-    n = -(-(tokens.agg(F.sum("_n")).first()[0] or 0) // length)
+    n = _sequences(tokens, length)
 
     @pandas_udf("long")
     def slot_of(sequence: pd.Series) -> pd.Series:
@@ -107,7 +134,8 @@ def slotted_pieces(tokens: DataFrame, *, length: int, key: int, shard_records: i
 
 
 def read_shards(spark: SparkSession, path: str, *, length: int, shard_records: int, first_slot: int = 0) -> DataFrame:
-    """(slot, shard, byte_offset, ids) of every record from ``first_slot`` on, by arithmetic alone."""
+    """(slot, shard, byte_offset, ids) of every record from ``first_slot`` on, by arithmetic alone.
+    ``path`` has a shard at least; shards before the first are not read."""
     stride = BYTES * (length + 1)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +152,12 @@ def read_shards(spark: SparkSession, path: str, *, length: int, shard_records: i
                     names=["slot", "shard", "byte_offset", "ids"],
                 )
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    shard = F.regexp_extract("path", r"shard=(\d+)", 1).cast("long")
-    files = files.select(shard.alias("shard"), "content").where(F.col("shard") >= first_slot // shard_records)
+    # The folder's name is a partition column, so that earlier shards are neither opened nor read.
+    files = spark.read.format("binaryFile").load(path).select("shard", "content").where(F.col("shard") >= first_slot // shard_records)
     return files.mapInArrow(records, "slot long, shard long, byte_offset long, ids binary")
 
 
-def shard_report(docs: DataFrame, *, tokenizer_path: str, length: int = 2048, shard_records: int = 1024, id_col: str = "doc_id", **options) -> DataFrame:
+def shard_report(docs: DataFrame, *, tokenizer_path: str, length: int = 2048, shard_records: int = 8192, id_col: str = "doc_id", **options) -> DataFrame:
     """Write the shards of ``docs`` in the shared folder, read them back, and describe each sequence."""
     spark = docs.sparkSession
     path = new_path(spark, "shards")

@@ -1,14 +1,21 @@
 """The pipeline's stages on null ids, repeated rows and null labels against a plain run."""
 
+import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from citeflow.llm import langid, ngram_join
 from citeflow.llm.exact_dedup import drop_duplicates
 from citeflow.llm.mixing import mix_documents
 from citeflow.llm.ngram_join import drop_near_duplicates
+from citeflow.llm.queries import tokenizer_path
+from citeflow.llm.tokens import WordTokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,6 +119,57 @@ def test_labelled(spark):
     assert langid.keep_identified(d, how=langid.Training(steps=2)).count() == 20
 
 
+def test_clashing_columns(spark):
+    """Extra columns named like inner ones come through every stage unchanged."""
+    names = ["_id", "_words", "_key", "_copy", "_size", "_taken", "_text", "_row", "_set", "_rep", "size", "taken", "doc", "plan", "copy", "id", "a b"]
+    given = rows()
+    docs = table(spark, given).select("*", *[F.concat(F.lit(f"{n}:"), F.coalesce("text", F.lit(""))).alias(n) for n in names])
+    for stage in (drop_duplicates, drop_near_duplicates, mix_documents, lambda d: corpus_pipeline.language(spark, d, "")):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[n].startswith(f"{n}:{r.text or ''}") for n in names)
+        assert stage(docs.limit(0)).count() == 0
+
+
+def plain_mix(given):
+    """(id, source, text) as often as taken, of rows with different ids."""
+    sizes, budget = plain_targets(given)
+    out = []
+    for source in sizes:
+        order = sorted((r for r in given if r[2] == source), key=lambda r: (hashlib.md5(f"7|{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] or -1))
+        left = budget[source]
+        out += [r for r in order if not WORD.findall(r[1] or "")]
+        while left > 0 and sizes[source]:
+            for r in order:
+                n = len(WORD.findall(r[1] or ""))
+                if left > 0 and n:
+                    out.append(r if n <= left else (r[0], "".join(re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", r[1])[:left]), source))
+                left -= min(n, max(left, 0))
+    return out
+
+
+def test_whole_run(spark, tmp_path):
+    """All rows of the pipeline against the five stages run plainly."""
+    given = [(i, t, s) for i, (_, t, s) in enumerate(rows())]
+    table(spark, given).write.parquet(str(tmp_path / "documents.parquet"))
+    mixed = plain_mix(plain_near(plain_exact(plain_language(given))))
+    tok = WordTokenizer(tokenizer_path())
+    want = Counter((r[0], *tok.encode_whole(r[1] or "").tolist(), 2) for r in mixed)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ends = defaultdict(list)
+    for p in pieces:
+        ends[p.sequence_id].append((p.offset, p.length))
+    for s, held in ends.items():
+        assert [o for o, _ in sorted(held)] == [sum(n for _, n in sorted(held)[:k]) for k in range(len(held))]
+        assert sum(n for _, n in held) == 4096 or s == max(ends)
+    assert sum(p.length for p in pieces) == sum(len(x) - 1 for x in want.elements())
+    digest = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    cut = lambda x, p: digest(x[1:][p.start : p.start + p.length]) == p.ids_crc32
+    assert all(any(x[0] == p.doc_id and len(x) - 1 == p.doc_tokens and cut(x, p) for x in want) for p in pieces)
+    assert Counter((p.doc_id, p.doc_tokens) for p in pieces if p.start == 0) == Counter((x[0], len(x) - 1) for x in want.elements())
+
+
 def test_candidates_lose_no_pair(spark):
     """Chains, mixed buckets and hot groups: pairs near enough that share a bucket end up in one component."""
     rng = random.Random(3)
