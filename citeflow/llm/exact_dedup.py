@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeflow.llm.shared import ROW, hash64, materialise, numbered, text_or_empty
+from citeflow.llm.shared import hash64, materialise, text_or_empty
 
 #: Characters of a text that the sampled splitters see.
 HEAD = 32
@@ -88,11 +88,36 @@ def exact_duplicates(
     )
 
 
-def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept. Rows count singly, whatever
-    their ids: null ids lose to any other, and of rows with one id and text one stays."""
-    rows = numbered(docs)
-    known = F.col(id_col).isNotNull() if keep == "largest" else F.col(id_col).isNull()
-    keyed = rows.select(F.struct(known.alias("known"), F.col(id_col).alias("id"), F.col(ROW).alias("row")).alias("_key"), F.col(text_col))
-    kept = exact_duplicates(keyed, id_col="_key", text_col=text_col, keep=keep).where("kept").select(F.col("_key.row").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(docs.columns)
+def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", heavy_parts: int = 4096, least_heavy: int = 64) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, all columns kept.
+
+    The same content sort, with the whole rows carried along, so that no text is written or joined
+    again: the first row of each run stays, and of a heavy text's runs the best. Rows count singly,
+    whatever their ids: null ids lose to any other, of rows with one id and text one stays (by a number of
+    all their columns). Null text equals empty text; columns may have any names; an empty table stays empty.
+    """
+    if keep not in ("largest", "smallest"):
+        raise ValueError("keep must be 'largest' or 'smallest'")
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    d = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), row.alias("row"))
+    d = d.withColumns({"number": F.xxhash64("text"), "head": F.substring("text", 1, HEAD)})
+    limit = max(least_heavy, docs.count() // heavy_parts)
+    sizes = materialise(d.groupBy("number").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit), "heavy")
+    heavy = F.broadcast(sizes.select(F.col("number").alias("hot"), F.ceil(F.col("n") / limit).cast("int").alias("salts")))  # fewer than heavy_parts
+
+    tie = F.xxhash64(*[F.col("row")[c] for c in docs.columns])
+    d = d.join(heavy, F.col("number") == F.col("hot"), "left")
+    d = d.withColumns({"salt": F.pmod(hash64(tie), F.coalesce("salts", F.lit(1))).cast("int"), "tie": tie})
+    best = F.desc_nulls_last("id") if keep == "largest" else F.asc_nulls_last("id")
+    run = Window.partitionBy("head", "number", "text", "salt").orderBy(best, "tie")
+    first = d.repartitionByRange("head", "number", "salt").withColumn("place", F.row_number().over(run)).where("place = 1")
+    # Of the runs of a heavy text, fewer than two for each of the heavy_parts in all, the best one stays.
+    large = keep == "largest"
+    key = F.struct((F.col("id").isNotNull() if large else F.col("id").isNull()).alias("known"), "id", (-F.col("tie").cast("decimal(20,0)") if large else F.col("tie")).alias("tie"), "salt")
+    pick = F.max if large else F.min
+    runs = d.where(F.col("salts").isNotNull()).groupBy("text", "number", "salt").agg(pick(key).alias("key"))
+    stays = runs.groupBy("text", "number").agg(pick("key").alias("key")).select("text", "number", F.col("key.salt").alias("salt"))
+    stays = F.broadcast(materialise(stays.select(F.sha2("text", 256).alias("_sha"), F.col("number").alias("_number"), F.col("salt").alias("_salt")), "stays"))
+    same = F.col("salts").isNotNull() & (F.col("number") == F.col("_number")) & (F.col("salt") == F.col("_salt")) & (F.sha2("text", 256) == F.col("_sha"))
+    kept = first.join(stays, same, "left").where(F.col("salts").isNull() | F.col("_salt").isNotNull())
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

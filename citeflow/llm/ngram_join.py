@@ -135,9 +135,10 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
-def candidates(met: DataFrame, signs: DataFrame) -> DataFrame:
+def candidates(met: DataFrame, signs: DataFrame, limit: int = 1000) -> DataFrame:
     """Edges (``a``, ``b``) that join the representatives of ``met`` (``_key`` of a bucket, ``_rep``) which
-    may be near; ``signs`` has ``_rep`` and ``_sig``.
+    may be near; ``signs`` has ``_rep`` and ``_sig``. Buckets with more than ``limit`` members, of which
+    there are few, are split over tasks.
 
     In each bucket the members are checked against the first one. Those near enough are joined to it; those
     that are very near are settled, the others are checked again among themselves. What two checks leave is
@@ -146,15 +147,16 @@ def candidates(met: DataFrame, signs: DataFrame) -> DataFrame:
     """
     left, edges = met, None
     for _ in range(CHECKS):
-        first = left.groupBy("_key").agg(F.min("_rep").alias("_first"), F.max("_rep").alias("_last")).where("_first != _last").drop("_last")
-        held = materialise(left.join(first, "_key").where("_rep != _first"), "members")
+        first = left.groupBy("_key").agg(F.min("_rep").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_key").alias("a"), "m", "n")
+        held = _with_least(left.select(F.col("_key").alias("a"), F.col("_rep").alias("b")), first, limit)
+        held = materialise(held.where("b != m").select(F.col("a").alias("_key"), F.col("b").alias("_rep"), F.col("m").alias("_first")), "members")
         pairs = held.select("_rep", "_first").distinct().join(signs, "_rep").join(signs.select(F.col("_rep").alias("_first"), F.col("_sig").alias("_other")), "_first")
         pairs = materialise(pairs.select("_rep", "_first", agreement("_sig", "_other").alias("_near")), "checked")
         new = pairs.where(F.col("_near") >= JOINED).select(F.col("_rep").alias("a"), F.col("_first").alias("b"))
         edges = new if edges is None else edges.union(new)
         left = held.join(pairs.where(F.col("_near") < SETTLED).select("_rep", "_first"), ["_rep", "_first"], "left_semi").select("_key", "_rep")
-    rest = left.groupBy("_key").agg(F.min("_rep").alias("b"))
-    return edges.union(left.join(rest, "_key").select(F.col("_rep").alias("a"), "b"))
+    rest = left.groupBy("_key").agg(F.min("_rep").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("_key").alias("a"), "m", "n")
+    return edges.union(_with_least(left.select(F.col("_key").alias("a"), F.col("_rep").alias("b")), rest, limit).select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def _with_least(rows: DataFrame, least: DataFrame, limit: int) -> DataFrame:
@@ -284,7 +286,8 @@ def row_classes(
     reps = signed.select("_id", F.col("_set").alias("_s"), "_sig", "_bands").join(sets.select("_rep", "_set"), (F.col("_id") == F.col("_rep")) & (F.col("_s") == F.col("_set")))
 
     met = reps.select("_rep", F.posexplode("_bands").alias("_band", "_hash")).select(F.xxhash64("_band", "_hash").alias("_key"), "_rep")
-    groups = materialise(connected(candidates(met, reps.select("_rep", "_sig")), "candidates"), "groups")
+    limit = max(256, sets.count() * bands // 4096)
+    groups = materialise(connected(candidates(met, reps.select("_rep", "_sig"), limit), "candidates"), "groups")
 
     # Blocks of about `block` members and BLOCK_GRAMS n-grams; small groups share a bin, large ones have pairs of blocks.
     nodes = materialise(groups.join(sets.select(F.col("_rep").alias("node"), "_copies", "_grams"), "node"), "nodes")

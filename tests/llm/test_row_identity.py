@@ -132,6 +132,18 @@ def test_clashing_columns(spark):
         assert stage(docs.limit(0)).count() == 0
 
 
+def test_drop_heavy_texts(spark):
+    """Texts with very many copies, null ids and repeated rows among them; either end of the ids stays."""
+    given = [(i if i % 5 else None, ["hot", "warm", None, "", f"t{i % 300}"][i % 5 if i % 4 else 0], "s") for i in range(1200)] + [(7, "hot", "s")] * 30
+    docs = table(spark, given)
+    groups = defaultdict(list)
+    for i, t, _ in given:
+        groups[t or ""].append(i)
+    for keep, pick in (("largest", max), ("smallest", min)):
+        got = drop_duplicates(docs, keep=keep, least_heavy=8, heavy_parts=64)
+        assert Counter((r.doc_id, r.text or "") for r in got.collect()) == Counter((pick((i for i in g if i is not None), default=None), t) for t, g in groups.items())
+
+
 def plain_mix(given):
     """(id, source, text) as often as taken, of rows with different ids."""
     sizes, budget = plain_targets(given)
