@@ -100,6 +100,7 @@ def length_bucket(n: Column) -> Column:
     return F.when(n <= 900, "short").when(n <= 3000, "medium").otherwise("long")
 
 
+# The names in dates, and the patterns of section_types, definition_term and judge_scores below.
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
 
 
@@ -157,15 +158,24 @@ def section_url(section: Column, version: Column, title: int = 12) -> Column:
     return F.format_string(f"https://www.ecfr.gov/on/%s/title-{title}/section-%s", version, section)
 
 
+# The scores of a judge's answer.
+SCORES = ("answer_relevance", "faithfulness", "citation_support", "legal_caution", "overall")
+
+
 def judge_scores(response: Column) -> Column:
-    """A judge's answer as a struct; null where it is no object or a score is not 1 to 5."""
-    fenced = F.nullif(F.regexp_extract(response, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
-    body = F.coalesce(fenced, F.nullif(F.regexp_extract(response, r"(?s)(\{.*\})", 1), F.lit("")))
-    names = ("overall", "faithfulness", "citation_support", "completeness", "clarity")
-    read = lambda n: F.get_json_object(body, f"$.{n}").try_cast("int")
-    scores = [read(n) for n in names]
+    """A judge's answer as a struct of its scores, ``passed`` and ``issues``; null where it holds no valid
+    JSON object or a score is missing or not 1 to 5."""
+    text = strip(response)
+    fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
+    open_to_close = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+    body = F.coalesce(fenced, F.when(F.startswith(text, F.lit("{")), text).otherwise(open_to_close))
+    body = F.when(F.try_parse_json(body).isNotNull(), body)
+    read = lambda n: F.get_json_object(body, f"$.{n}")
+    scores = [read(n).try_cast("int") for n in SCORES]
     fine = scores[0].between(1, 5)
     for s in scores[1:]:
         fine = fine & s.between(1, 5)
-    passed = F.coalesce(F.get_json_object(body, "$.pass"), F.get_json_object(body, "$.passed")) == "true"
-    return F.when(fine, F.struct(*[s.alias(n) for s, n in zip(scores, names, strict=True)], passed.alias("passed")))
+    passed = ~F.coalesce(read("pass"), read("passed"), F.lit("false")).isin("false", "0", "null", "", "[]", "{}")
+    raw = read("issues")
+    issues = F.when(raw.isNull(), F.array().cast("array<string>")).when(F.startswith(raw, F.lit("[")), F.from_json(raw, "array<string>")).otherwise(F.array(raw))
+    return F.when(fine, F.struct(*[s.alias(n) for s, n in zip(scores, SCORES, strict=True)], passed.alias("passed"), issues.alias("issues")))

@@ -43,16 +43,37 @@ def citation(section: Column, date: Column) -> Column:
     return F.when(T.or_null(date).isNull(), F.concat(F.lit("12 CFR "), section)).otherwise(F.format_string("12 CFR %s (%s)", section, date))
 
 
-def final_answers(questions: DataFrame, fetched: DataFrame, verified: DataFrame) -> DataFrame:
-    """(qid, answer, citations, termination): only sections that were fetched and verified are cited.
-
-    Without any, the answer says so. The text is a fixed template, kept equal for comparison."""
-    good = fetched.join(verified.where("verified").select("qid", "section", "version_date"), ["qid", "section"])
-    held = good.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("fetch_rank", citation(F.col("section"), F.col("version_date")).alias("c")))).alias("cs"))
-    out = questions.select("qid").join(held, "qid", "left").withColumn("citations", F.coalesce(F.array_distinct("cs.c"), F.array().cast("array<string>")))
-    some = F.size("citations") > 0
-    text = F.concat(F.lit("Relevant evidence was found in "), F.array_join("citations", ", "), F.lit(". Use the cited fixed-snapshot sections to answer the question."))
-    return out.select("qid", F.when(some, text).otherwise("Insufficient verified evidence was found.").alias("answer"), "citations", F.when(some, "completed").otherwise("insufficient_evidence").alias("termination"))
+# The sentences of answers.
+ANSWER = "Relevant evidence was found in {}. Use the cited fixed-snapshot sections to answer the question."
+NO_EVIDENCE = "Insufficient information in the provided evidence."
+NOT_VERIFIED = "Insufficient information in the verified evidence."
+
+
+def final_answers(questions: DataFrame, evidence: DataFrame, fetched: DataFrame, verified: DataFrame) -> DataFrame:
+    """(qid, answer, citations, termination).
+
+    Sections that were fetched and verified are cited, in the order of fetching; where nothing was checked
+    at all, those that were fetched, and where nothing was fetched either, the first two sections of the
+    evidence. Without any, the answer says so. ``evidence`` has qid, rank, section, ``fetched`` qid,
+    fetch_rank, section, ``verified`` qid, section, verified, version_date.
+    """
+    checked = verified.select("qid").distinct().withColumn("checked", F.lit(True))
+    some = fetched.select("qid").distinct().withColumn("some", F.lit(True))
+    state = questions.select("qid").join(checked, "qid", "left").join(some, "qid", "left")
+    date = verified.select("qid", "section", "verified", "version_date")
+    cited = fetched.join(date, ["qid", "section"], "left").join(checked, "qid", "left").where(F.col("checked").isNull() | F.coalesce("verified", F.lit(False)))
+    first = evidence.where(T.or_null(F.col("section")).isNotNull()).groupBy("qid", "section").agg(F.min("rank").alias("at"))
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("at", "section"))).where("n <= 2")
+    first = first.join(state.where("checked is null and some is null").select("qid"), "qid", "left_semi")
+    shape = lambda d, order: d.select("qid", F.struct(F.col(order).cast("long").alias("at"), citation(F.col("section"), F.col("version_date")).alias("c")).alias("one"))
+    both = shape(cited, "fetch_rank").unionByName(shape(first.withColumn("version_date", F.lit(None).cast("string")), "n"))
+    held = both.groupBy("qid").agg(F.array_sort(F.collect_list("one")).alias("cs"))
+    out = state.join(held, "qid", "left").join(evidence.select("qid").distinct().withColumn("found", F.lit(True)), "qid", "left")
+    out = out.withColumn("citations", F.when(F.col("found"), F.coalesce(F.array_distinct("cs.c"), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+    good = F.size("citations") > 0
+    before, after = ANSWER.split("{}")
+    text = F.when(F.col("found").isNull(), NO_EVIDENCE).when(~good, NOT_VERIFIED).otherwise(F.concat(F.lit(before), F.array_join("citations", ", "), F.lit(after)))
+    return out.select("qid", text.alias("answer"), "citations", F.when(good, "completed").otherwise("insufficient_evidence").alias("termination"))
 
 
 def traces(answers: DataFrame, evidence: DataFrame, most: int = 10) -> DataFrame:

@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from citeflow.functions import text as T
 
 
+# What is said of each kind of failure.
+ACTIONS = {
+    "cross_section_retrieval_design_issue": "The query retrieves part of the required evidence but not every required evidence group.",
+    "cross_section_ranking_issue": "None of the required evidence sections appear in the saved ranking.",
+    "same_part_ranking_issue": "The ranking stays in the expected CFR part but favors neighboring or competing sections.",
+    "ranking_issue": "The expected section is absent from the saved ranking and top results are not concentrated in the same part.",
+}
+
+
 def group_ranks(questions: DataFrame, rankings: DataFrame) -> DataFrame:
     """(question_id, group_no, first): the rank at which each evidence group is first met, or null."""
     groups = questions.select("question_id", F.posexplode("groups").alias("group_no", "g"))
@@ -46,19 +55,19 @@ def delta(candidate: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def failure_reasons(questions: DataFrame, rankings: DataFrame, k: int = 10) -> DataFrame:
-    """(question_id, reason, found_groups) of questions whose evidence is not complete within k."""
+    """(question_id, reason, action, found_groups) of questions whose evidence is not complete within k."""
     met = group_ranks(questions, rankings.where(F.col("rank") <= k)).groupBy("question_id").agg(F.count("first").alias("found"), F.count(F.lit(1)).alias("groups"))
     parts = questions.select("question_id", F.explode(F.flatten("groups")).alias("s")).select("question_id", F.split_part("s", F.lit("."), F.lit(1)).alias("part")).distinct()
     near = rankings.where(F.col("rank") <= k).select("question_id", F.split_part("section", F.lit("."), F.lit(1)).alias("part")).distinct()
     same_part = parts.join(near, ["question_id", "part"], "left_semi").select("question_id").distinct().withColumn("same_part", F.lit(True))
     rows = questions.select("question_id", "question_type").join(met, "question_id", "left").join(same_part, "question_id", "left")
     reason = (
-        F.when((F.col("question_type") == "cross_section") & (F.coalesce("found", F.lit(0)) > 0), "partial_evidence")
-        .when(F.col("question_type") == "cross_section", "no_evidence_group")
-        .when(F.coalesce("same_part", F.lit(False)), "same_part_wrong_section")
-        .otherwise("wrong_part")
+        F.when((F.col("question_type") == "cross_section") & (F.coalesce("found", F.lit(0)) > 0), "cross_section_retrieval_design_issue")
+        .when(F.col("question_type") == "cross_section", "cross_section_ranking_issue")
+        .when(F.coalesce("same_part", F.lit(False)), "same_part_ranking_issue")
+        .otherwise("ranking_issue")
     )
-    return rows.where(F.coalesce("found", F.lit(0)) < F.coalesce("groups", F.lit(1))).select("question_id", reason.alias("reason"), F.coalesce("found", F.lit(0)).cast("long").alias("found_groups"))
+    return rows.where(F.coalesce("found", F.lit(0)) < F.coalesce("groups", F.lit(1))).select("question_id", reason.alias("reason"), F.create_map(*[F.lit(x) for item in ACTIONS.items() for x in item])[reason].alias("action"), F.coalesce("found", F.lit(0)).cast("long").alias("found_groups"))
 
 
 def missing_groups(groups: Column, cited: Column) -> Column:

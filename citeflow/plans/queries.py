@@ -70,7 +70,7 @@ SQL_SECTIONS = f"""
                doc_id % 5 <> 0 as safe_for_citation
         from documents
     ), questions as (
-        select item_id as qid, substr(text, 1, 80) || case when item_id % 2 = 0
+        select item_id as qid, text || case when item_id % 2 = 0
                then ' 12 CFR ' || {SQL_REF('item_id * 4')} || ' and § ' || {SQL_REF('item_id * 4 + 3')} else '' end as question
         from benchmark
     )"""
@@ -150,7 +150,7 @@ def explicit_hits(spark, sf_dir):
 
 def _semantic(spark, sf_dir):
     hits = retrieval.bm25(table(spark, sf_dir, "documents"), questions(spark, sf_dir), k=5)
-    return hits.join(sections(spark, sf_dir).select(F.col("doc_id").alias("doc"), "section", "text"), "doc").select("qid", "rank", "section", F.concat("section", F.lit(":chunk-0001")).alias("chunk_id"), "text")
+    return hits.join(sections(spark, sf_dir).select(F.col("doc_id").alias("doc"), "section", "text"), "doc").select("qid", "rank", "section", F.concat("section", F.lit(":chunk-0001")).alias("chunk_id"), "text").checkpoint()
 
 
 SQL_CONTEXT = f"""{SQL_SECTIONS}, asked0 as (select * from questions), {SQL_BM25}, {SQL_EXPLICIT},
@@ -213,12 +213,18 @@ def verify_citation(spark, sf_dir):
 
 
 @query(f"""with {SQL_FETCH}, c as (select qid, string_agg('12 CFR ' || section || ' (' || version_date || ')', ', ' order by fetch_rank) as cs from verified where v and u and s group by qid)
-    select questions.qid, case when cs is null then 'Insufficient verified evidence was found.' else 'Relevant evidence was found in ' || cs || '. Use the cited fixed-snapshot sections to answer the question.' end as answer,
+    select questions.qid, case when cs is null and not exists (select 1 from context c where c.qid = questions.qid) then 'Insufficient information in the provided evidence.' when cs is null then 'Insufficient information in the verified evidence.' else 'Relevant evidence was found in ' || cs || '. Use the cited fixed-snapshot sections to answer the question.' end as answer,
            case when cs is null then 'insufficient_evidence' else 'completed' end as termination from questions left join c using (qid)""")
 def answer_batch(spark, sf_dir):
-    fetched = agent.sections_to_fetch(context_rows(spark, sf_dir))
-    checked = agent.verify(fetched, sections(spark, sf_dir), version=VERSION)
-    return agent.final_answers(questions(spark, sf_dir), fetched, checked).select("qid", "answer", "termination")
+    evidence, fetched, checked = answered(spark, sf_dir)
+    return agent.final_answers(questions(spark, sf_dir), evidence, fetched, checked).select("qid", "answer", "termination")
+
+
+def answered(spark, sf_dir):
+    """Evidence, fetched sections and their checks; written once, as each is read several times."""
+    evidence = context_rows(spark, sf_dir).checkpoint()
+    fetched = agent.sections_to_fetch(evidence).checkpoint()
+    return evidence, fetched, agent.verify(fetched, sections(spark, sf_dir), version=VERSION).checkpoint()
 
 
 SQL_EVAL = f"""{SQL_CONTEXT}, gold as (
@@ -248,9 +254,13 @@ def eval_summary(spark, sf_dir):
     return evaluation.summary(evaluation.question_metrics(gold(spark, sf_dir), context_rows(spark, sf_dir).withColumnRenamed("qid", "question_id")))
 
 
+SQL_ACTION = "case reason " + " ".join(f"when '{k}' then '{v}'" for k, v in evaluation.ACTIONS.items()) + " end"
+
+
 @query(f"""with {SQL_EVAL}, near as (select distinct gold.question_id from gold, context c where c.qid = gold.question_id and c.rank <= 10 and list_contains(list_transform(flatten(groups), lambda s: split_part(s, '.', 1)), split_part(c.section, '.', 1)))
-    select question_id, case when question_type = 'cross_section' and found > 0 then 'partial_evidence' when question_type = 'cross_section' then 'no_evidence_group'
-           when question_id in (select question_id from near) then 'same_part_wrong_section' else 'wrong_part' end as reason, found as found_groups from per where found < n""")
+    select question_id, reason, {SQL_ACTION} as action, found_groups from (
+    select question_id, case when question_type = 'cross_section' and found > 0 then 'cross_section_retrieval_design_issue' when question_type = 'cross_section' then 'cross_section_ranking_issue'
+           when question_id in (select question_id from near) then 'same_part_ranking_issue' else 'ranking_issue' end as reason, found as found_groups from per where found < n)""")
 def failure_reasons(spark, sf_dir):
     return evaluation.failure_reasons(gold(spark, sf_dir), context_rows(spark, sf_dir).withColumnRenamed("qid", "question_id"))
 
@@ -269,7 +279,11 @@ def normalize_answer(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.answer_key(F.col("text")).alias("answer"))
 
 
-@query()
+# Quotes and dashes that are one.
+SQL_CONSERVATIVE = "trim(regexp_replace(lower(translate({}, '“”‘’—–−搂' || chr(160), '\"\"' || chr(39) || chr(39) || '---§ ')), '\\s+', ' ', 'g'))"
+
+
+@query(rf"""with c as (select doc_id, {SQL_CONSERVATIVE.format('nfc_normalize(text)')} as t from documents) select doc_id, sha256(t) as fingerprint, len(regexp_extract_all(t, '[a-z0-9]+(?:[.''-][a-z0-9]+)*|§'))::int as n_tokens from c""")
 def content_tokens(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"), F.size(T.content_tokens(F.col("text"))).alias("n_tokens"))
@@ -292,7 +306,13 @@ def recover_documents(spark, sf_dir):
     return corpus.recover_documents(legacy_chunks(spark, sf_dir)).select("row_id", "chunk_count", "text_sha256", "missing_ids", "round_trip")
 
 
-@query()
+@query(rf"""with {SQL_LEGACY}, d as (select row_id, chunk_count, text, len(list_filter(generate_series(0, last), lambda x: not list_contains(ids, x))) as missing, len(ids) - len(list_distinct(ids)) as doubled,
+        len(list_filter(lens[:-2], lambda n: n <> 500)) as odd, lens[-1] between 1 and 500 as tail_fits, regexp_replace(text, '\s*…\(已截断\)$', '') as body from docs),
+    groups as (select count(*) as duplicate_groups from (select 1 from d group by trim(regexp_replace(lower(text), '\s+', ' ', 'g')) having count(*) > 1)),
+    m as (select count(*) as documents, sum(chunk_count)::bigint as chunks, count_if(missing > 0) as with_missing, count_if(doubled > 0) as with_duplicates, count_if(not (odd = 0 and tail_fits)) as round_trip_failures,
+        count_if(length(trim(text)) = 0) as empty_documents, count_if(regexp_matches(text, '\s*…\(已截断\)$')) as truncated_documents, count_if(regexp_matches(body, '[㐀-鿿�]')) as cjk_documents,
+        count_if(length(trim(body)) > 0 and not regexp_matches(trim(body), '[.!?;:)\]"''”’]$')) as suspicious_endings, sum(odd)::bigint as nonstandard_chunks from d)
+    select *, case when with_missing + with_duplicates + round_trip_failures + empty_documents = 0 then 'GO' else 'NO_GO' end as gate from m, groups""")
 def recover_metrics(spark, sf_dir):
     return corpus.recovery_metrics(corpus.recover_documents(legacy_chunks(spark, sf_dir)))
 
@@ -386,7 +406,14 @@ def _pairs(spark, sf_dir):
     return families.similar_pairs(table(spark, sf_dir, "documents"), id_col="doc_id")
 
 
-@query()
+SQL_PAIRS = """sets as (select doc_id as id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) as words from documents),
+    reps as (select min(id) as id, words from sets where len(words) > 0 group by words),
+    near as (select x.id as a, y.id as b, len(list_intersect(x.words, y.words)) as met, len(x.words) + len(y.words) as n from reps x join reps y on x.id < y.id and least(len(x.words), len(y.words)) >= 0.78 * greatest(len(x.words), len(y.words)) - 1e-9),
+    pairs as (select a, b, met / (n - met) as jaccard from near where met / (n - met) >= 0.78
+        union all select r.id, s.id, 1.0 from sets s join reps r using (words) where s.id <> r.id)"""
+
+
+@query(f"with {SQL_PAIRS} select a, b, jaccard from pairs")
 def jaccard_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
@@ -395,12 +422,17 @@ def _families(spark, sf_dir):
     return families.families(table(spark, sf_dir, "documents"), _pairs(spark, sf_dir), id_col="doc_id")
 
 
-@query()
+SQL_FAMILIES = f"""recursive {SQL_PAIRS}, edges as (select a, b from pairs union select b, a from pairs),
+    reach as (select id, id as root from sets union select r.id, e.b from reach r join edges e on e.a = r.root),
+    fam as (select id, min(root) as root, 'family-' || substr(sha256('0|' || min(root)), 1, 12) as family from reach group by id)"""
+
+
+@query(f"with {SQL_FAMILIES} select id, root, family from fam")
 def equivalence_families(spark, sf_dir):
     return _families(spark, sf_dir)
 
 
-@query()
+@query(f"with {SQL_FAMILIES} select id, family, case when ('0x' || substr(sha256('0|' || family), 1, 8))::ubigint / 4294967296.0::double < 0.5 then 'held_out' else 'development' end as split from fam")
 def split_assignment(spark, sf_dir):
     return families.split_families(_families(spark, sf_dir))
 
@@ -440,8 +472,20 @@ def canonical_corpus(spark, sf_dir):
     return s.select("doc_id", T.document_id(F.col("section"), F.col("version_date")).alias("document_id"), T.embedding_text(F.col("section"), F.col("heading"), F.col("text")).alias("embedding_text"), F.sha2("text", 256).alias("text_sha256"), "safe_for_citation")
 
 
-@query()
+# What a judge might say: fenced or after words, scores in and out of range, a missing one, issues of either kind.
+def judged(spark, sf_dir):
+    score = "cast((doc_id + {}) % 6 as string)"
+    five = ", ".join(f"'\"{n}\": ', {score.format(i * (1 if n == 'overall' else 0) + 1)}, ', '" if n == "overall" else f"'\"{n}\": ', cast(3 + (doc_id + {i}) % 3 as string), ', '" for i, n in enumerate(T.SCORES))
+    issues = "case doc_id % 3 when 0 then ', \"issues\": \"one\"' when 1 then ', \"issues\": [\"one\", \"two\"]' else '' end"
+    body = f"concat('{{', {five}, '\"pass\": ', case when quality = 1 then 'true' else 'false' end, {issues}, '}}')"
+    said = f"case doc_id % 4 when 0 then concat('```json\\n', {body}, '\\n```') when 1 then concat('My view: ', {body}, ' Done.') when 2 then {body} else concat('no object', doc_id) end"
+    return table(spark, sf_dir, "labels").select("doc_id", T.judge_scores(F.expr(said)).alias("j"))
+
+
+SQL_JUDGED = """j as (select doc_id, case when doc_id % 4 <> 3 and (doc_id + 5) % 6 between 1 and 5 then true end as ok, 3 + doc_id % 3 as answer_relevance, 3 + (doc_id + 1) % 3 as faithfulness, 3 + (doc_id + 2) % 3 as citation_support,
+    3 + (doc_id + 3) % 3 as legal_caution, (doc_id + 5) % 6 as overall, quality = 1 as passed, case doc_id % 3 when 0 then ['one'] when 1 then ['one', 'two'] else [] end as issues from labels)"""
+
+
+@query(f"with {SQL_JUDGED} select doc_id, case when ok then answer_relevance end::int as answer_relevance, case when ok then overall end::int as overall, case when ok then passed end as passed, case when ok then issues end as issues from j")
 def judge_parse(spark, sf_dir):
-    d = table(spark, sf_dir, "labels")
-    said = F.format_string('Here: {"overall": %d, "faithfulness": 4, "citation_support": 5, "completeness": 3, "clarity": 4, "pass": %s}', (F.col("doc_id") % 7).cast("int"), F.when(F.col("quality") == 1, "true").otherwise("false"))
-    return d.select("doc_id", T.judge_scores(said).alias("j")).select("doc_id", "j.overall", "j.passed")
+    return judged(spark, sf_dir).select("doc_id", "j.answer_relevance", "j.overall", "j.passed", "j.issues")

@@ -70,7 +70,7 @@ def _name(e: ET.Element) -> str:
 
 
 def _text(e: ET.Element | None) -> str:
-    return " ".join("".join(e.itertext()).split()) if e is not None else ""
+    return " ".join(" ".join(e.itertext()).split()) if e is not None else ""
 
 
 def _sections(e: ET.Element, part: str, asked: str) -> Iterator[tuple[str, str, str, str]]:
@@ -80,7 +80,7 @@ def _sections(e: ET.Element, part: str, asked: str) -> Iterator[tuple[str, str,
         if _name(child).startswith("DIV"):
             head = next((x for x in child.iter() if _name(x) == "HEAD"), None)
             if kind == "PART":
-                inner = child.get("N") or (m[1] if (m := PART.search(_text(head))) else part)
+                inner = next((m[1] for x in (child.get("N") or "", _text(head)) if (m := PART.search(x))), part)
             if kind == "SECTION":
                 heading = _text(head)
                 if m := NUMBER.match(heading):

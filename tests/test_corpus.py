@@ -20,9 +20,9 @@ def test_align(spark):
     assert {r.section: (r.status, r.reason, r.legacy_id) for r in got.collect()} == {
         "1": ("exact", "normalized_text_equal", "a"),
         "2": ("high_confidence", "content_tokens_equal", "b"),
-        "3": ("review_required", "similar_text", "c"),
+        "3": ("review_required", "content_difference_detected", "c"),
         "4": ("review_required", "legacy_source_truncated", "d"),
-        "5": ("unmatched", "no_candidate", None),
+        "5": ("unmatched", "no_candidate_above_review_threshold", None),
     }
 
 
@@ -60,7 +60,7 @@ def test_metrics(spark):
     s = evaluation.summary(evaluation.question_metrics(q, r)).first()
     assert (s.hit_at_1, s.hit_at_5, s.recall_at_1, s.mrr) == (0.5, 1.0, 0.75, round((1 + 1 / 3) / 2, 6))
     assert evaluation.failure_reasons(q, r).count() == 0
-    assert evaluation.failure_reasons(q, r.where("rank = 1")).collect()[0].reason == "partial_evidence"
+    assert evaluation.failure_reasons(q, r.where("rank = 1")).collect()[0].reason == "cross_section_retrieval_design_issue"
 
 
 def test_answers(spark):
