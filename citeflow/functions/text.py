@@ -141,6 +141,22 @@ def source_label(rank: Column, doc_id: Column, *fields: Column) -> Column:
     return F.coalesce(F.nullif(joined, F.lit("")), F.concat(F.lit("chunk:"), F.coalesce(or_null(doc_id), rank.cast("string"))))
 
 
+def query_text(question: Column, headings: Column) -> Column:
+    """The question with the different headings of its sources, if it has any."""
+    named = F.array_distinct(F.filter(headings, lambda h: h.isNotNull() & (h != "")))
+    return F.when(F.coalesce(F.size(named), F.lit(0)) > 0, F.concat(question, F.lit("\nRelevant section heading: "), F.array_join(named, "; "))).otherwise(question)
+
+
+def item_body(*fields: Column) -> Column:
+    """The first of text, chunk, content and page_content that there is, else nothing."""
+    return F.coalesce(*fields, F.lit(""))
+
+
+def item_text(section: Column, heading: Column, title: Column, part: Column, *bodies: Column) -> Column:
+    """What a lexical search reads of an item: its filled fields and its first filled body, one space between."""
+    return F.concat_ws(" ", *[or_null(c) for c in (section, heading, title, part)], F.coalesce(*[or_null(b) for b in bodies]))
+
+
 def embedding_text(section: Column, heading: Column, text: Column) -> Column:
     return F.concat(F.lit("12 CFR § "), section, F.lit(" | "), heading, F.lit("\n"), text)
 
@@ -168,14 +184,22 @@ def judge_scores(response: Column) -> Column:
     text = strip(response)
     fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
     open_to_close = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
-    body = F.coalesce(fenced, F.when(F.startswith(text, F.lit("{")), text).otherwise(open_to_close))
-    body = F.when(F.try_parse_json(body).isNotNull(), body)
-    read = lambda n: F.get_json_object(body, f"$.{n}")
-    scores = [read(n).try_cast("int") for n in SCORES]
-    fine = scores[0].between(1, 5)
-    for s in scores[1:]:
-        fine = fine & s.between(1, 5)
-    passed = ~F.coalesce(read("pass"), read("passed"), F.lit("false")).isin("false", "0", "null", "", "[]", "{}")
-    raw = read("issues")
-    issues = F.when(raw.isNull(), F.array().cast("array<string>")).when(F.startswith(raw, F.lit("[")), F.from_json(raw, "array<string>")).otherwise(F.array(raw))
-    return F.when(fine, F.struct(*[s.alias(n) for s, n in zip(scores, SCORES, strict=True)], passed.alias("passed"), issues.alias("issues")))
+    found = F.coalesce(fenced, F.when(F.startswith(text, F.lit("{")), text).otherwise(open_to_close))
+
+    def read_object(body: Column) -> Column:
+        read = lambda n: F.get_json_object(body, f"$.{n}")
+        scores = [read(n).try_cast("int").alias(n) for n in SCORES]
+        passed = ~F.coalesce(read("pass"), read("passed"), F.lit("false")).isin("false", "0", "null", "", "[]", "{}")
+        return F.struct(*scores, passed.alias("passed"), read("issues").alias("raw"), F.try_parse_json(body).isNotNull().alias("valid"))
+
+    def finish(r: Column) -> Column:
+        fine = r["valid"]
+        for n in SCORES:
+            fine = fine & F.coalesce(r[n].between(1, 5), F.lit(False))
+        raw = r["raw"]
+        issues = F.when(raw.isNull(), F.array().cast("array<string>")).when(F.startswith(raw, F.lit("[")), F.from_json(raw, "array<string>")).otherwise(F.array(raw))
+        return F.when(fine, F.struct(*[r[n].alias(n) for n in SCORES], r["passed"].alias("passed"), issues.alias("issues")))
+
+    # Each step is a transformation of one element, so that the object is found and read once.
+    once = F.transform(F.transform(F.array(found), read_object), finish)
+    return F.get(once, F.lit(0))

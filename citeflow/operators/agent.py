@@ -80,3 +80,18 @@ def traces(answers: DataFrame, evidence: DataFrame, most: int = 10) -> DataFrame
     """(qid, trace): a JSON object of the answer and its first pieces of evidence."""
     e = evidence.where(F.col("rank") <= most).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "section", "source"))).alias("evidence"))
     return answers.join(e, "qid", "left").select("qid", F.to_json(F.struct("qid", "answer", "citations", "termination", "evidence")).alias("trace"))
+
+
+def used_citations(answers: DataFrame) -> DataFrame:
+    """``answers`` (qid, said, citations) with the citations that the answer names, by themselves or by
+    their section alone; all of them where it names none."""
+    named = F.filter("citations", lambda c: F.contains(F.col("said"), c) | F.contains(F.col("said"), F.regexp_replace(c, r" \([^)]*\)$", "")))
+    return answers.withColumn("citations", F.when(F.coalesce(F.size(named), F.lit(0)) > 0, named).otherwise(F.col("citations")))
+
+
+def simple_prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, evidence, answer): the numbered evidence that an answer may use; without any, the answer is
+    the fixed sentence and no model is asked. ``hits`` has qid, rank, label, text."""
+    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] Source: "), "label", F.lit("\n"), "text")
+    held = hits.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", block.alias("b"))))["b"], "\n\n").alias("evidence"))
+    return questions.select("qid").join(held, "qid", "left").withColumn("answer", F.when(F.col("evidence").isNull(), NO_EVIDENCE))

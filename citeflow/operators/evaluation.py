@@ -6,7 +6,7 @@ do, every group is needed; a single-section question has one group). Rankings ha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeflow.functions import text as T
@@ -104,3 +104,113 @@ def score_answers(answers: DataFrame) -> DataFrame:
 def process_rates(runs: DataFrame, flags: list[str], steps: str = "steps") -> DataFrame:
     """Rates of boolean columns and the mean number of steps, rounded to six places."""
     return runs.agg(F.count(F.lit(1)).alias("runs"), *[F.round(F.avg(F.col(f).cast("int")), 6).alias(f"{f}_rate") for f in flags], F.round(F.avg(steps), 6).alias("avg_steps"))
+
+
+# What a context search uses in each variant (cited sections, references, references without a citation).
+VARIANTS = {
+    "baseline": (False, False, False),
+    "explicit_only": (True, False, False),
+    "semantic_cross_reference": (False, True, True),
+    "full_context": (True, True, False),
+}
+
+
+def by_variant(questions: DataFrame, rankings: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """``summary`` of each variant of ``rankings`` (variant, question_id, rank, section), in one pass."""
+    names = rankings.select("variant").distinct()
+    key = F.concat_ws("\u0001", "variant", "question_id")
+    q = questions.crossJoin(F.broadcast(names)).withColumn("question_id", key)
+    m = question_metrics(q.drop("variant"), rankings.withColumn("question_id", key), ks).withColumn("variant", F.split_part("question_id", F.lit("\u0001"), F.lit(1)))
+    rate = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    hit = [rate(F.when(F.col("complete_rank") <= k, 1.0).otherwise(0.0), f"hit_at_{k}") for k in ks]
+    recall = [rate(F.col(f"recall_at_{k}"), f"recall_at_{k}") for k in ks]
+    rr = F.when(F.col("complete_rank") <= max(ks), 1.0 / F.col("complete_rank")).otherwise(0.0)
+    return m.groupBy("variant").agg(F.count(F.lit(1)).alias("questions"), *hit, *recall, rate(rr, "mrr"))
+
+
+def gold_expansion(questions: DataFrame, rankings: DataFrame) -> DataFrame:
+    """``rankings`` (question_id, rank, section) of cross-section questions with the first section of each
+    missing group put in after the first hit that counts, ranked anew, and ``expanded``.
+
+    It reads the labels, so it is an upper bound and no search. Questions without any such hit stay as they are.
+    """
+    cross = questions.where(F.col("question_type") == "cross_section").select("question_id", F.posexplode("groups").alias("group_no", "g"))
+    wanted = cross.select("question_id", "group_no", F.explode("g").alias("section")).distinct()
+    met = wanted.join(rankings.select("question_id", "section", "rank"), ["question_id", "section"])
+    first = met.groupBy("question_id").agg(F.min("rank").alias("after"))
+    # A missing group whose first section an earlier missing group brought in is there by then.
+    missing = cross.join(met.select("question_id", "group_no").distinct(), ["question_id", "group_no"], "left_anti").join(first, "question_id")
+    seen = F.array_distinct(F.flatten(F.collect_list(F.array(F.get("g", F.lit(0)))).over(Window.partitionBy("question_id").orderBy("group_no").rowsBetween(Window.unboundedPreceding, -1))))
+    added = missing.withColumn("before", seen).where(~F.arrays_overlap("g", "before") | (F.size("before") == 0)).select("question_id", F.col("after").alias("rank"), (F.col("group_no") + 1).alias("turn"), F.get("g", F.lit(0)).alias("section"), F.lit(True).alias("expanded"))
+    both = rankings.select("question_id", "rank", F.lit(0).alias("turn"), "section", F.lit(False).alias("expanded")).unionByName(added)
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("rank", "turn"))
+    return both.select("question_id", place.alias("rank"), "section", "expanded")
+
+
+def tool_checks(expected: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(question_id, passed, missing, mismatches): expected sections that were not found, and those whose
+    first source is another than ``expected`` (question_id, section, source) says (null: any)."""
+    first = evidence.where(T.or_null(F.col("section")).isNotNull()).groupBy("question_id", "section").agg(F.min_by("source", "rank").alias("actual"))
+    e = expected.join(first, ["question_id", "section"], "left")
+    wrong = F.col("source").isNotNull() & ~F.col("actual").eqNullSafe(F.col("source"))
+    out = e.groupBy("question_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("actual").isNull(), F.col("section")))).alias("missing"), F.array_sort(F.collect_list(F.when(wrong, F.col("section")))).alias("mismatches")
+    )
+    return out.select("question_id", ((F.size("missing") == 0) & (F.size("mismatches") == 0)).alias("passed"), "missing", "mismatches")
+
+
+def process_flags(expected: DataFrame, evidence: DataFrame, fetched: DataFrame, verified: DataFrame, answers: DataFrame) -> DataFrame:
+    """Per question (question_id): whether the expected sections were found, fetched, all fetched ones
+    verified, every citation backed by a verified section, how many steps it took, and how it ended.
+
+    A search, a step for each fetched section, one for each check, and the answer; without evidence only
+    the search."""
+    found = evidence.select("question_id", "section").union(fetched.select("question_id", "section")).distinct().withColumn("f", F.lit(True))
+    got = fetched.select("question_id", "section").distinct().withColumn("g", F.lit(True))
+    want = expected.join(found, ["question_id", "section"], "left").join(got, ["question_id", "section"], "left").groupBy("question_id").agg(F.every(F.col("f").isNotNull()).alias("found"), F.every(F.col("g").isNotNull()).alias("fetched_all"))
+    checks = fetched.select("question_id", "section").join(verified.select("question_id", "section", "verified"), ["question_id", "section"], "left")
+    checks = checks.groupBy("question_id").agg(F.every(F.coalesce("verified", F.lit(False))).alias("checked"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.when(F.col("verified"), F.concat(F.lit("12 CFR "), "section")))).alias("backed"))
+    some = evidence.select("question_id").distinct().withColumn("any", F.lit(True))
+    a = answers.join(want, "question_id", "left").join(checks, "question_id", "left").join(some, "question_id", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    backed = F.coalesce("backed", F.array().cast("array<string>"))
+    supported = (F.size("citations") > 0) & F.forall("citations", lambda c: F.exists(backed, lambda b: F.contains(c, b)))
+    steps = F.when(F.col("any").isNull(), 1).otherwise(2 + 2 * F.coalesce("n", F.lit(0)))
+    return a.select("question_id", yes("found").alias("expected_section_found"), yes("fetched_all").alias("fetch_section_success"), yes("checked").alias("citation_verified"), F.coalesce(supported, F.lit(False)).alias("final_answer_citation_supported"), steps.cast("long").alias("steps"), "termination")
+
+
+FLAGS = ("expected_section_found", "fetch_section_success", "citation_verified", "final_answer_citation_supported")
+
+
+def process_summary(flags: DataFrame) -> DataFrame:
+    """One row: questions, the rate of each flag, average steps, and how runs ended as JSON; no runs raise."""
+    ends = flags.groupBy("termination").agg(F.count(F.lit(1)).alias("n")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("termination", "n"))))).alias("terminations"))
+    one = flags.agg(F.count(F.lit(1)).alias("questions"), *[F.round(F.avg(F.col(f).cast("int")), 6).alias(f"{f}_rate") for f in FLAGS], F.round(F.avg("steps"), 6).alias("average_steps"))
+    some = F.when(F.col("questions") == 0, F.raise_error(F.lit("results must not be empty")).cast("long")).otherwise(F.col("questions"))
+    return one.withColumn("questions", some).crossJoin(ends)
+
+
+def judge_summary(scores: DataFrame) -> DataFrame:
+    """One row: questions, pass rate and the average of each score, rounded to six places; none raise."""
+    out = scores.agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg(F.col("passed").cast("int")), 6).alias("pass_rate"), *[F.round(F.avg(s), 6).alias(f"average_{s}") for s in T.SCORES])
+    some = F.when(F.col("questions") == 0, F.raise_error(F.lit("results must not be empty")).cast("long")).otherwise(F.col("questions"))
+    return out.withColumn("questions", some)
+
+
+def lineage(alignment: DataFrame) -> DataFrame:
+    """(row_id, sections): the official sections that a legacy row safely stands for, from alignment rows
+    (row_id, section, status, reason, legacy_id). Statuses and the reason are fixed values."""
+    safe = F.col("status").isin("exact", "high_confidence") | ((F.col("reason") == "legacy_source_truncated") & F.col("legacy_id").isNotNull())
+    ok = alignment.where(F.col("row_id").isNotNull() & F.coalesce(safe, F.lit(False)))
+    return ok.groupBy("row_id").agg(F.array_sort(F.collect_set("section")).alias("sections"))
+
+
+def acceptable_summary(hits: DataFrame, questions: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """One row over ``hits`` (question_id, rank, sections, acceptable): hit rates, mean reciprocal rank,
+    failures, and how many results stand for no section."""
+    per = questions.select("question_id").distinct().join(hits.groupBy("question_id").agg(F.min(F.when(F.col("acceptable"), F.col("rank"))).alias("first"), F.count(F.lit(1)).alias("results"), F.count_if(F.coalesce(F.size("sections"), F.lit(0)) < 1).alias("unmapped")), "question_id", "left")
+    hit = [F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 6).alias(f"hit_at_{k}") for k in ks]
+    return per.agg(
+        F.count(F.lit(1)).alias("questions"), *hit, F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr_at_10"),
+        F.count_if(F.col("first").isNull()).alias("failures"), F.coalesce(F.sum("unmapped"), F.lit(0)).alias("unmapped"), F.round(F.sum("unmapped") / F.sum("results"), 6).alias("unmapped_rate"),
+    )

@@ -5,17 +5,17 @@ from citeflow.sources import readers
 
 
 def test_recover(spark):
-    c = spark.createDataFrame([("1", 1, "world."), ("1", 0, "hello "), ("2", 0, "a"), ("2", 2, "b")], "row_id string, chunk_id int, chunk string")
+    c = spark.createDataFrame([("1", 1, "part two"), ("1", 0, "part one, "), ("2", 0, "a"), ("2", 2, "b")], "row_id string, chunk_id int, chunk string")
     got = {r.row_id: r for r in corpus.recover_documents(c).collect()}
-    assert got["1"].text == "hello world." and got["1"].missing_ids == []
+    assert got["1"].text == "part one, part two" and got["1"].missing_ids == []
     assert got["2"].missing_ids == [1]
     assert corpus.recovery_metrics(corpus.recover_documents(c)).first().gate == "NO_GO"
 
 
 def test_align(spark):
     long = "word " * 300
-    o = [("1", "The  Bank SHALL act."), ("2", "A rule applies here."), ("3", "the bank may lend to any of its own customers at will"), ("4", long + "end of it"), ("5", "nothing like it")]
-    g = [("a", "the bank shall act."), ("b", "A rule applies here"), ("c", "the bank may not lend to any of its own customers at will"), ("d", long.strip() + " …(已截断)")]
+    o = [("1", "Each  Lender MUST report."), ("2", "Some duty stands here."), ("3", "a branch can open on any day of the week it likes"), ("4", long + "end of it"), ("5", "nothing like it")]
+    g = [("a", "each lender must report."), ("b", "Some duty stands here"), ("c", "a branch can open not on any day of the week it likes"), ("d", long.strip() + " …(已截断)")]
     got = corpus.align(spark.createDataFrame(o, "section string, text string"), spark.createDataFrame(g, "legacy_id string, text string"))
     assert {r.section: (r.status, r.reason, r.legacy_id) for r in got.collect()} == {
         "1": ("exact", "normalized_text_equal", "a"),
@@ -53,8 +53,8 @@ def test_window_labels(spark):
 
 
 def test_metrics(spark):
-    q = spark.createDataFrame([("q1", "cross_section", [["303.65"], ["303.7", "303.9"]]), ("q2", "single_section", [["1.1"]])], "question_id string, question_type string, groups array<array<string>>")
-    r = spark.createDataFrame([("q1", 1, "303.9"), ("q1", 2, "999.1"), ("q1", 3, "303.65"), ("q2", 1, "1.1")], "question_id string, rank int, section string")
+    q = spark.createDataFrame([("q1", "cross_section", [["8.1"], ["8.2", "8.3"]]), ("q2", "single_section", [["1.1"]])], "question_id string, question_type string, groups array<array<string>>")
+    r = spark.createDataFrame([("q1", 1, "8.3"), ("q1", 2, "77.7"), ("q1", 3, "8.1"), ("q2", 1, "1.1")], "question_id string, rank int, section string")
     m = {x.question_id: x for x in evaluation.question_metrics(q, r).collect()}
     assert m["q1"].complete_rank == 3 and m["q1"].recall_at_1 == 0.5
     s = evaluation.summary(evaluation.question_metrics(q, r)).first()
@@ -64,18 +64,18 @@ def test_metrics(spark):
 
 
 def test_answers(spark):
-    rows = [("contains_all", "The limit is 50 percent.", [], ["50 percent", "$3 million", "greater"], [["1012.237", "1010.505"]], ["1012.237"])]
+    rows = [("contains_all", "At most 30 days are given.", [], ["30 days", "$9 fee", "longer"], [["5.20", "5.30"]], ["5.20"])]
     shape = "policy string, answer string, aliases array<string>, terms array<string>, groups array<array<string>>, cited array<string>"
     got = evaluation.score_answers(spark.createDataFrame(rows, shape)).first()
-    assert not got.passed and got.missing_terms == ["$3 million", "greater"] and got.missing_groups == []
+    assert not got.passed and got.missing_terms == ["$9 fee", "longer"] and got.missing_groups == []
     with pytest.raises(Exception, match="unknown policy"):
         evaluation.score_answers(spark.createDataFrame([("x", *rows[0][1:])], shape)).collect()
 
 
 def test_xml(spark, tmp_path):
-    (tmp_path / "a.xml").write_text('<ROOT><DIV5 TYPE="PART" N="1"><HEAD>PART 1</HEAD><DIV8 TYPE="SECTION"><HEAD>Sec. 1.1 Authority and scope.</HEAD><P>This part applies to <I>national</I> banks.</P></DIV8><DIV8 TYPE="SECTION"><HEAD>none</HEAD></DIV8></DIV5></ROOT>')
+    (tmp_path / "a.xml").write_text('<ROOT><DIV5 TYPE="PART" N="Part 4"><HEAD>PART 4</HEAD><DIV8 TYPE="SECTION"><HEAD>Sec. 4.2 Hours and places.</HEAD><P>Offices open on <I>every</I> weekday.</P></DIV8><DIV8 TYPE="SECTION"><HEAD>none</HEAD></DIV8></DIV5></ROOT>')
     got = readers.read_xml_sections(spark, str(tmp_path), version="2025-09-01").collect()
-    assert [(r.part, r.section, r.text) for r in got] == [("1", "1.1", "Authority and scope.\nThis part applies to national banks.")]
+    assert [(r.part, r.section, r.text) for r in got] == [("4", "4.2", "Hours and places.\nOffices open on every weekday.")]
 
 
 def test_readers(spark, tmp_path):
