@@ -23,6 +23,8 @@ from citeflow.llm.tokens import by_bytes, token_table, with_offsets
 #: Ends every record: an id pair that no vocabulary below 65,535 has.
 RECORD_END = "\u0000\u0000"
 BYTES = 2
+#: Records that a reader hands on at once.
+READ_RECORDS = 256
 
 
 def _round(x: np.ndarray, key: int, turn: int) -> np.ndarray:
@@ -144,13 +146,14 @@ def read_shards(spark: SparkSession, path: str, *, length: int, shard_records: i
                 raw = np.frombuffer(content.as_buffer(), np.uint8)
                 if len(raw) % stride:
                     raise ValueError(f"shard {shard} is not a whole number of records")
-                k = np.arange(len(raw) // stride, dtype=np.int64)
-                k = k[shard * shard_records + k >= first_slot]
-                ids = [raw[i * stride : (i + 1) * stride - BYTES].view("<u2").astype("<u4").tobytes() for i in k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard * shard_records + k), pa.array(np.full(len(k), shard, np.int64)), pa.array(k * stride), pa.array(ids, pa.binary())],
-                    names=["slot", "shard", "byte_offset", "ids"],
-                )
+                begin, end = max(0, first_slot - shard * shard_records), len(raw) // stride
+                for at in range(begin, end, READ_RECORDS):
+                    k = np.arange(at, min(end, at + READ_RECORDS), dtype=np.int64)
+                    ids = [raw[i * stride : (i + 1) * stride - BYTES].view("<u2").astype("<u4").tobytes() for i in k]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(shard * shard_records + k), pa.array(np.full(len(k), shard, np.int64)), pa.array(k * stride), pa.array(ids, pa.binary())],
+                        names=["slot", "shard", "byte_offset", "ids"],
+                    )
 
     # The folder's name is a partition column, so that earlier shards are neither opened nor read.
     files = spark.read.format("binaryFile").load(path).select("shard", "content").where(F.col("shard") >= first_slot // shard_records)
