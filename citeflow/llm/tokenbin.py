@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from citeflow.llm.shared import new_path
+from citeflow.llm.shared import new_path, worker_memory
 from citeflow.llm.tokens import by_bytes, token_table, with_offsets
 
 #: Ends every record: an id pair that no vocabulary below 65,535 has.
@@ -100,6 +100,7 @@ def sequence_parts(tokens: DataFrame, *, length: int, key: int) -> DataFrame:
     n = _sequences(tokens, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("shards")  # lets go of what the tokenizer remembers
         for whole in batches:
             for batch in by_bytes(whole, 2):
                 starts, counts = (batch.column(k).to_numpy() for k in (0, 1))
@@ -141,6 +142,7 @@ def read_shards(spark: SparkSession, path: str, *, length: int, shard_records: i
     stride = BYTES * (length + 1)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("shards")  # lets go of what the tokenizer remembers
         for b in batches:
             for shard, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = np.frombuffer(content.as_buffer(), np.uint8)
