@@ -61,7 +61,7 @@ def write_shards(
     end_id: int = 2,
     pad_id: int = 0,
     key: int = 2024,
-    shard_records: int = 8192,
+    shard_records: int = 4096,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -162,7 +162,7 @@ def read_shards(spark: SparkSession, path: str, *, length: int, shard_records: i
     return files.mapInArrow(records, "slot long, shard long, byte_offset long, ids binary")
 
 
-def shard_report(docs: DataFrame, *, tokenizer_path: str, length: int = 2048, shard_records: int = 8192, id_col: str = "doc_id", **options) -> DataFrame:
+def shard_report(docs: DataFrame, *, tokenizer_path: str, length: int = 2048, shard_records: int = 4096, id_col: str = "doc_id", **options) -> DataFrame:
     """Write the shards of ``docs`` in the shared folder, read them back, and describe each sequence."""
     spark = docs.sparkSession
     path = new_path(spark, "shards")
