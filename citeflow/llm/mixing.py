@@ -7,14 +7,16 @@ sums, and each source is cut exactly where its budget ends, after whole epochs w
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeflow.llm.shared import ROW, materialise, numbered
+from citeflow.llm.shared import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hex digits of the key that name its block: 4096 blocks a source.
-BLOCK_DIGITS = 3
+#: Rows of a source that share a block of the key, about, once there are more than 4096 such blocks.
+BLOCK_ROWS = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -70,9 +72,24 @@ def mix_sources(
     one row per source passes through a single task (a source is a column value, not a document).
     """
     d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([row_col] if row_col else []))
-    d = d.withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.lit("")))))
-    d = materialise(d.withColumn("_block", F.substring("_key", 1, BLOCK_DIGITS)), "sizes")
+    d = materialise(d.withColumn("_key", _key("_id", seed)), "sizes")
+    d = _taken(d, weights=weights, share=share, cap=cap, rows=d.count(), ties=["_id", "size", *([row_col] if row_col else [])])
+    return d.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", "taken", *([row_col] if row_col else []))
+
+
+def _key(id_col: str, seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+
+
+def _taken(d: DataFrame, *, weights: tuple[int, ...], share: float, cap: float, rows: int, ties: list[str]) -> DataFrame:
+    """``d`` (``source``, ``size``, ``_key`` and others, about ``rows`` of them) with ``source_size``, ``target``
+    and ``taken``. ``d`` is read twice: for the sums of its blocks, and to cut.
 
+    Blocks are named by the key's first hex digits, by more of them for more rows; the order is that of
+    the keys, whatever the number of digits.
+    """
+    digits = max(3, math.ceil(math.log(max(rows, 1) / BLOCK_ROWS, 16)))
+    d = d.withColumn("_block", F.substring("_key", 1, digits))
     blocks = materialise(d.groupBy("source", "_block").agg(F.sum("size").alias("_sum")), "blocks")
     sources = blocks.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     targets = source_targets(sources, weights=weights, share=share, cap=cap)
@@ -80,15 +97,25 @@ def mix_sources(
     starts = blocks.withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
     starts = materialise(starts.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(F.col("a.source").alias("_source"), F.col("_block").alias("_b"), "_start", "source_size", "target"), "starts")
 
-    inside = Window.partitionBy("source", "_block").orderBy("_key", "_id", "size", *([row_col] if row_col else [])).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_block").orderBy("_key", *ties).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_b")))
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target + 0.5) div source_size")).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_start") - F.col("_in")))
-    taken = (epochs * F.col("size") + cut).cast("long")
-    return d.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", taken.alias("taken"), *([row_col] if row_col else []))
+    return d.withColumn("taken", (epochs * F.col("size") + cut).cast("long"))
+
+
+def _repeated(held: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+    """The rows in ``doc`` of ``held`` (``doc``, ``size``, ``taken``) as often as they are taken, the last time
+    with the first words that are left; those without words once."""
+    held = held.where((F.col("taken") > 0) | (F.col("size") == 0))
+    copies = F.greatest(F.lit(1), F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")
+    held = held.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
+    text = F.when(words >= F.col("size"), F.col("doc")[text_col]).otherwise(first_words(F.col("doc")[text_col], words))
+    return held.select(*[text.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in columns])
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,22 +125,34 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text
     Rows of ``docs`` and ``mixed`` belong together by ``id_col``, which is unique in both (null ids match
     nothing: give rows a number first, as ``mix_documents`` does). Columns of any name are kept; an empty
     table gives an empty result."""
-    plan = mixed.where((F.col("taken") > 0) | (F.col("size") == 0)).select(F.col(id_col).alias("id"), "size", "taken")
+    plan = mixed.select(F.col(id_col).alias("id"), "size", "taken")
     # Both sides are wrapped, so that no column of ``docs`` can clash with one of the plan.
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     joined = held.join(plan.select(F.struct("*").alias("plan")), F.col("doc")[id_col] == F.col("plan.id"))
-    copies = F.greatest(F.lit(1), F.ceil(F.col("plan.taken") / F.greatest("plan.size", F.lit(1)))).cast("int")
-    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    words = F.least(F.col("plan.size"), F.col("plan.taken") - (F.col("copy") - 1) * F.col("plan.size"))
-    text = F.when(words >= F.col("plan.size"), F.col("doc")[text_col]).otherwise(first_words(F.col("doc")[text_col], words))
-    return joined.select(*[text.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])
-
-
-def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` as mixed, with any ids: each row has a plan of its own, null or repeated as its id may be."""
-    rows = numbered(docs)
-    plan = mix_sources(rows, id_col=id_col, text_col=text_col, row_col=ROW, **options)
-    return apply_mix(rows, plan, id_col=ROW, text_col=text_col).select(docs.columns)
+    return _repeated(joined.select("doc", "plan.size", "plan.taken"), docs.columns, text_col)
+
+
+def mix_documents(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: int = 7,
+) -> DataFrame:
+    """``docs`` as ``mix_sources`` and ``apply_mix`` would have it, with any ids, null or repeated.
+
+    The rows themselves are carried through the range sort, so no text is written or joined again; a
+    number of all their columns decides between rows of one id and size (rows that it does not tell apart
+    are equal). Columns of any name are kept; an empty table gives an empty result."""
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row.alias("doc"))
+    d = d.withColumns({"_key": _key("_id", seed), "_tie": F.xxhash64(*[F.col("doc")[c] for c in docs.columns])})
+    taken = _taken(d, weights=weights, share=share, cap=cap, rows=docs.count(), ties=["_id", "size", "_tie"])
+    return _repeated(taken, docs.columns, text_col)
 
 
 def first_words(text: Column, n: Column) -> Column:
