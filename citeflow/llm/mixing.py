@@ -86,20 +86,21 @@ def _taken(d: DataFrame, *, weights: tuple[int, ...], share: float, cap: float,
     and ``taken``. ``d`` is read twice: for the sums of its blocks, and to cut.
 
     Blocks are named by the key's first hex digits, by more of them for more rows; the order is that of
-    the keys, whatever the number of digits.
+    the keys, whatever the number of digits. The join with the blocks has the window's keys, none of them
+    null, so that rows are shuffled once even where Spark does not broadcast the blocks.
     """
     digits = max(3, math.ceil(math.log(max(rows, 1) / BLOCK_ROWS, 16)))
-    d = d.withColumn("_block", F.substring("_key", 1, digits))
+    d = d.withColumns({"_none": F.col("source").isNull(), "_name": F.coalesce(F.col("source").cast("string"), F.lit("")), "_block": F.substring("_key", 1, digits)})
     blocks = materialise(d.groupBy("source", "_block").agg(F.sum("size").alias("_sum")), "blocks")
     sources = blocks.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     targets = source_targets(sources, weights=weights, share=share, cap=cap)
     earlier = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-    starts = materialise(starts.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(F.col("a.source").alias("_source"), F.col("_block").alias("_b"), "_start", "source_size", "target"), "starts")
+    starts = materialise(starts.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(F.col("a.source").isNull().alias("_none"), F.coalesce(F.col("a.source").cast("string"), F.lit("")).alias("_name"), "_block", "_start", "source_size", "target"), "starts")
 
-    inside = Window.partitionBy("source", "_block").orderBy("_key", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_none", "_name", "_block").orderBy("_key", *ties).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    d = d.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_b")))
+    d = d.join(starts, ["_none", "_name", "_block"])
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target + 0.5) div source_size")).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
