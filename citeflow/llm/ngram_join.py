@@ -171,29 +171,31 @@ def _with_least(rows: DataFrame, least: DataFrame, limit: int) -> DataFrame:
     return met.where(F.col("_hot").isNotNull()).select("a", "b", F.col("_m").alias("m")).union(cold.select("a", "b", "m"))
 
 
+def _contents(pairs: DataFrame) -> tuple:
+    """The number of rows and two hashes over all of them, which rows in another order share."""
+    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     """(``node``, ``root``) for every node of ``edges`` (``a``, ``b``); root is the smallest node.
 
     Each round hangs the larger neighbours of a node, and itself, under the smallest one (large star),
-    then does so among the smaller ones (small star), until nothing changes. Only counts and sums reach
-    the driver; each round is a written table.
+    then does so among the smaller ones (small star). Where the first changes nothing and every node hangs
+    under one other, all are stars already. Only counts and hashes reach the driver; each half is a
+    written table.
     """
     pairs = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    state = None
-    while True:
+    while (state := _contents(pairs))[0]:
         # Fewer than 8192 nodes have more rows than the limit, as there are two rows a pair.
-        limit = max(256, pairs.count() // 4096)
+        limit = max(256, state[0] // 4096)
         both = pairs.union(pairs.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = _with_least(both.where("b > a"), low, limit).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = materialise(large, name)
+        large = materialise(_with_least(both.where("b > a"), low, limit).select(F.col("b").alias("a"), F.col("m").alias("b")), name)
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        if _contents(large) == state and least.where("n > 1").isEmpty():
+            break
         small = _with_least(large, least, limit).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         pairs = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), name)
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == state:
-            break
-        state = now
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -284,6 +286,7 @@ def row_classes(
     signed = materialise(signatures(docs, n=n, bands=bands, rows=rows, id_col=id_col, text_col=text_col), "signatures")
     sets = materialise(signed.groupBy("_set").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"), F.max("_grams").alias("_grams")), "sets")
     reps = signed.select("_id", F.col("_set").alias("_s"), "_sig", "_bands").join(sets.select("_rep", "_set"), (F.col("_id") == F.col("_rep")) & (F.col("_s") == F.col("_set")))
+    reps = materialise(reps.select("_rep", "_sig", "_bands"), "representatives")
 
     met = reps.select("_rep", F.posexplode("_bands").alias("_band", "_hash")).select(F.xxhash64("_band", "_hash").alias("_key"), "_rep")
     limit = max(256, sets.count() * bands // 4096)
@@ -319,16 +322,17 @@ def row_classes(
             counts = np.concatenate([link @ copies[-1], *([] if i == j else [link.T @ copies[0]])])
             roots = _roots(link, ids[0], ids[-1])
             ids, roots = (ids[0], roots[0]) if i == j else map(np.concatenate, (ids, roots))
-            out.append(pd.DataFrame({"_rep": ids, "_links": counts, "_to": roots}))
-        return pd.concat(out) if out else pd.DataFrame({"_rep": [], "_links": [], "_to": []})
+            out.append(pd.DataFrame({"_rep": ids, "_links": counts, "_to": roots, "_whole": g._whole.iloc[0]}))
+        return pd.concat(out) if out else pd.DataFrame({"_rep": [], "_links": [], "_to": [], "_whole": []})
 
-    compared = held.select("_task", "root", F.col("_pair.i").alias("i"), F.col("_pair.j").alias("j"), "_block", "_rep", "_copies", "_text")
-    compared = materialise(compared.groupBy("_task").applyInPandas(compare, f"_rep {kind}, _links long, _to {kind}"), "compared")
-    counts = compared.groupBy("_rep").agg(F.sum("_links").alias("_links"))
-    classes = connected(compared.select(F.col("_rep").alias("a"), F.col("_to").alias("b")), "classes")
+    compared = held.select("_task", "root", F.col("_pair.i").alias("i"), F.col("_pair.j").alias("j"), "_block", (F.col("_parts") == 1).alias("_whole"), "_rep", "_copies", "_text")
+    compared = materialise(compared.groupBy("_task").applyInPandas(compare, f"_rep {kind}, _links long, _to {kind}, _whole boolean"), "compared")
+    # A group in one block is closed by its task; those of several blocks are closed over their tasks.
+    counts = compared.groupBy("_rep").agg(F.sum("_links").alias("_links"), F.min(F.when(F.col("_whole"), F.col("_to"))).alias("_closed"))
+    classes = connected(compared.where(~F.col("_whole")).select(F.col("_rep").alias("a"), F.col("_to").alias("b")), "classes")
 
     named = sets.join(counts, "_rep", "left").join(classes.select(F.col("node").alias("_rep"), "root"), "_rep", "left")
-    named = named.select("_set", F.coalesce("root", "_rep").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).cast("long").alias("n_links"), F.col("_rep").alias("set_id"))
+    named = named.select("_set", F.coalesce("root", "_closed", "_rep").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).cast("long").alias("n_links"), F.col("_rep").alias("set_id"))
     return signed.select(F.col("_id").alias(id_col), "_set").join(named, "_set").select(id_col, "class_id", "n_links", "set_id")
 
 
