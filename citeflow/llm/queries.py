@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeflow.llm import ann, exact_dedup, html_extract, langid, licenses, mixing, ngram_join, packing, tokenbin, warc
+from citeflow.llm import ann, exact_dedup, filter_audit, html_extract, langid, licenses, mixing, ngram_join, packing, pii, prefix_trie, tokenbin, warc
 from citeflow.llm.tokens import WORD_BPE
 
 
@@ -62,10 +62,24 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
-    for f in (op1_html_wrapper, op2_warc_revisits, op3_license_scan, op4_packing, op5_ngram_join, op6_language_id, op7_source_mix, op8_exact_dedup, op9_token_shards, op10_nearest)
-}
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+_OPERATORS = (
+    op1_html_wrapper, op2_warc_revisits, op3_license_scan, op4_packing, op5_ngram_join, op6_language_id, op7_source_mix, op8_exact_dedup, op9_token_shards, op10_nearest,
+    op11_personal_data, op12_filter_audit, op13_prefix_trie,
+)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_revisits": """
@@ -126,4 +140,91 @@ ORACLE_SQL: dict[str, str] = {
         from documents
         window g as (partition by coalesce(text, ''))
     """,
+    "op12_filter_audit": r"""
+        with w as (
+            select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+            from documents
+        ), f as (
+            select w.part, coalesce(l.quality = 1, false) as good, coalesce(l.toxic = 1, false) as toxic,
+                   map {'A': len(words) < 50,
+                        'B': 100 * len(list_distinct(words)) < 65 * len(words),
+                        'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t),
+                        'D': regexp_matches(t, '[#$%&*|]'),
+                        'E': w.doc_id > min(w.doc_id) over (partition by t)} as fails
+            from w left join labels l on w.doc_id = l.doc_id
+        ), x as (
+            select unnest(['A', 'B', 'C', 'D', 'E']) as x
+        ), o as (
+            select a.x || b.x || c.x || d.x || e.x as filter_order
+            from x a, x b, x c, x d, x e
+            where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), s as (
+            select filter_order, step::int as step, substr(filter_order, step::int, 1) as letter,
+                   list_filter(string_split(filter_order, ''), lambda v, i: i < step) as earlier
+            from o, range(1, 6) r(step)
+        ), c as (
+            select part, fails, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+            from f group by part, fails
+        ), r as (
+            select part, filter_order, step, letter, n, good, toxic, fails[letter] as failing,
+                   len(list_filter(earlier, lambda v: fails[v])) > 0 as gone,
+                   len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda v: fails[v])) as all_fails
+            from c, s
+        ), g as (
+            select part, filter_order, step, letter,
+                   coalesce(sum(n) filter (where not gone and not failing), 0)::bigint as kept,
+                   coalesce(sum(n) filter (where not gone and failing), 0)::bigint as removed,
+                   coalesce(sum(n) filter (where gone and failing), 0)::bigint as redundant,
+                   coalesce(sum(n) filter (where failing and all_fails = 1), 0)::bigint as unique_fails,
+                   coalesce(sum(good) filter (where not gone and failing), 0)::bigint as good_lost,
+                   coalesce(sum(toxic) filter (where not gone and failing), 0)::bigint as toxic_lost
+            from r group by part, filter_order, step, letter
+        )
+        select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) over (partition by part, letter))::bigint as shapley
+        from g
+    """,
+    "op13_prefix_trie": """
+        with t as (
+            select conv_id, conv_id - conv_id % 5 as base, coalesce(role, '') as role, coalesce(text, '') as text,
+                   row_number() over (partition by conv_id order by turn nulls first,
+                       sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos
+            from conversations where conv_id is not null
+        ), c as (
+            select conv_id, conv_id - conv_id % 5 as base,
+                   xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::varchar, ''),
+                           lambda x: [ord(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+                       lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 9 as h
+            from t group by conv_id
+        ), u as (
+            select c.conv_id, t.pos, 0 as own, role, text from c join t on t.conv_id = c.base where t.pos <= c.h
+            union all
+            select c.conv_id, t.pos, 1 as own, role, text from c join t using (conv_id) where t.pos > c.h
+        ), v as (
+            select conv_id, sha256(role || chr(1) || text) as d, strlen(text) as bytes,
+                   row_number() over (partition by conv_id order by own, pos) as depth
+            from u
+        ), k as (
+            select conv_id, depth, bytes, sha256(string_agg(d, '') over (partition by conv_id order by depth)) as key,
+                   sha256(coalesce(string_agg(d, '') over (partition by conv_id order by depth rows between unbounded preceding and 1 preceding), '')) as parent
+            from v
+            union all
+            select conv_id, 0, 0, sha256(''), null from c
+        ), e as (
+            select *, depth = max(depth) over (partition by conv_id) as last from k
+        ), n as (
+            select key, any_value(parent) as parent, any_value(depth) as depth, any_value(bytes) as bytes, min(conv_id) as conv_id, count(*) as n_convs,
+                   sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where last), '')) as ends_sha256
+            from e group by key
+        ), p as (
+            select n.*, q.conv_id as parent_conv_id, (select count(*) from n z where z.parent = n.key) as n_children
+            from n left join n q on n.parent = q.key
+        ), s as (
+            select k.key, sum((p.n_children = 0)::int)::bigint as n_leaves, sum((p.n_convs - 1) * p.bytes)::bigint as saved_tokens
+            from p join k on k.conv_id = p.conv_id and k.depth <= p.depth
+            group by k.key
+        )
+        select conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 from p join s using (key)
+    """,
 }
