@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeflow.functions import text as T
+from citeflow.operators.positions import numbered
 from citeflow.operators.evaluation import score_answers
 
 # What shows a question type in a text, in the order of preference, and what its questions ask.
@@ -204,15 +205,11 @@ def assemble_records(candidates: DataFrame, drafts: DataFrame, sections: DataFra
     c = c.select("candidate_id", "route", kind.alias("question_type"), wanted.alias("wanted"), problem.alias("problem"))
     each = c.select("candidate_id", F.posexplode("wanted").alias("at", "section")).join(sections.select("section", "heading", "source_url"), "section", "left")
     held = each.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("at", "section", "heading", "source_url"))).alias("s"), F.count_if(F.col("heading").isNull()).alias("lost"))
-    # Numbers by counting within ranges of ids, so that no task sees all candidates.
     return _numbered(c, held)
 
 
 def _numbered(c: DataFrame, held: DataFrame) -> DataFrame:
-    keyed = c.withColumns({"late": (F.col("route") == "cross").cast("int"), "bin": F.substring("candidate_id", 1, 6)})
-    bins = keyed.groupBy("late", "bin").agg(F.count(F.lit(1)).alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("late", "bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = keyed.join(bins.withColumn("before", before), ["late", "bin"])
-    number = F.col("before") + F.row_number().over(Window.partitionBy("late", "bin").orderBy("candidate_id"))
+    number = F.col("at") + 1
+    placed = numbered(c.withColumn("late", (F.col("route") == "cross").cast("int")), ["late", "candidate_id"])
     out = placed.withColumn("question_id", F.format_string("title12-dev-q%03d", number.cast("long"))).join(held, "candidate_id", "left")
     return out.select("question_id", "candidate_id", "question_type", F.col("s.section").alias("sections"), F.col("s.source_url").alias("urls"), F.col("s.heading").alias("headings"), F.coalesce("problem", F.when(F.coalesce("lost", F.lit(1)) > 0, "unknown section")).alias("problem"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from citeflow.functions.text import section_key
+from citeflow.operators.positions import evenly_spaced  # noqa: F401
 
 # Fixed values of the snapshot format.
 BODY = ("P", "NOTE", "EXAMPLE", "XREF", "FP")
@@ -53,18 +54,6 @@ def union_files(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def evenly_spaced(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """``n`` rows at even distances in the order, first and last included; half positions go to the even one."""
-    total = rows.count()
-    if not 0 < n <= total:
-        raise ValueError("sample larger than the rows")
-    from pyspark.sql import Window
-
-    wanted = [0] if n == 1 else sorted({round(i * (total - 1) / (n - 1)) for i in range(n)})
-    placed = rows.withColumn("_at", F.row_number().over(Window.orderBy(order)) - 1)
-    return placed.where(F.col("_at").isin(wanted)).drop("_at")
-
-
 def _name(e: ET.Element) -> str:
     return e.tag.rpartition("}")[2].upper()
 
