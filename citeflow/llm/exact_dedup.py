@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeflow.llm.shared import hash64, materialise, text_or_empty
+from citeflow.llm.shared import materialise, row_hash, text_or_empty, wrapped
 
 #: Characters of a text that the sampled splitters see.
 HEAD = 32
@@ -51,7 +51,7 @@ def exact_duplicates(
     best = F.desc_nulls_last if keep == "largest" else F.asc_nulls_last
     pick = F.max if keep == "largest" else F.min
     salted = d.join(F.broadcast(heavy), "_sha", "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(hash64("_id"), F.coalesce("_salts", F.lit(1)))).cast("int")
+        "_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.coalesce("_salts", F.lit(1)))).cast("int")
     )
     # The splitters are sampled from the texts' heads and, for texts with one head, a number: keys of
     # about fifty bytes that equal texts share, as the driver holds a hundred of them a partition.
@@ -67,23 +67,24 @@ def exact_duplicates(
     first = F.col("_salts").isNotNull() & (F.col("_row") == 1)
     runs = materialise(runs.select("_id", "_sha", "_salt", "_salts", "_row", "_best", "_size", F.when(first, F.col("_text")).alias("_text")), "runs")
 
-    heads = runs.where(first).select("_text", "_sha", "_salt", "_best", "_size")
-    whole = heads.groupBy("_text").agg(pick("_best").alias("_keep"), F.sum("_size").alias("_total"))
-    merged = heads.join(whole, "_text").select("_sha", "_salt", F.col("_best").alias("_run"), "_keep", "_total")
+    # A heavy text's runs are told apart by their best ids and, where these are equal, by their salts.
+    large = keep == "largest"
+    key = F.struct((F.col("_best").isNotNull() if large else F.col("_best").isNull()).alias("known"), F.col("_best").alias("id"), F.col("_salt").alias("salt"))
+    heads = runs.where(first).select("_text", "_sha", "_salt", "_size", key.alias("_run"))
+    whole = heads.groupBy("_text").agg(pick("_run").alias("_first"), F.sum("_size").alias("_total"))
+    merged = heads.join(whole, "_text").select("_sha", "_salt", "_first", "_total")
     # Fewer than heavy_parts texts with rows / limit runs at most: under 2 * heavy_parts rows.
     out = runs.drop("_text").join(
         F.broadcast(merged.withColumnsRenamed({"_sha": "_h", "_salt": "_s"})),
-        F.col("_salts").isNotNull() & (F.col("_sha") == F.col("_h")) & (F.col("_salt") == F.col("_s")) & F.col("_best").eqNullSafe(F.col("_run")),
+        F.col("_salts").isNotNull() & (F.col("_sha") == F.col("_h")) & (F.col("_salt") == F.col("_s")),
         "left",
     )
-    merged_here = F.col("_total").isNotNull()
-    keep_id = F.when(merged_here, F.col("_keep")).otherwise(F.col("_best"))
-    # With null ids only, the run that holds them is the single one (equal ids share a salt).
+    heavy_here = F.col("_total").isNotNull()
     return out.select(
         F.col("_id").alias(id_col),
-        keep_id.alias("keep_id"),
+        F.when(heavy_here, F.col("_first.id")).otherwise(F.col("_best")).alias("keep_id"),
         F.coalesce("_total", "_size").cast("long").alias("group_size"),
-        ((F.col("_row") == 1) & F.col("_best").eqNullSafe(keep_id)).alias("kept"),
+        ((F.col("_row") == 1) & (~heavy_here | (F.col("_salt") == F.col("_first.salt")))).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
 
@@ -94,30 +95,27 @@ def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     The same content sort, with the whole rows carried along, so that no text is written or joined
     again: the first row of each run stays, and of a heavy text's runs the best. Rows count singly,
     whatever their ids: null ids lose to any other, of rows with one id and text one stays (by a number of
-    all their columns). Null text equals empty text; columns may have any names; an empty table stays empty.
+    all their columns). Null text equals empty text; columns may have any names and types; an empty table stays empty.
     """
     if keep not in ("largest", "smallest"):
         raise ValueError("keep must be 'largest' or 'smallest'")
-    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
-    d = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), row.alias("row"))
+    row = F.col("row")
+    d = wrapped(docs, "row").select(row[id_col].alias("id"), F.coalesce(row[text_col], F.lit("")).alias("text"), "row")
     d = d.withColumns({"number": F.xxhash64("text"), "head": F.substring("text", 1, HEAD)})
     limit = max(least_heavy, docs.count() // heavy_parts)
     sizes = materialise(d.groupBy("number").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit), "heavy")
     heavy = F.broadcast(sizes.select(F.col("number").alias("hot"), F.ceil(F.col("n") / limit).cast("int").alias("salts")))  # fewer than heavy_parts
 
-    tie = F.xxhash64(*[F.col("row")[c] for c in docs.columns])
-    d = d.join(heavy, F.col("number") == F.col("hot"), "left")
-    d = d.withColumns({"salt": F.pmod(hash64(tie), F.coalesce("salts", F.lit(1))).cast("int"), "tie": tie})
-    best = F.desc_nulls_last("id") if keep == "largest" else F.asc_nulls_last("id")
-    run = Window.partitionBy("head", "number", "text", "salt").orderBy(best, "tie")
-    first = d.repartitionByRange("head", "number", "salt").withColumn("place", F.row_number().over(run)).where("place = 1")
-    # Of the runs of a heavy text, fewer than two for each of the heavy_parts in all, the best one stays.
-    large = keep == "largest"
-    key = F.struct((F.col("id").isNotNull() if large else F.col("id").isNull()).alias("known"), "id", (-F.col("tie").cast("decimal(20,0)") if large else F.col("tie")).alias("tie"), "salt")
-    pick = F.max if large else F.min
-    runs = d.where(F.col("salts").isNotNull()).groupBy("text", "number", "salt").agg(pick(key).alias("key"))
-    stays = runs.groupBy("text", "number").agg(pick("key").alias("key")).select("text", "number", F.col("key.salt").alias("salt"))
-    stays = F.broadcast(materialise(stays.select(F.sha2("text", 256).alias("_sha"), F.col("number").alias("_number"), F.col("salt").alias("_salt")), "stays"))
-    same = F.col("salts").isNotNull() & (F.col("number") == F.col("_number")) & (F.col("salt") == F.col("_salt")) & (F.sha2("text", 256) == F.col("_sha"))
-    kept = first.join(stays, same, "left").where(F.col("salts").isNull() | F.col("_salt").isNotNull())
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    d = d.join(heavy, F.col("number") == F.col("hot"), "left").withColumn("tie", row_hash(row, docs.schema))
+    best = [F.desc_nulls_last("id") if keep == "largest" else F.asc_nulls_last("id"), F.col("tie")]
+
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*best))).where("place = 1").drop("place")
+
+    light = first(d.where(F.col("salts").isNull()).repartitionByRange("head", "number"), "head", "number", "text")
+    # Heavy texts are cut into runs of about ``limit`` rows by a number of the row, whatever its id; the runs'
+    # best rows, fewer than two for each of the heavy_parts in all, are written before the best of them stays.
+    runs = d.where(F.col("salts").isNotNull()).withColumn("salt", F.pmod(F.monotonically_increasing_id(), "salts"))
+    runs = materialise(first(runs.repartitionByRange("head", "number", "salt"), "head", "number", "text", "salt"), "runs")
+    kept = light.select("row").unionByName(first(runs, "number", "text").select("row"))
+    return kept.select(*[row[c].alias(c) for c in docs.columns])

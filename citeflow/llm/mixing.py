@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeflow.llm.shared import materialise
+from citeflow.llm.shared import materialise, row_hash, wrapped
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a source that share a block of the key, about, once there are more than 4096 such blocks.
@@ -128,7 +128,7 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text
     table gives an empty result."""
     plan = mixed.select(F.col(id_col).alias("id"), "size", "taken")
     # Both sides are wrapped, so that no column of ``docs`` can clash with one of the plan.
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    held = wrapped(docs)
     joined = held.join(plan.select(F.struct("*").alias("plan")), F.col("doc")[id_col] == F.col("plan.id"))
     return _repeated(joined.select("doc", "plan.size", "plan.taken"), docs.columns, text_col)
 
@@ -148,10 +148,10 @@ def mix_documents(
 
     The rows themselves are carried through the range sort, so no text is written or joined again; a
     number of all their columns decides between rows of one id and size (rows that it does not tell apart
-    are equal). Columns of any name are kept; an empty table gives an empty result."""
-    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
-    d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row.alias("doc"))
-    d = d.withColumns({"_key": _key("_id", seed), "_tie": F.xxhash64(*[F.col("doc")[c] for c in docs.columns])})
+    are equal). Columns of any name and type are kept; an empty table gives an empty result."""
+    doc = F.col("doc")
+    d = wrapped(docs).select(doc[id_col].alias("_id"), doc[source_col].alias("source"), word_count(doc[text_col]).alias("size"), "doc")
+    d = d.withColumns({"_key": _key("_id", seed), "_tie": row_hash(doc, docs.schema)})
     taken = _taken(d, weights=weights, share=share, cap=cap, rows=docs.count(), ties=["_id", "size", "_tie"])
     return _repeated(taken, docs.columns, text_col)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from citeflow.llm.shared import ROW, hash64, materialise, numbered, worker_memory
+from citeflow.llm.shared import ROW, hash64, materialise, numbered, wrapped, worker_memory
 
 _WORD = re.compile(r"\w+")
 #: Columns of a set-by-n-gram matrix that are held at once.
@@ -263,8 +263,8 @@ def ngram_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     as documents of their own; an empty table gives an empty result; other columns are ignored.
     ``options`` are those of ``row_classes``.
     """
-    rows = numbered(docs.select(id_col, text_col))
-    found = materialise(row_classes(rows, id_col=ROW, text_col=text_col, **options).join(rows.select(ROW, F.col(id_col).alias("_id")), ROW), "found")
+    rows = numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")))
+    found = materialise(row_classes(rows, id_col=ROW, **options).join(rows.select(ROW, "_id"), ROW), "found")
     sets = found.groupBy(F.col("set_id").alias("_set"), F.col("class_id").alias("_class")).agg(F.min("_id").alias("_least"))
     classes = sets.groupBy(F.col("_class").alias("_c")).agg(F.min("_least").alias("_root"))
     named = materialise(sets.join(classes, F.col("_class") == F.col("_c")).select("_set", "_least", "_root"), "named")
@@ -338,9 +338,11 @@ def row_classes(
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the document of smallest id of each class, all columns kept. Null ids lose to any
-    other, and of rows with one id in a class one stays."""
-    rows = numbered(docs)
-    found = row_classes(rows, id_col=ROW, text_col=text_col, **options).select(ROW, "class_id")
-    order = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.col(ROW).alias("row"))
+    other, and of rows with one id in a class one stays. Columns may have any names and types."""
+    rows = numbered(wrapped(docs))
+    doc = F.col("doc")
+    found = row_classes(rows.select(ROW, doc[text_col].alias("text")), id_col=ROW, **options).select(ROW, "class_id")
+    order = F.struct(doc[id_col].isNull().alias("unknown"), doc[id_col].alias("id"), F.col(ROW).alias("row"))
     kept = found.join(rows.select(ROW, order.alias("_order")), ROW).groupBy("class_id").agg(F.min("_order").alias("_first"))
-    return rows.join(kept.select(F.col("_first.row").alias(ROW)), ROW, "left_semi").select(docs.columns)
+    kept = rows.join(kept.select(F.col("_first.row").alias(ROW)), ROW, "left_semi")
+    return kept.select(*[doc[c].alias(c) for c in docs.columns])

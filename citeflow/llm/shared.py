@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,10 +77,31 @@ ROW = "_row_number"
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` written once with a number of its own for each row, in ROW, whatever its ids are."""
+    """``df`` written once with a number of its own for each row, in ROW, whatever its ids are. ``df`` has no
+    such column: callers choose its columns, or wrap them."""
     return materialise(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
+def wrapped(df: DataFrame, name: str = "doc") -> DataFrame:
+    """``df`` as one struct column, so that its columns, whatever they are called, clash with nothing."""
+    return df.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias(name))
+
+
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, (MapType, VariantType)):
+        return False
+    if isinstance(kind, ArrayType):
+        return _hashable(kind.elementType)
+    return all(_hashable(f.dataType) for f in kind.fields) if isinstance(kind, StructType) else True
+
+
+def row_hash(struct: Column, kind: StructType) -> Column:
+    """A number of all fields of a struct column; maps and variants, which Spark does not hash, by their JSON."""
+    plain = [struct[f.name] for f in kind.fields if _hashable(f.dataType)]
+    other = [F.to_json(F.struct(struct[f.name].alias("v"))) for f in kind.fields if not _hashable(f.dataType)]
+    return F.xxhash64(*plain, *other)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
