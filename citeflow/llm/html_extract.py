@@ -32,8 +32,10 @@ VARIANTS = 64
 DEPTH = 200
 #: Wrappers that one task merges, and nodes that a task holds before it hands its wrappers on.
 FAN, HELD = 64, 200_000
-#: Different pages that a text must stand alike on to be template text.
-ALIKE = 3
+#: Different pages that a text must stand alike on to be template text, and what its characters then weigh.
+ALIKE, TEMPLATE = 3, 0.05
+#: Bytes of all wrappers up to which each task gets all of them.
+SHIPPED = 16 << 20
 
 # Elements by what they mean for reading text.
 RAW = frozenset("script style noscript template iframe textarea title svg math object select button canvas audio video".split())
@@ -53,9 +55,12 @@ MARKS = frozenset(
 # What else a compound name such as site-footer or cookie-bar may have and still be a mark.
 AFFIXES = frozenset("site top bottom left right primary secondary global bar box list link links area block slot unit item items button buttons icon icons inner outer bg text".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:.-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:.-]*)([^>]*)>""", re.S)
+_START = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][\w:.-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][\w:.-]*)")
+#: Characters of a tag within which quotes are followed; a longer one ends at its first closing bracket.
+LONGEST_TAG = 1 << 16
 _ATTR = re.compile(r"""([\w:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_CUT = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
@@ -88,6 +93,11 @@ def label_of(name: str, attrs: str) -> str:
     return name + ("." + " ".join(tokens) if tokens else "") + ("!" if hidden else "")
 
 
+def whole_or_digest(text: str) -> str:
+    """What a slot remembers of a text: a short one, or the digest of a long one."""
+    return text if len(text) <= 64 else xxhash.xxh3_128_hexdigest(text)
+
+
 def split_label(label: str) -> tuple[str, list[str], bool]:
     """(tag, class, id and role tokens, hidden)."""
     name, _, rest = label.removesuffix("!").partition(".")
@@ -115,20 +125,30 @@ class Page:
                 open_count[n] -= 1
             del stack[at:], names[at:]
 
-        pos, size = 0, len(page)
+        pos, size, close_at, endless = 0, len(page), -1, set()
         while pos < size:
-            m = _TAG.search(page, pos)
+            m = _START.search(page, pos)
             if m is None:
-                # A tag that the page's end cuts off is no text.
-                cut = _CUT.search(page, pos)
-                text(page[pos : cut.start()] if cut else page[pos:])
+                text(page[pos:])
                 break
-            text(page[pos : m.start()])
-            pos = m.end()
-            name = (m[2] or m[5] or "").lower()
-            if not name:
+            at = m.start()
+            text(page[pos:at])
+            if page[at + 1] in "!?":
+                comment = page.startswith("<!--", at)
+                end = page.find("-->" if comment else ">", at + 2 + 2 * comment)
+                pos = size if end < 0 else end + (3 if comment else 1)
                 continue
-            closing, attrs = m[1] or m[4], (m[3] if m[2] else m[6]) or ""
+            if close_at < at:
+                close_at = page.find(">", at)
+                if close_at < 0:
+                    break  # A tag that the page's end cuts off is no text.
+            m = _TAG.match(page, at, min(size, at + LONGEST_TAG))
+            if m:
+                pos, attrs = m.end(), m[3]
+            else:
+                m = _NAME.match(page, at, close_at)
+                pos, attrs = close_at + 1, page[m.end() : close_at]
+            closing, name = m[1], m[2].lower()
             if closing:
                 if name not in VOID and open_count.get(name):
                     at = len(names) - 1
@@ -138,7 +158,9 @@ class Page:
                 continue
             if name in RAW:
                 if not attrs.endswith("/"):
-                    end = _end_of(name).search(page, pos)
+                    end = None if name in endless else _end_of(name).search(page, pos)
+                    if end is None:
+                        endless.add(name)
                     pos = end.end() if end else size if name in ("script", "style") else pos
                 continue
             if name in CLOSES_P and open_count.get("p"):
@@ -269,12 +291,13 @@ class Wrapper:
             for c in kids:
                 if page.labels[c] == "#":
                     text = page.texts[c].strip()
-                    self._text(node[c], text, len(text), len(text) if link[c] else 0, [key], 1)
+                    self._text(node[c], whole_or_digest(text), len(text), len(text) if link[c] else 0, [key], 1)
 
     def _text(self, slot: int, text: str | None, chars: int, linked: int, keys: list[int], times: int) -> None:
+        """Count a text, or some equal ones; None where they differ."""
         if not self.occurs[slot]:
-            self.constant[slot] = text[:200] if text is not None else None
-        elif text is None or self.constant[slot] != text[:200]:
+            self.constant[slot] = text
+        elif self.constant[slot] != text:
             self.constant[slot] = None
         self.occurs[slot] += times
         self.chars[slot] += chars
@@ -358,8 +381,11 @@ class Wrapper:
 
         From the page down, the box that holds most of the unlinked, varying text of all pages is
         followed. The lowest <article> or <main> on that way that holds half of it is the article, else
-        the lowest box with four fifths. Class words only lower a box's weight, and not where they stand
-        around an article, or around half of all text, of a page that has no article elsewhere.
+        the lowest box with four fifths; a single <article> or <main> off that way is the article, too.
+        Class words only lower a box's weight, and not where they stand around an article, or around half
+        of all text, of a page that has no article elsewhere. Text that stands alike on all pages weighs
+        little, unless an article holds it, and is part of the article where a box of its own holds it;
+        where the body itself is the article, what is alike before and after all other text is left out.
         """
         n = len(self.label)
         names, marked, hidden = [], [], []
@@ -385,7 +411,11 @@ class Wrapper:
             while template[i] and up > 0:
                 template[i] = not self.repeated[up] and names[up] not in HEADINGS
                 up = self.parent[up]
-        mass = [0.0 if t else float(c - k) for c, k, t in zip(self.chars, self.linked, template, strict=True)]
+        held = [False] * n
+        for i in range(1, n):
+            held[i] = held[self.parent[i]] or holds[i] and free[i]
+            template[i] = template[i] and not held[i]
+        mass = [float(c - k) * (TEMPLATE if t else 1.0) for c, k, t in zip(self.chars, self.linked, template, strict=True)]
         soft = marked[:]
         for i in range(n - 1, 0, -1):
             if marked[i] and not plain and (inner[i] and not holds[i] or 2 * raw[i] > raw[0]):
@@ -404,11 +434,15 @@ class Wrapper:
             way.append(best)
             here = best
         named = [v for v in way if holds[v] and 2 * mass[v] >= mass[0]]
+        if not named:
+            single = [i for i in range(1, n) if holds[i] and free[i] and not self.repeated[i] and not held[self.parent[i]] and 10 * raw[i] >= raw[0] > 0]
+            named = single if len(single) == 1 else []
         region = named[-1] if named else [v for v in way if mass[v] >= 0.8 * mass[0]][-1]
         status, heading = [0] * n, None
         if not named and region and any(names[k] in ("h1", "h2") for k in self.kids[self.parent[region]]):
             heading = self.parent[region]
         status[region] = 1
+        around = self._around(region, template, gone, soft) if names[region] in ("page", "html", "body") else set()
         for i in range(1, n):
             up = self.parent[i]
             if status[i]:
@@ -418,11 +452,23 @@ class Wrapper:
             elif status[up] == 2:
                 status[i] = 2
             elif status[up] == 1:
-                out = names[i] in LEFT_OUT or hidden[i] or template[i] or soft[i] and 2 * raw[i] <= raw[region]
+                out = names[i] in LEFT_OUT or hidden[i] or i in around or soft[i] and 2 * raw[i] <= raw[region]
                 out = out or names[up] == "header" and names[i] not in HEADINGS and names[i] != "header" and not self._has_heading(i, names)
                 status[i] = 2 if out else 1
         return status
 
+    def _around(self, region: int, template: list[bool], gone: list[bool], soft: list[bool]) -> set[int]:
+        """The template texts below ``region`` before the first and after the last of its other texts."""
+        texts, todo = [], [region]
+        while todo:
+            k = todo.pop()
+            if self.label[k] == "#":
+                texts.append(k)
+            elif not gone[k] and not soft[k]:
+                todo += reversed(self.kids[k])
+        own = [at for at, k in enumerate(texts) if not template[k] and self.chars[k] > self.linked[k]]
+        return {k for at, k in enumerate(texts) if template[k] and own and not own[0] < at < own[-1]}
+
     def _has_heading(self, node: int, names: list[str]) -> bool:
         todo = [node]
         while todo:
@@ -577,29 +623,57 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     pages are spread over many tasks.
     """
     known = wrappers(pages, url_col=url_col, html_col=html_col)
-    limit = max(10_000, (known.agg(F.sum("pages")).first()[0] or 0) // hot)
+    kind = pages.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long, by_wrapper boolean"
+    given = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
+    read = _reading([id_col, url_col, "text", "n_chars", "by_wrapper"])
+    size, total = known.agg(F.sum(F.octet_length("wrapper")), F.sum("pages")).first()
+    if (size or 0) <= SHIPPED:
+        # All wrappers go to all tasks, as their size is known and small; pages stay where they are.
+        sent = pages.sparkSession.sparkContext.broadcast(dict(known.select("host", "wrapper").collect()))
+
+        def with_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from read(batches, sent.value)
+
+        return given.mapInArrow(with_all, schema)
+    # Else a host's wrapper comes before its pages in the order in which a task reads them.
+    limit = max(10_000, total // hot)
+    parts = F.ceil(F.col("pages") / limit).cast("int")
     # Fewer than `hot` hosts have more than the limit.
-    heavy = F.broadcast(known.where(F.col("pages") > limit).select(F.col("host").alias("_hot"), F.ceil(F.col("pages") / limit).cast("int").alias("_parts")))
-    given = pages.select(id_col, url_col, html_col, host_of(F.col(url_col)).alias("_host"), F.xxhash64(id_col, url_col).alias("_key"))
-    given = given.join(heavy, F.col("_host") == F.col("_hot"), "left").withColumn("_part", F.pmod("_key", F.coalesce("_parts", F.lit(1))).cast("int"))
-    copies = F.explode(F.sequence(F.lit(0), F.ceil(F.col("pages") / limit).cast("int") - 1))
-    spread = known.select(F.col("host").alias("_h"), "wrapper", copies.alias("_p"))
-    joined = given.join(spread, (F.col("_host") == F.col("_h")) & (F.col("_part") == F.col("_p")), "left").select(id_col, url_col, html_col, "wrapper")
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readers: dict[str | None, Reader | None] = {None: None}
+    heavy = F.broadcast(known.where(F.col("pages") > limit).select(F.col("host").alias("_hot"), parts.alias("_parts")))
+    rows = given.join(heavy, F.col("host") == F.col("_hot"), "left").select("host", F.pmod(F.xxhash64("id", "url"), F.coalesce("_parts", F.lit(1))).cast("int").alias("part"), F.lit(None).cast("string").alias("wrapper"), "id", "url", "html")
+    first = known.select("host", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "wrapper", *[F.lit(None).cast(t).alias(c) for c, t in (("id", kind), ("url", "string"), ("html", "string"))])
+    dealt = first.unionByName(rows).repartition("host", "part").sortWithinPartitions("host", "part", F.asc_nulls_last("wrapper"))
+
+    def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from read(batches, {})
+
+    return dealt.select("id", "url", "html", "host", "wrapper").mapInArrow(in_turn, schema)
+
+
+def _reading(names: list[str]):
+    """A function from batches (id, url, html, host and perhaps wrapper) and wrappers by host to answers.
+    A row with a wrapper has no page: the wrapper is that of the rows after it."""
+
+    def read(batches: Iterator[pa.RecordBatch], wrappers: dict[str, str]) -> Iterator[pa.RecordBatch]:
+        readers: dict[str, Reader | None] = {}
         for batch in batches:
-            texts, known = [], []
-            for page, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if raw not in readers:
-                    if len(readers) > 500:
-                        readers = {None: None}
-                    readers[raw] = Reader(Wrapper.loads(raw))
-                text, ours = read_page(page, readers[raw])
+            kept, texts, known = [], [], []
+            columns = [c.to_pylist() for c in batch.columns[2:]]
+            for i, (page, host, *wrapper) in enumerate(zip(*columns, strict=True)):
+                if wrapper and wrapper[0] is not None:
+                    readers = {host: Reader(Wrapper.loads(wrapper[0]))}
+                    continue
+                if host not in readers:
+                    if len(readers) >= 64:
+                        readers = {}
+                    readers[host] = Reader(Wrapper.loads(wrappers[host])) if host in wrappers else None
+                text, ours = read_page(page, readers[host])
+                kept.append(i)
                 texts.append(text.encode("utf-8", "replace").decode())
                 known.append(ours)
-            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64)), pa.array(known, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, url_col, "text", "n_chars", "by_wrapper"])
+            at = pa.array(kept, pa.int64())
+            out = [batch.column(0).take(at), batch.column(1).take(at), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64)), pa.array(known, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
-    kind = pages.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(extract, f"{id_col} {kind}, {url_col} string, text string, n_chars long, by_wrapper boolean")
+    return read

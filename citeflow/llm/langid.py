@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Byte that fills windows up; its positions carry no label. In a text it reads as a blank.
 PAD = 0
+#: The label of what is in none of the learned languages; no language's name sorts after it.
+NONE = "\U0010ffff"
 
 
 @dataclass(frozen=True)
@@ -53,10 +55,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class BiGru:
-    """Gates z and r, candidate c: h' = z h + (1 - z) tanh(c); a softmax over both directions' states."""
+    """Gates z and r, candidate c: h' = z h + (1 - z) tanh(c); a softmax over both directions' states.
 
-    def __init__(self, params: dict[str, np.ndarray], labels: list[str]):
-        self.p, self.labels = params, labels
+    ``scale`` is how many independent positions the mean position of a text counts for."""
+
+    def __init__(self, params: dict[str, np.ndarray], labels: list[str], scale: float = 1.0):
+        self.p, self.labels, self.scale = params, labels, scale
 
     @staticmethod
     def fresh(labels: list[str], hidden: int, seed: int) -> BiGru:
@@ -141,8 +145,9 @@ class BiGru:
             g |= {f"x{d}": gx, f"g{d}": gg, f"c{d}": gc, f"o{d}": go}
         return loss, g
 
-    def document_probabilities(self, windows: np.ndarray, owner: np.ndarray, n: int, at_once: int = 4096) -> np.ndarray:
-        """Pool (windows, time) byte windows by ``owner``: softmax of the mean log-probability."""
+    def mean_logs(self, windows: np.ndarray, owner: np.ndarray, n: int, at_once: int = 4096) -> np.ndarray:
+        """Mean log-probability of each label over all positions of each of ``n`` texts, to whom (windows,
+        time) byte windows belong."""
         logs, seen = np.zeros((n, len(self.labels))), np.zeros(n)
         for at in range(0, len(windows), at_once):
             x = np.ascontiguousarray(windows[at : at + at_once].T)
@@ -155,11 +160,39 @@ class BiGru:
                 pooled += (logits[t] - np.log(total[t])) * real[t]
             np.add.at(logs, owner[at : at + at_once], pooled.T)
             np.add.at(seen, owner[at : at + at_once], real.sum(axis=0))
-        mean = logs / np.maximum(seen, 1)[:, None]
-        # Positions are far from independent: a document counts as eight of its mean position.
-        mean = 8 * (mean - mean.max(axis=1, keepdims=True))
-        prob = np.exp(mean)
-        return prob / prob.sum(axis=1, keepdims=True)
+        return logs / np.maximum(seen, 1)[:, None]
+
+    def document_probabilities(self, windows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Softmax of each text's mean log-probabilities, times ``scale``."""
+        return softmax(self.scale * self.mean_logs(windows, owner, n))
+
+    def calibrate(self, windows: np.ndarray, labels: np.ndarray) -> None:
+        """Set ``scale`` to what makes the labels of some windows, each taken for a text, most probable."""
+        means = self.mean_logs(windows, np.arange(len(windows)), len(windows))
+        loss = {s: -np.log(np.maximum(softmax(s * means)[np.arange(len(labels)), labels], 1e-30)).mean() for s in 2.0 ** np.arange(-2, 7, 0.5)}
+        self.scale = float(min(loss, key=loss.get))
+
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    prob = np.exp(x - x.max(axis=1, keepdims=True))
+    return prob / prob.sum(axis=1, keepdims=True)
+
+
+def noise(n: int, seed: int) -> list[str]:
+    """Texts in no language, of equal parts letters, hexadecimal digits, printable characters and letters of
+    some stretch of Unicode, each drawn at random. Labelled languages of other scripts outweigh them in training."""
+    rng = np.random.default_rng(seed)
+    hexadecimal = np.frombuffer(b"0123456789abcdef", np.uint8)
+
+    def word(kind: int) -> str:
+        size = int(rng.integers(2, 12))
+        if kind == 3:
+            codes = rng.integers(0x250, 0xD700) + rng.integers(0, 60, size)
+        else:
+            codes = (rng.integers(97, 123, size), hexadecimal[rng.integers(0, 16, size)], rng.integers(33, 127, size))[kind]
+        return "".join(map(chr, codes))
+
+    return [" ".join(word(i % 4) for _ in range(30)) for i in range(n)]
 
 
 def byte_windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +207,9 @@ def byte_windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarra
 
 
 def train(texts: list[bytes], labels: list[str], how: Training) -> BiGru:
-    """Fit by Adam on windows drawn evenly over labels."""
+    """Fit by Adam on windows drawn evenly over labels and over as much noise, whose label is NONE."""
+    extra = noise(how.per_label, how.seed)
+    texts, labels = texts + [t.encode() for t in extra], labels + [NONE] * len(extra)
     names = sorted(set(labels))
     net = BiGru.fresh(names, how.hidden, how.seed)
     rng = np.random.default_rng(how.seed)
@@ -203,6 +238,7 @@ def train(texts: list[bytes], labels: list[str], how: Training) -> BiGru:
             m += 0.1 * (v - m)
             s += 0.01 * (v * v - s)
             net.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+    net.calibrate(pool, np.repeat(kept, sizes))
     return net
 
 
@@ -243,35 +279,35 @@ def identify_languages(
 
     Fitted on labelled rows that are not held out (crc32 of the id as text, modulo 4, is not 2; null
     ids are not held out). ``lang_pred`` is a learned label, ``und`` with score 0 if the text is null or
-    has no letter, or if no row is labelled; ``score`` is the pooled probability. Whole texts are read,
-    in windows. Repeated rows get equal answers; other columns are ignored.
+    has no letter, or if no row is labelled; ``score`` is the pooled probability, in which what is in no
+    language has its share, on a scale fitted to the training windows. Whole texts are read, in windows. Repeated rows get equal answers; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     label = _labeller(docs, how or Training(), id_col=id_col, text_col=text_col, lang_col=lang_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, names, scores in label(batches, 2):
+        for batch, names, scores, _ in label(batches, 2):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(scores, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
     given = docs.select(id_col, held_out(id_col).alias("held_out"), text_col)
     return given.mapInArrow(predict, f"{id_col} {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, *, how: Training | None = None, least_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, *, how: Training | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` that the network takes for one of its languages, all columns kept.
 
-    Documents go whose prediction is ``und`` (null text, or none of its characters a letter) or has a
-    score below ``least_score``: no learned language fits their positions. Unlike labels are not held
-    against a document. Where no row is labelled, documents go by their letters alone. Repeated rows and
-    null ids stay as they are; an empty table stays empty; extra columns of any name are kept.
+    Documents go whose text is null or has no letter, and those whose positions the network gives to no
+    language rather than to the best one. Unlike labels are not held against a document. Where no row is
+    labelled, documents go by their letters alone. Repeated rows and null ids stay as they are; an empty
+    table stays empty; extra columns of any name and type are kept.
     """
     label = _labeller(docs, how or Training(), id_col=id_col, text_col=text_col, lang_col=lang_col)
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, names, scores in label(batches, at):
+        for batch, names, scores, none in label(batches, at):
             if label.labels:
-                good = [n != "und" and s >= least_score for n, s in zip(names, scores, strict=True)]
+                good = [n != "und" and s >= x for n, s, x in zip(names, scores, none, strict=True)]
             else:
                 good = [bool(t) and has_letter(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))
@@ -280,25 +316,25 @@ def keep_identified(docs: DataFrame, *, how: Training | None = None, least_score
 
 
 def _labeller(docs: DataFrame, how: Training, *, id_col: str, text_col: str, lang_col: str):
-    """Fit on ``docs`` and return a function from batches to (batch, labels, scores)."""
+    """Fit on ``docs`` and return a function from batches to (batch, labels, scores, NONE's scores)."""
     rows = training_rows(docs, how, id_col=id_col, text_col=text_col, lang_col=lang_col)
     net = train([r.text.encode() for r in rows], [r.lang for r in rows], how) if rows else BiGru({}, [])
-    sent = docs.sparkSession.sparkContext.broadcast((net.p, net.labels))
+    sent = docs.sparkSession.sparkContext.broadcast((net.p, net.labels, net.scale))
 
-    def label(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
+    def label(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str], list[float], list[float]]]:
         model = BiGru(*sent.value)
         for whole in batches:
             for at in range(0, max(1, whole.num_rows), 256):
                 batch = whole.slice(at, 256)
                 texts = batch.column(column).to_pylist()
                 known = [i for i, t in enumerate(texts) if t and model.labels and has_letter(t)]
-                names, scores = ["und"] * len(texts), [0.0] * len(texts)
+                names, scores, none = ["und"] * len(texts), [0.0] * len(texts), [1.0] * len(texts)
                 windows, owner = byte_windows([texts[i].encode() for i in known], how.window)
                 prob = model.document_probabilities(windows, owner, len(known)) if known else None
                 for row, i in enumerate(known):
-                    best = int(prob[row].argmax())
-                    names[i], scores[i] = model.labels[best], float(prob[row, best])
-                yield batch, names, scores
+                    best = int(prob[row, :-1].argmax())  # NONE is the last label
+                    names[i], scores[i], none[i] = model.labels[best], float(prob[row, best]), float(prob[row, -1])
+                yield batch, names, scores, none
 
     label.labels = net.labels
     return label
