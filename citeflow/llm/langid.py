@@ -22,6 +22,8 @@ _WORDS = re.compile(r"[^\W\d_]+")
 PAD = 0
 #: The label of what is in none of the learned languages; no language's name sorts after it.
 NONE = "\U0010ffff"
+#: The share of the languages' training windows taken for noise from which on a network rejects nothing.
+MISTAKEN = 0.02
 
 
 @dataclass(frozen=True)
@@ -57,10 +59,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class BiGru:
     """Gates z and r, candidate c: h' = z h + (1 - z) tanh(c); a softmax over both directions' states.
 
-    ``scale`` is how many independent positions the mean position of a text counts for."""
+    ``scale`` is how many independent positions the mean position of a text counts for; ``rejects`` says
+    whether the network has learned to tell languages from noise."""
 
-    def __init__(self, params: dict[str, np.ndarray], labels: list[str], scale: float = 1.0):
-        self.p, self.labels, self.scale = params, labels, scale
+    def __init__(self, params: dict[str, np.ndarray], labels: list[str], scale: float = 1.0, rejects: bool = False):
+        self.p, self.labels, self.scale, self.rejects = params, labels, scale, rejects
 
     @staticmethod
     def fresh(labels: list[str], hidden: int, seed: int) -> BiGru:
@@ -167,10 +170,13 @@ class BiGru:
         return softmax(self.scale * self.mean_logs(windows, owner, n))
 
     def calibrate(self, windows: np.ndarray, labels: np.ndarray) -> None:
-        """Set ``scale`` to what makes the labels of some windows, each taken for a text, most probable."""
+        """Set ``scale`` to what makes the labels of some windows, each taken for a text, most probable, and
+        ``rejects`` if hardly any of a language's windows is taken for noise."""
         means = self.mean_logs(windows, np.arange(len(windows)), len(windows))
         loss = {s: -np.log(np.maximum(softmax(s * means)[np.arange(len(labels)), labels], 1e-30)).mean() for s in 2.0 ** np.arange(-2, 7, 0.5)}
         self.scale = float(min(loss, key=loss.get))
+        none = self.labels.index(NONE)
+        self.rejects = bool((means[labels != none].argmax(axis=1) == none).mean() < MISTAKEN)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -297,7 +303,8 @@ def keep_identified(docs: DataFrame, *, how: Training | None = None, id_col: str
     """``docs`` that the network takes for one of its languages, all columns kept.
 
     Documents go whose text is null or has no letter, and those whose positions the network gives to no
-    language rather than to the best one. Unlike labels are not held against a document. Where no row is
+    language rather than to the best one (if the network can tell its own training windows from noise).
+    Unlike labels are not held against a document. Where no row is
     labelled, documents go by their letters alone. Repeated rows and null ids stay as they are; an empty
     table stays empty; extra columns of any name and type are kept.
     """
@@ -319,7 +326,7 @@ def _labeller(docs: DataFrame, how: Training, *, id_col: str, text_col: str, lan
     """Fit on ``docs`` and return a function from batches to (batch, labels, scores, NONE's scores)."""
     rows = training_rows(docs, how, id_col=id_col, text_col=text_col, lang_col=lang_col)
     net = train([r.text.encode() for r in rows], [r.lang for r in rows], how) if rows else BiGru({}, [])
-    sent = docs.sparkSession.sparkContext.broadcast((net.p, net.labels, net.scale))
+    sent = docs.sparkSession.sparkContext.broadcast((net.p, net.labels, net.scale, net.rejects))
 
     def label(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str], list[float], list[float]]]:
         model = BiGru(*sent.value)
@@ -333,7 +340,7 @@ def _labeller(docs: DataFrame, how: Training, *, id_col: str, text_col: str, lan
                 prob = model.document_probabilities(windows, owner, len(known)) if known else None
                 for row, i in enumerate(known):
                     best = int(prob[row, :-1].argmax())  # NONE is the last label
-                    names[i], scores[i], none[i] = model.labels[best], float(prob[row, best]), float(prob[row, -1])
+                    names[i], scores[i], none[i] = model.labels[best], float(prob[row, best]), float(prob[row, -1]) if model.rejects else 0.0
                 yield batch, names, scores, none
 
     label.labels = net.labels
