@@ -148,8 +148,13 @@ def explicit_hits(spark, sf_dir):
     return retrieval.explicit_hits(questions(spark, sf_dir), chunks(spark, sf_dir)).select("qid", F.col("ref_pos").cast("long").alias("ref_pos"), "section")
 
 
-def _semantic(spark, sf_dir):
-    hits = retrieval.bm25(table(spark, sf_dir, "documents"), questions(spark, sf_dir), k=5)
+def _lexical(spark, sf_dir):
+    """The ten best documents of each question, written once."""
+    return retrieval.bm25(table(spark, sf_dir, "documents"), questions(spark, sf_dir)).checkpoint()
+
+
+def _semantic(spark, sf_dir, hits=None):
+    hits = (_lexical(spark, sf_dir) if hits is None else hits).where("rank <= 5")
     return hits.join(sections(spark, sf_dir).select(F.col("doc_id").alias("doc"), "section", "text"), "doc").select("qid", "rank", "section", F.concat("section", F.lit(":chunk-0001")).alias("chunk_id"), "text").checkpoint()
 
 
@@ -189,15 +194,15 @@ def cross_ref_expand(spark, sf_dir):
     ranked as (select *, row_number() over (partition by qid order by level, round(score, 12) desc, first, section) as rank from fused)
     select qid, rank, section as doc, round(score, 9) as score from ranked where rank <= 10""")
 def rrf_hybrid(spark, sf_dir):
-    q = questions(spark, sf_dir)
-    context = context_rows(spark, sf_dir).select("qid", F.lit(0).alias("list_no"), "rank", F.col("section").alias("doc"), "source")
-    lexical = retrieval.bm25(table(spark, sf_dir, "documents"), q).join(sections(spark, sf_dir).select(F.col("doc_id").alias("doc"), "section"), "doc")
+    hits = _lexical(spark, sf_dir)
+    context = context_rows(spark, sf_dir, hits).select("qid", F.lit(0).alias("list_no"), "rank", F.col("section").alias("doc"), "source")
+    lexical = hits.join(sections(spark, sf_dir).select(F.col("doc_id").alias("doc"), "section"), "doc")
     lexical = lexical.select("qid", F.lit(1).alias("list_no"), "rank", F.col("section").alias("doc"), F.lit("lexical").alias("source"))
     return retrieval.fuse(context.unionByName(lexical)).select("qid", "rank", "doc", F.round("score", 9).alias("score"))
 
 
-def context_rows(spark, sf_dir):
-    return retrieval.context_search(questions(spark, sf_dir), chunks(spark, sf_dir), _semantic(spark, sf_dir))
+def context_rows(spark, sf_dir, hits=None):
+    return retrieval.context_search(questions(spark, sf_dir), chunks(spark, sf_dir), _semantic(spark, sf_dir, hits))
 
 
 SQL_FETCH = f"""{SQL_CONTEXT}, fetched as (

@@ -210,7 +210,7 @@ KINDS = "element_at(array('authority', 'applicability', 'cross_section', 'defini
 
 
 def candidates(spark, sf_dir):
-    c = eval_sections(spark, sf_dir).where("document_id % 3 = 0")
+    c = eval_sections(spark, sf_dir)
     return c.select(F.expr("concat('c', document_id)").alias("candidate_id"), F.expr(KINDS.format("(document_id div 3)")).alias("question_type"), "section", T.section_references(F.col("text")).alias("refs"), "document_id")
 
 
@@ -221,7 +221,7 @@ _MATCH = " ".join(f"when '{k}' then regexp_matches(text, '{p}')" for k, p in rev
 SQL_WINDOW = r"trim(regexp_replace(substr(text, greatest(0, {0} - 233) + 1, least(length(text), {0} + 700) - greatest(0, {0} - 233)), '\s+', ' ', 'g'))"
 
 
-@query(rf"""with {SQL_TYPED}, c as (select 'c' || doc_id as candidate_id, doc_id, section, heading, text, ['authority', 'applicability', 'cross_section', 'definition', 'numeric_or_date', 'obligation'][(doc_id // 3) % 6 + 1] as question_type from typed where doc_id % 3 = 0),
+@query(rf"""with {SQL_TYPED}, c as (select 'c' || doc_id as candidate_id, doc_id, section, heading, text, ['authority', 'applicability', 'cross_section', 'definition', 'numeric_or_date', 'obligation'][(doc_id // 3) % 6 + 1] as question_type from typed),
     r as (select candidate_id, list_filter(list_distinct_x, lambda v: v <> section and list_contains(alls, v)) as valid from (select list(section) as alls from typed), (select candidate_id, section, list_filter(x, lambda v, i: list_position(x, v) = i) as list_distinct_x from (select candidate_id, section, regexp_extract_all(lower(text), '(?:12\s+cfr\s+|§+\s*)([0-9]+[a-z]?(?:\.[0-9a-z-]+)+)', 1) as x from c))),
     m as (select c.*, valid, case question_type {_MATCH} end as has, length(case question_type {_CASES} end) as pos0, starts_with(lower(heading), '§ 2.3') and question_type = 'authority' as headed,
         len(regexp_extract_all(lower(text), '\b(?:must|shall|required to|may not)\b')) >= 2 as ob, len(regexp_extract_all(lower(text), '\bmeans\b')) >= 2 as mean2 from c join r using (candidate_id))
@@ -325,14 +325,14 @@ def qa_validation(spark, sf_dir):
     return review.validate_records(qa_records(spark, sf_dir))
 
 
-@query(f"""with d as (select doc_id, 'c' || lpad(doc_id::varchar, 7, '0') as candidate_id, case when doc_id % 5 = 0 then 'cross' else 'single' end as route from documents where doc_id % 3 = 0),
+@query(f"""with d as (select doc_id, 'c' || lpad(doc_id::varchar, 7, '0') as candidate_id, case when doc_id % 5 = 0 then 'cross' else 'single' end as route from documents),
     n as (select *, row_number() over (order by route desc, candidate_id) as no from d)
     select case when no < 1000 then 'title12-dev-q' || lpad(no::varchar, 3, '0') else 'title12-dev-q' || no end as question_id, candidate_id, case when route = 'cross' then 'cross_section' when doc_id % 7 = 0 and doc_id % 11 <> 0 then 'obligation' else 'definition' end as question_type,
         case when route = 'cross' then [{SQL_REF('doc_id')}, {SQL_REF('doc_id + 1')}] else [{SQL_REF('doc_id')}] end as sections,
         case when doc_id % 11 = 0 then 'no draft' when route = 'single' and doc_id % 7 = 0 and doc_id % 2 = 0 then 'draft type is not approved' when route = 'cross' and doc_id + 1 > (select max(doc_id) from documents) then 'unknown section' end as problem from n where doc_id % 11 <> 0 or route = 'single'
     union all select case when no < 1000 then 'title12-dev-q' || lpad(no::varchar, 3, '0') else 'title12-dev-q' || no end, candidate_id, 'cross_section', null, 'no draft' from n where doc_id % 11 = 0 and route = 'cross'""")
 def qa_assembly(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").withColumn("candidate_id", F.expr("concat('c', lpad(cast(doc_id as string), 7, '0'))"))
+    d = table(spark, sf_dir, "documents").withColumn("candidate_id", F.expr("concat('c', lpad(cast(doc_id as string), 7, '0'))"))
     c = d.select("candidate_id", F.expr("case when doc_id % 5 = 0 then 'cross' else 'single' end").alias("route"), F.expr("case when doc_id % 5 = 0 then 'cross_section' else 'definition' end").alias("question_type"), F.expr("case when doc_id % 7 = 0 and doc_id % 2 = 1 then array('definition', 'obligation') when doc_id % 5 <> 0 then array('definition') end").alias("approved_types"), F.expr(ref("doc_id")).alias("section"))
     drafts = d.where("doc_id % 11 <> 0").select("candidate_id", F.expr("case when doc_id % 7 = 0 and doc_id % 5 <> 0 then 'obligation' end").alias("draft_type"), F.expr(f"array(array({ref('doc_id')}), array({ref('doc_id + 1')}))").alias("groups"))
     full = review.assemble_records(c, drafts, sections(spark, sf_dir))
