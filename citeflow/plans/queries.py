@@ -352,18 +352,41 @@ def align_status_histogram(spark, sf_dir):
     return _aligned(spark, sf_dir).groupBy("status", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: The chunker as a recursion over each text: where the next chunk starts follows from where this one ends.
+SQL_CHUNKS = r"""recursive d as (select doc_id, text, length(text) as size, list_transform(string_split(text, chr(10)), lambda x: length(x) + 1) as steps from documents where length(text) > 0),
+    b as (select doc_id, text, size, list_transform(range(1, len(steps)), lambda i: list_sum(steps[1:i])::bigint) as breaks from d),
+    walk as (
+        select doc_id, text, size, breaks, 0::bigint as pos, 0::bigint as stop, '' as kind, 0 as n from b
+        union all
+        select doc_id, text, size, breaks, case when stop = size then size else greatest(coalesce(list_min(list_filter(breaks, lambda x: x >= back and x < stop)), back), 0) end, stop, kind, n from (
+            select *, greatest(pos + 1, stop - 150) as back from (
+                select doc_id, text, size, breaks, pos, n + 1 as n,
+                       case when pos + 1200 >= size then size when last >= pos + 720 then last else pos + 1200 end as stop,
+                       case when pos + 1200 >= size then 'document_end' when last >= pos + 720 then 'paragraph' else 'hard' end as kind
+                from (select *, coalesce(list_max(list_filter(breaks, lambda x: x <= pos + 1200)), -1) as last from walk where pos < size)))),
+    starts as (select *, lag(pos) over (partition by doc_id order by n) as start from walk),
+    cut as (select doc_id, n, start + length(body) - length(ltrim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as char_start, start + length(body) - length(ltrim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) + length(trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as char_end, kind as boundary_type, trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as text
+        from (select *, substr(text, start + 1, stop - start) as body from starts where n > 0) where length(trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0),
+    chunks as (select doc_id as document_id, row_number() over w - 1 as chunk_index, count(*) over (partition by doc_id) as chunk_count, char_start, char_end, boundary_type, text,
+        coalesce(lag(char_end) over w > char_start, false) as has_overlap_before from cut window w as (partition by doc_id order by n))"""
+
+
+@query(f"""with {SQL_CHUNKS} select document_id, chunk_index::int as chunk_index, char_start::int as char_start, char_end::int as char_end, boundary_type, text,
+    document_id || ':chunk-' || case when chunk_index + 1 < 10000 then lpad((chunk_index + 1)::varchar, 4, '0') else (chunk_index + 1)::varchar end as chunk_id, chunk_count, has_overlap_before from chunks""")
 def chunk_spans(spark, sf_dir):
     return corpus.chunk_documents(table(spark, sf_dir, "documents"), id_col="doc_id")
 
 
-@query()
+@query(f"""with {SQL_CHUNKS}, c as (select k.*, p.text as parent, coalesce(max(char_end) over (partition by document_id order by char_start, char_end rows between unbounded preceding and 1 preceding), 0) as reach from chunks k left join documents p on p.doc_id = document_id)
+    select count(*) as chunks, count_if(parent is null) as orphans, count_if(length(trim(text)) = 0) as empty, count_if(length(text) > 1200) as too_long,
+           count_if(substr(parent, char_start + 1, char_end - char_start) <> text) as not_slice, count_if(char_start > reach and regexp_matches(substr(parent, reach + 1, char_start - reach), '\\S')) as gaps,
+           count(*) - count(distinct document_id || ':' || chunk_index) as doubled_ids from c""")
 def chunk_validate(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return corpus.validate_chunks(d, corpus.chunk_documents(d, id_col="doc_id"), most=1200, id_col="doc_id")
 
 
-@query()
+@query(f"""with {SQL_CHUNKS} select boundary_type, count(*) as chunks, min(length(text))::int as shortest, floor(median(length(text)))::bigint as median, quantile_disc(length(text), 0.95)::double as p95, max(length(text))::int as longest from chunks group by boundary_type""")
 def chunk_length_stats(spark, sf_dir):
     c = corpus.chunk_documents(table(spark, sf_dir, "documents"), id_col="doc_id").withColumn("n", F.length("text"))
     return c.groupBy("boundary_type").agg(F.count(F.lit(1)).alias("chunks"), F.min("n").alias("shortest"), F.floor(F.median("n")).cast("long").alias("median"), corpus.nearest_rank("n", 0.95).alias("p95"), F.max("n").alias("longest"))
