@@ -76,6 +76,48 @@ def final_answers(questions: DataFrame, evidence: DataFrame, fetched: DataFrame,
     return out.select("qid", text.alias("answer"), "citations", F.when(good, "completed").otherwise("insufficient_evidence").alias("termination"))
 
 
+def check_limits(*, max_steps: int = 6, top_k: int = 10, most: int = 2) -> None:
+    """Raises where a run could not take the steps that its limits promise."""
+    for name, value, least in (("max_steps", max_steps, 1), ("top_k", top_k, 1), ("max_fetch_sections", most, 0)):
+        if value < least:
+            raise ValueError(f"{name} must be at least {least}")
+    if max_steps < 2 * most + 2:
+        raise ValueError("max_steps must be at least 2 * max_fetch_sections + 2")
+
+
+def run_steps(questions: DataFrame, evidence: DataFrame, fetched: DataFrame, verified: DataFrame, answers: DataFrame, *, max_steps: int = 6, top_k: int = 10, most: int = 2) -> DataFrame:
+    """(qid, step_number, action, status, section): what a run of each question does, up to ``max_steps``.
+
+    A search; where it finds anything, a fetch and then a check of each section in the order of fetching,
+    and the final answer. Steps beyond the limit are not taken; ``limited_answers`` says how such runs end.
+    """
+    check_limits(max_steps=max_steps, top_k=top_k, most=most)
+    some = evidence.select("qid").distinct()
+    fetched = fetched.join(some, "qid", "left_semi").select("qid", "fetch_rank", "section")
+    status = F.when(F.coalesce("verified", F.lit(False)), "completed").otherwise("failed")
+    shape = lambda d, phase, at, action, status, section: d.select("qid", F.lit(phase).alias("phase"), at.cast("int").alias("at"), F.lit(action).alias("action"), status.alias("status"), section.cast("string").alias("section"))
+    none, zero, done = F.lit(None), F.lit(0), F.lit("completed")
+    steps = shape(questions, 0, zero, "search_regulations", done, none)
+    steps = steps.unionByName(shape(fetched, 1, F.col("fetch_rank"), "fetch_section", done, F.col("section")))
+    steps = steps.unionByName(shape(fetched.join(verified.select("qid", "section", "verified"), ["qid", "section"], "left"), 2, F.col("fetch_rank"), "verify_citation", status, F.col("section")))
+    steps = steps.unionByName(shape(answers.join(some, "qid", "left_semi"), 3, zero, "final_answer", F.col("termination"), none))
+    number = F.row_number().over(Window.partitionBy("qid").orderBy("phase", "at"))
+    return steps.withColumn("step_number", number).where(F.col("step_number") <= max_steps).select("qid", "step_number", "action", "status", "section")
+
+
+def limited_answers(answers: DataFrame, evidence: DataFrame, steps: DataFrame) -> DataFrame:
+    """``answers`` with ``steps`` taken; a run that found evidence and did not come to its final answer gets the
+    fixed sentence, no citation and max_steps_exceeded."""
+    taken = steps.groupBy("qid").agg(F.count(F.lit(1)).alias("steps"), F.max(F.col("action") == "final_answer").alias("ended"))
+    some = evidence.select("qid").distinct().withColumn("some", F.lit(True))
+    out = answers.join(taken, "qid").join(some, "qid", "left").withColumn("over", F.coalesce("some", F.lit(False)) & ~F.col("ended"))
+    none = F.array().cast("array<string>")
+    return out.select(
+        "qid", F.when(F.col("over"), NO_EVIDENCE).otherwise(F.col("answer")).alias("answer"), F.when(F.col("over"), none).otherwise(F.col("citations")).alias("citations"),
+        F.when(F.col("over"), "max_steps_exceeded").otherwise(F.col("termination")).alias("termination"), "steps",
+    )
+
+
 def traces(answers: DataFrame, evidence: DataFrame, most: int = 10) -> DataFrame:
     """(qid, trace): a JSON object of the answer and its first pieces of evidence."""
     e = evidence.where(F.col("rank") <= most).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "section", "source"))).alias("evidence"))

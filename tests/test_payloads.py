@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from citeflow.operators import payloads
+from citeflow.operators import agent, payloads
 
 
 def asked(spark):
@@ -83,3 +83,29 @@ def test_only_failures_are_asked_again(spark):
         payloads.judged(rows, lambda p: []).collect()
     told = rows.withColumn("answer", payloads.repair_prompt(F.lit(None))).first()
     assert "overall" in told.answer
+
+
+def test_steps_and_their_limit(spark):
+    q = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "qid long, question string")
+    ev = spark.createDataFrame([(1, 1, "1.1", "semantic"), (1, 2, "2.2", "explicit_citation"), (2, 1, "3.3", "semantic")], "qid long, rank int, section string, source string")
+    v = "2031-05-06"
+    secs = spark.createDataFrame([(s, v, f"https://www.ecfr.gov/on/{v}/title-12/section-{s}", s != "1.1") for s in ("1.1", "2.2", "3.3")], "section string, version_date string, source_url string, safe_for_citation boolean")
+
+    def run(most, max_steps):
+        fetched = agent.sections_to_fetch(ev, most)
+        checked = agent.verify(fetched, secs, version=v)
+        answers = agent.final_answers(q, ev, fetched, checked)
+        steps = agent.run_steps(q, ev, fetched, checked, answers, max_steps=max_steps, most=most)
+        rows = sorted((r.qid, r.step_number, r.action.split("_")[0], r.status, r.section) for r in steps.collect())
+        return rows, {r.qid: (r.termination, r.steps, r.citations) for r in agent.limited_answers(answers, ev, steps).collect()}
+
+    rows, ends = run(2, 6)
+    assert [r[1:] for r in rows if r[0] == 1] == [(1, "search", "completed", None), (2, "fetch", "completed", "2.2"), (3, "fetch", "completed", "1.1"), (4, "verify", "completed", "2.2"), (5, "verify", "failed", "1.1"), (6, "final", "completed", None)]
+    assert [r[1:3] for r in rows if r[0] == 3] == [(1, "search")]
+    assert ends == {1: ("completed", 6, [f"12 CFR 2.2 ({v})"]), 2: ("completed", 4, [f"12 CFR 3.3 ({v})"]), 3: ("insufficient_evidence", 1, [])}
+    rows, ends = run(0, 3)
+    assert [r[2] for r in rows if r[0] == 1] == ["search", "fetch", "verify"] and ends[1] == ("max_steps_exceeded", 3, [])
+    assert ends[2][:2] == ("completed", 2) and ends[3] == ("insufficient_evidence", 1, [])
+    for bad in ({"max_steps": 0}, {"top_k": 0}, {"most": -1}, {"max_steps": 5, "most": 2}):
+        with pytest.raises(ValueError):
+            agent.check_limits(**bad)
