@@ -27,8 +27,8 @@ agpl | affero | (?:gnu )?affero general public license(?:,? ?v(?:ersion)? ?\\d(?
 lgpl | lesser or library | (?:gnu )?(?:lesser|library) general public license(?:,? ?v(?:ersion)? ?\\d(?:\\.\\d)?)? | lgpl-\\d\\.\\d(?:-only|-or-later)?
 gpl | general public | (?:gnu )?general public license(?:,? ?v(?:ersion)? ?\\d(?:\\.\\d)?)? | gpl-\\d\\.\\d(?:-only|-or-later)?
 gpl-short | gpl | (?:gnu )?gpl(?: ?v?\\d(?:\\.\\d)?)?\\+? | gpl-\\d\\.\\d\\+
-bsd-2-clause | bsd | (?:2-clause|two-clause|simplified|freebsd) bsd(?: license)? | bsd-2-clause
-bsd-3-clause | bsd | (?:3-clause|three-clause|new|modified|revised) bsd(?: license)? | bsd-3-clause
+bsd-2-clause | bsd | (?:(?:2-clause|two-clause|simplified|freebsd) bsd|bsd(?: |-)(?:2-clause|two-clause|simplified))(?: license)? | bsd-2-clause
+bsd-3-clause | bsd | (?:(?:3-clause|three-clause|new|modified|revised) bsd|bsd(?: |-)(?:3-clause|three-clause|new|modified|revised))(?: license)? | bsd-3-clause
 bsd | bsd | bsd(?: license)? | bsd-4-clause
 mpl | mozilla | mozilla public license(?:,? ?v(?:ersion)? ?\\d(?:\\.\\d)?)? | mpl-\\d\\.\\d
 epl | eclipse | eclipse public license(?:,? ?(?:-|v(?:ersion)?) ?v?\\d(?:\\.\\d)?)? | epl-\\d\\.\\d
@@ -73,8 +73,10 @@ FORMS = r"""
 50 | licensed | licen | (?:is |are |be )?(?:dual-|re)?licen[sc]ed\s+(?:to you )?under\s+(?:the terms of\s+)?(?:the\s+|a\s+|an\s+)?(?:<name>)
 45 | released | under | (?:released|distributed|published|provided|made available|available|redistributed)\s+under\s+(?:the terms (?:of|and conditions of)\s+)?(?:the\s+|a\s+|an\s+)?(?:<name>)
 40 | terms | terms or conditions | (?:subject to|governed by|according to|in accordance with|under)\s+(?:the\s+)?(?:terms|conditions|terms and conditions)\s+of\s+(?:the\s+)?(?:<name>)
+38 | under | under | under\s+(?:the\s+)?(?:<name>)(?<=licen[cs]e)
 35 | copy | copy or text | (?:copy|text)\s+of\s+(?:the\s+)?(?:<name>)
-30 | notice | licen | (?:licen[sc]e|licensing)\s*[:=]\s*(?:the\s+)?(?:<name>)
+45 | adjective | licen | (?:<name>)(?: |-)?licen[sc]ed
+30 | notice | licen or lizenz | (?:licen[sc]es?|licensing|licencia|licenza|lizenz)\s*[:=]\s*(?:the\s+)?(?:<name>)
 """
 # Rank | label | keyword | expression. Sentences, titles and addresses that belong to no family's forms.
 NOTICES = r"""
@@ -193,6 +195,149 @@ NOTICES = r"""
 28 | proprietary | unauthorized | unauthorized (?:copying|use|reproduction|distribution) (?:of|or)
 28 | proprietary | license agreement | end(?: |-)user license agreement
 28 | proprietary | non-disclosure | under (?:the terms of )?a non-disclosure agreement
+55 | apache-2.0 | apache license | apache license,? version 2\.0,? january 2004
+55 | apache-2.0 | derivative works | each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license
+54 | apache-2.0 | patent license | no-charge, royalty-free, irrevocable \(except as stated in this section\) patent license
+53 | apache-1.1 | end-user documentation | the end-user documentation included with the redistribution, if any, must include the following acknowledg
+53 | apache-1.0 | apache group | this product includes software developed by the apache group
+55 | gpl-1.0 | general public license | gnu general public license,? version 1, february 1989
+55 | gpl-2.0 | general public license | gnu general public license,? version 2, june 1991
+55 | gpl-3.0 | general public license | gnu general public license,? version 3, 29 june 2007
+56 | lgpl-2.0 | library general public | gnu library general public license,? version 2, june 1991
+56 | lgpl-2.1 | lesser general public | gnu lesser general public license,? version 2\.1, february 1999
+56 | lgpl-3.0 | lesser general public | gnu lesser general public license,? version 3, 29 june 2007
+56 | agpl-3.0 | affero general public | gnu affero general public license,? version 3, 19 november 2007
+53 | gpl-2.0 | general public license | as published by the free software foundation; version 2 of the license
+53 | gpl-2.0 | either version 2 | either version 2(?:\.0)? of the license, or \(at your option\) any later version
+54 | gpl-3.0 | either version 3 | general public license as published by the free software foundation, either version 3 of the license
+52 | gpl-2.0 | copying and distributing | you may copy and distribute verbatim copies of the program's source code as you receive it
+52 | gpl-3.0 | corresponding source | the "corresponding source" for a work in object code form means all the source code
+52 | lgpl-2.1 | work that uses the library | such a work, in isolation, is not a derivative work of the library, and therefore falls outside the scope
+52 | agpl-3.0 | remote network | your modified version must prominently offer all users interacting with it remotely through a computer network
+51 | gpl-exception | special exception | as a special exception, (?:the copyright holders|you may|if you link|the free software foundation)
+51 | classpath-exception | classpath | gnu classpath exception|"classpath" exception
+51 | gcc-exception | gcc runtime | gcc runtime library exception
+51 | bison-exception | bison | as part or all of a larger work .{0,40}bison
+55 | mpl-1.0 | mozilla public | mozilla public license version 1\.0
+55 | mpl-1.1 | mozilla public | mozilla public license version 1\.1
+55 | mpl-2.0 | mozilla public | mozilla public license,? (?:version|v\.?) ?2\.0
+53 | mpl-1.1 | initial developer | the initial developer of the original code is
+53 | npl | netscape public | netscape public license
+55 | epl-1.0 | eclipse public | eclipse public license ?- ?v ?1\.0
+55 | epl-2.0 | eclipse public | eclipse public license ?- ?v ?2\.0
+54 | cpl-1.0 | common public license | common public license version 1\.0
+54 | ipl-1.0 | ibm public | ibm public license version 1\.0
+55 | cddl-1.0 | common development | common development and distribution license \(cddl\) version 1\.0
+55 | cddl-1.1 | common development | common development and distribution license \(cddl\) version 1\.1
+54 | apsl | apple public source | apple public source license
+54 | spl | sun public | sun public license version 1\.0
+54 | sissl | sun industry standards | sun industry standards source license
+54 | qpl | q public | q public license version 1\.0
+54 | rpl | reciprocal public | reciprocal public license
+54 | ecl-2.0 | educational community | educational community license,? version 2\.0
+54 | efl | eiffel forum | eiffel forum license
+54 | entessa | entessa | entessa public license
+54 | fair | fair license | usage of the works is permitted provided that this instrument is retained with the works
+54 | frameworx | frameworx | frameworx open license
+54 | intel | intel open source | intel open source license
+54 | lucent | lucent public | lucent public license
+54 | naumen | naumen | naumen public license
+54 | nethack | nethack | nethack general public license
+54 | nokia | nokia open source | nokia open source license
+54 | oclc | oclc research | oclc research public license
+54 | ogtsl | open group test suite | open group test suite license
+54 | rpsl | realnetworks | realnetworks public source license
+54 | watcom | sybase open watcom | sybase open watcom public license
+54 | vsl | vovida | vovida software license
+54 | wxwindows | wxwindows | wxwindows library licen[cs]e
+54 | xnet | x.net | x\.net,? inc\. license
+54 | zpl | zope public | zope public license(?: \(zpl\))?(?: version \d\.\d)?
+54 | latex | latex project public | latex project public license
+54 | nasa | nasa open source | nasa open source agreement
+54 | motosoto | motosoto | motosoto open source license
+54 | catosl | computer associates trusted | computer associates trusted open source license
+54 | cua | cua office | cua office public license
+54 | cpal | common public attribution | common public attribution license
+54 | cnri | corporation for national research | cnri open source(?: gpl-compatible)? license agreement|cnri python license
+54 | liliq | licence libre du qu | licence libre du qu[eé]bec
+55 | mit-0 | without restriction | mit no attribution|mit-0 license
+54 | mit-advertising | mit license | mit license with advertising clause
+54 | x11 | x consortium | the name of the x consortium shall not be used in advertising
+54 | ntp | without express or implied | it is provided "as is" without express or implied warranty
+54 | bsd-1-clause | redistributions of source | bsd(?: |-)1-clause license
+56 | bsd-3-clause | endorse or promote | neither the name of the (?:university|copyright holder|author|organization|company)(?: nor the names of its contributors)? .{0,40}may be used to endorse or promote products derived from this software
+55 | bsd-4-clause-uc | university of california, berkeley | this product includes software developed by the university of california, berkeley and its contributors
+55 | bsd-3-clause-clear | patent | no express or implied licenses to any party's patent rights are granted by this license
+55 | bsd-2-clause-patent | patent | bsd(?: |-)2-clause plus patent
+54 | bsd-protection | protection license | bsd protection license
+54 | freetype | freetype | freetype (?:project )?license|this software is based in part of the work of the freetype team
+54 | imagemagick | imagemagick | imagemagick(?:'s)? license
+54 | gd | boutell | permission has been granted to copy, distribute and modify gd in any context
+54 | tcl | tcl | this software is copyrighted by the regents of the university of california, sun microsystems
+54 | info-zip | info-zip | info-zip license|this is version \d{4}-\w{3}-\d{2} of the info-zip
+54 | bzip2 | julian seward | bzip2 .{0,60}julian seward
+54 | libtiff | sam leffler | sam leffler and silicon graphics
+54 | ssleay | eric young | this product includes cryptographic software written by eric young
+54 | net-snmp | net-snmp | net-snmp license
+54 | sgi-b | sgi free software | sgi free software license b
+54 | sqlite | may you share freely | may you do good and not evil
+54 | glide | 3dfx glide | 3dfx glide source code general public license
+54 | mpich | argonne | argonne national laboratory .{0,80}mathematics and computer science division
+54 | blas | netlib | the reference blas is a freely-available software package
+54 | eurosym | eurosym | eurosym license
+54 | bitstream-vera | bitstream vera | bitstream vera is a trademark of bitstream
+54 | ubuntu-font | ubuntu font | ubuntu font licen[cs]e
+54 | gust-font | gust font | gust font license
+54 | arphic | arphic | arphic public license
+54 | ipa-font | ipa font | ipa font license agreement
+54 | dl-de-by | datenlizenz | datenlizenz deutschland ?[-–]? ?namensnennung
+54 | dl-de-zero | datenlizenz | datenlizenz deutschland ?[-–]? ?zero
+54 | etalab | licence ouverte | licence ouverte ?/? ?(?:open licence)?
+54 | ogl-uk | open government licence | open government licence(?: v?\d\.\d)?
+54 | nlod | norwegian licence | norwegian licence for open government data
+54 | cdla-permissive | community data license | community data license agreement ?[-–]? ?permissive
+55 | cdla-sharing | community data license | community data license agreement ?[-–]? ?sharing
+54 | free-art | free art license | free art license|licence art libre
+54 | opl | open publication license | open publication license
+54 | oal | open audio license | eff open audio license
+54 | gfdl-1.1 | free documentation | gnu free documentation license,? version 1\.1, march 2000
+54 | gfdl-1.2 | free documentation | gnu free documentation license,? version 1\.2, november 2002
+54 | gfdl-1.3 | free documentation | gnu free documentation license,? version 1\.3, 3 november 2008
+54 | fsf-all-permissive | without any warranty | copying and distribution of this file, with or without modification, are permitted in any medium without royalty
+54 | cern-ohl | open hardware licence | cern open hardware licen[cs]e
+54 | tapr-ohl | tapr open hardware | tapr open hardware license
+54 | solderpad | solderpad | solderpad hardware licen[cs]e
+54 | hippocratic | hippocratic | hippocratic license
+54 | parity | parity public | parity public license
+54 | prosperity | prosperity public | prosperity public license
+54 | blueoak | blue oak | blue oak model license
+54 | osaasy | source-available | functional source license
+54 | confluent | confluent community | confluent community license
+54 | redis-source | redis source available | redis source available license
+54 | timescale | timescale license | timescale license
+54 | cockroach | cockroach community | cockroachdb community license
+54 | anti-996 | anti 996 | anti 996 license
+54 | gemma | gemma terms | gemma terms of use
+54 | falcon | falcon llm license | falcon(?:-180b)?(?: tii)? llm license
+54 | deepseek | deepseek license | deepseek license agreement
+54 | qwen | qianwen license | tongyi qianwen license agreement
+54 | bloom-rail | responsible ai license | bigscience (?:bloom )?rail license
+54 | nvidia-model | nvidia open model | nvidia open model license
+54 | microsoft-research | microsoft research license | microsoft research license (?:terms|agreement)
+54 | adobe-2006 | adobe systems incorporated grants | adobe systems incorporated grants to you a perpetual
+54 | diffmark | diffmark | diffmark is in the public domain|1\. you can do what you want with diffmark
+54 | glwtpl | good luck with that | good luck with that public license
+54 | dont-be-a-dick | be a dick | don't be a dick public license
+54 | wtfnmfpl | want to public | what the fuck you want to but it's not my fault public license
+54 | sal | simple public license | simple public license(?: 2\.0)?
+54 | sugarcrm | sugarcrm public | sugarcrm public license
+54 | unicode-dfs | unicode, inc | unicode,? inc\. license agreement
+54 | w3c-19980720 | world wide web consortium | copyright .{0,60}world wide web consortium
+54 | xfree86 | xfree86 | xfree86 license
+54 | xpp | indiana university | indiana university extreme! lab software license
+54 | yahoo-ypl | yahoo! public | yahoo! public license
+54 | zend | zend engine | zend engine license
+54 | zed | zed license | \(c\) jim davies, january 1995
 10 | mit | mit license | \bmit licen[cs]e\b
 10 | apache | apache license | \bapache licen[cs]e\b
 10 | gpl | general public license | \bgeneral public license\b
@@ -237,6 +382,14 @@ def rules() -> tuple[Rule, ...]:
     return tuple(out)
 
 
+#: What joins the names of a list, and what before a detection says that it does not hold.
+JOIN = with_gaps(r"(?: ?[,;/&|] ?(?:and |or )?| (?:and/or|and|or|und|oder|et|ou|y|o) )(?:under )?(?:the |a |an )?")
+NEGATION = re.compile(with_gaps(r"\b(?:not|never|no longer|isn't|aren't|nicht|rather than|instead of|unlike)(?: [a-z]{1,12}){0,2} \Z").encode())
+#: An expression of licence identifiers, and an identifier in it.
+SPDX = re.compile(rb"spdx-license-identifier:[ \t]*((?:[(][ \t]*)*[a-z0-9.+-]+(?:[ \t)]+(?:or|and|with)[ \t(]+[a-z0-9.+-]+)*)")
+SPDX_ID = re.compile(rb"[a-z0-9.+-]+")
+
+
 def suppress(found: list[tuple[int, int, int, int]]) -> list[int]:
     """Indexes of the detections (rank, order, start, end) that no better one contains.
 
@@ -279,6 +432,15 @@ class Scanner:
             self.words.add_word(keyword, keyword)
         self.words.make_automaton()
         self.compiled: dict[int, re.Pattern[bytes]] = {}
+        # The rules of forms by number; by form, each family's name; each family's identifier.
+        forms = [form for _, form, *_ in _fields(FORMS)]
+        families = _fields(FAMILIES)
+        self.forms = set(range(len(families) * len(forms)))
+        self.join, self.names, self.ids = re.compile(JOIN.encode()), {f: [] for f in forms}, []
+        for i, (_, _, name, spdx) in enumerate(families):
+            for j, form in enumerate(forms):
+                self.names[form].append((re.compile(f"(?:{with_gaps(name)})(?![a-z0-9])".encode()), i * len(forms) + j))
+            self.ids.append((re.compile(rf"(?:{spdx})(?:-only|-or-later|\+)?".encode()), i * len(forms)))
         gap = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
         edge = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
         self.base = [(re.compile(rb"(?<!" + edge + rb")" + gap.join(w.encode() for w in words) + rb"(?!" + edge + rb")"), label) for words, label in BASE.items()]
@@ -297,7 +459,8 @@ class Scanner:
         return [(m.start(), label) for pattern, label in self.base for m in pattern.finditer(low)]
 
     def detect(self, low: bytes) -> list[tuple[Rule, int, int]]:
-        """Detections in order of place that no better one contains."""
+        """Detections in order of place that no better one contains. Forms that are negated do not count;
+        names that a form's list goes on with, and all identifiers of an SPDX expression, do."""
         keys = {k for _, k in self.words.iter(self.gap.sub(b" ", low).decode("latin-1"))}
         found = []
         for order in sorted({o for k in keys for o in self.by_keyword.get(k, ())}):
@@ -306,9 +469,37 @@ class Scanner:
                 continue
             if order not in self.compiled:
                 self.compiled[order] = re.compile(rule.pattern.encode())
-            found += [(rule.rank, order, m.start(), m.end()) for m in self.compiled[order].finditer(low)]
+            for m in self.compiled[order].finditer(low):
+                if order not in self.forms:
+                    found.append((rule.rank, order, m.start(), m.end()))
+                elif not NEGATION.search(low, max(0, m.start() - 64), m.start()):
+                    found += [(rule.rank, order, m.start(), m.end()), *self.listed(low, rule, m.end())]
+        if "spdx-license-identifier" in keys:
+            found += self.identifiers(low)
+        found = sorted(set(found), key=lambda f: (f[1], f[2], f[3]))
         return [(self.rules[found[i][1]], *found[i][2:]) for i in suppress(found)]
 
+    def listed(self, low: bytes, rule: Rule, at: int) -> list[tuple[int, int, int, int]]:
+        """The names that follow a form's name in a list, by the same form of their families."""
+        form, out = rule.name.rpartition(":")[2], []
+        while join := self.join.match(low, at, at + 64):
+            ends = [(m.end(), order) for name, order in self.names[form] if (m := name.match(low, join.end(), join.end() + 128))]
+            if not ends:
+                break
+            at, order = max(ends, key=lambda e: (e[0], -e[1]))
+            out.append((rule.rank, order, join.end(), at))
+        return out
+
+    def identifiers(self, low: bytes) -> list[tuple[int, int, int, int]]:
+        """What the identifiers of SPDX expressions are, each at its place."""
+        out = []
+        for m in SPDX.finditer(low):
+            for one in SPDX_ID.finditer(low, m.start(1), m.end(1)):
+                order = next((o for pattern, o in self.ids if pattern.fullmatch(low, one.start(), one.end())), None)
+                if order is not None:
+                    out.append((self.rules[order].rank, order, one.start(), one.end()))
+        return out
+
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_words``, ``n_base``, ``first_word``, ``last_word``,
