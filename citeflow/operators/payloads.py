@@ -51,6 +51,23 @@ def question_payloads(questions: DataFrame, hits: DataFrame, *, k: int = 10) ->
     return out.withColumn("top_hits", F.coalesce("top_hits", none))
 
 
+def ranking_rows(questions: DataFrame, hits: DataFrame, *, k: int = 10) -> DataFrame:
+    """The first ``k`` hits of each question as rows of a saved ranking: question_id, the fields of ``hit_rows``,
+    and ``is_complete_hit_at_rank``: whether all evidence of the question is met by then."""
+    first = hits.where(F.col("rank") <= k)
+    complete = question_metrics(questions, first, ks=(k,)).select("question_id", "complete_rank")
+    rows = hit_rows(first).join(complete, "question_id", "left").select("question_id", "hit.*", "complete_rank")
+    return rows.withColumn("is_complete_hit_at_rank", F.coalesce(F.col("rank") >= F.col("complete_rank"), F.lit(False))).drop("complete_rank")
+
+
+def hits_from_items(scores: DataFrame, items: DataFrame, fields: list[str], *, source: str | None = None) -> DataFrame:
+    """(qid, rank, score, text, metadata) of ``scores`` (qid, rank, item, score): the stripped text of the item and
+    those of its ``fields`` that are there, as JSON; with ``source``, that too. Items with blank text are no hits."""
+    kept = [F.col(f) for f in fields if f in items.columns] + ([F.lit(source).alias("retrieval_source")] if source else [])
+    shown = items.select("item", T.strip(F.coalesce("text", F.lit(""))).alias("text"), F.to_json(F.struct(*kept)).alias("metadata")).where(F.length("text") > 0)
+    return scores.join(shown, "item").select("qid", "rank", "score", "text", "metadata")
+
+
 def focus(payloads: DataFrame, wanted: list[str], *, k: int = 10) -> DataFrame:
     """(question_id, first_complete_rank, recall_at_10, top_sections, labels) of the ``wanted`` few questions;
     one that is not there raises. Labels are sections with their sources."""

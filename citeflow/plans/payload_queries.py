@@ -6,10 +6,13 @@ import json
 import re
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from citeflow.functions import text as T
 from citeflow.operators import agent, evaluation, payloads, retrieval
+from citeflow.operators.tables import new_folder
 from citeflow.plans.queries import SQL_BM25, SQL_CONTEXT, SQL_EVAL, SQL_REF, SQL_SECTIONS, VERSION, context_rows, gold, query, questions, ref, sections, table
+from citeflow.sources import readers
 
 SQL_PAYLOADS = f"""{SQL_EVAL}, shown as (select qid, list(c.section order by c.rank) as top_sections, list(c.section || ':' || source order by c.rank) as labels, list(substr(s.text, 1, 260) order by c.rank) as previews
         from context c join sections s on s.section = c.section where c.rank <= 10 group by qid)"""
@@ -148,3 +151,40 @@ def ablation_variants(spark, sf_dir):
         expanded = evaluation.gold_expansion(g, found.where(F.col("variant") == name).drop("variant"))
         rows = rows.unionByName(expanded.select(F.lit(more).alias("variant"), "question_id", "rank", "section"))
     return evaluation.by_variant(g, rows).select("variant", "questions", "hit_at_1", "hit_at_10", "recall_at_10", "mrr")
+
+
+@query(f"""with {SQL_EVAL} select per.question_id, c.rank, c.section, c.source as retrieval_source, substr(s.text, 1, 260) as text_preview, coalesce(c.rank >= complete_rank, false) as is_complete_hit_at_rank
+    from per join context c on c.qid = per.question_id and c.rank <= 10 join sections s on s.section = c.section""")
+def saved_rankings(spark, sf_dir):
+    texts = sections(spark, sf_dir).select("section", "text")
+    hits = context_rows(spark, sf_dir).withColumnsRenamed({"qid": "question_id", "source": "retrieval_source"}).join(texts, "section")
+    return payloads.ranking_rows(gold(spark, sf_dir), hits).select("question_id", "rank", "section", "retrieval_source", "text_preview", "is_complete_hit_at_rank")
+
+
+@query(f"""with asked0 as (select item_id as qid, text as question from benchmark), {SQL_BM25} select qid, rank, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as text,
+        '{{"section":"' || {SQL_REF('doc_id')} || '"' || case when doc_id % 4 = 0 then '' else ',"heading":"' || source || '"' end || ',"title":12,"retrieval_source":"lexical"}}' as metadata
+    from bm join documents on doc = doc_id where rank <= 10 and doc_id % 5 <> 0""")
+def search_hits(spark, sf_dir):
+    """Lexical hits with their items' text and those of their fields that are there; blank items are no hits."""
+    d = table(spark, sf_dir, "documents").where("source is not null")
+    items = d.select(F.col("doc_id").alias("item"), F.expr("case when doc_id % 5 = 0 then ' ' else text end").alias("text"), F.expr(ref("doc_id")).alias("section"), F.expr("case when doc_id % 4 <> 0 then source end").alias("heading"), F.lit(12).alias("title"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    found = retrieval.bm25(table(spark, sf_dir, "documents"), asked).withColumnRenamed("doc", "item")
+    return payloads.hits_from_items(found, items, ["section", "heading", "title", "absent"], source="lexical").select("qid", "rank", "text", "metadata")
+
+
+@query(f"""with {SQL_SECTIONS}, u as (select doc_id, section, heading, case when doc_id % 2 = 0 then version_date end as version_date, case when doc_id % 3 = 0 then 'development' else 'test' end as split from sections)
+    select doc_id, section, heading, version_date, lower(section) as section_key from u where split = 'development'""")
+def json_sections(spark, sf_dir):
+    """Sections as JSON lines of two files with different columns and as an array inside a document, read back with
+    unique keys, as one table, the development split alone."""
+    s = sections(spark, sf_dir).withColumn("split", F.expr("case when doc_id % 3 = 0 then 'development' else 'test' end"))
+    wide, narrow = new_folder(spark, "wide"), new_folder(spark, "narrow")
+    fields = ["doc_id", "section", "heading", "split"]
+    readers.write_json_rows(s.where("doc_id % 2 = 0").select(*fields, "version_date"), wide)
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(8)).alias("file")
+    s.where("doc_id % 2 = 1").groupBy(block).agg(F.collect_list(F.struct(*fields)).alias("records")).write.partitionBy("file").json(narrow)
+    kinds = StructType.fromDDL("doc_id long, section string, heading string, split string, version_date string")
+    arrays = spark.read.option("recursiveFileLookup", True).schema("records array<struct<doc_id:bigint,section:string,heading:string,split:string>>").json(narrow).select(F.inline("records"))
+    both = readers.union_files([readers.read_sections(spark, wide, kinds), arrays.withColumn("section_key", T.section_key(F.col("section")))])
+    return readers.prefer_split(both).select("doc_id", "section", "heading", "version_date", "section_key")

@@ -109,3 +109,13 @@ def test_steps_and_their_limit(spark):
     for bad in ({"max_steps": 0}, {"top_k": 0}, {"most": -1}, {"max_steps": 5, "most": 2}):
         with pytest.raises(ValueError):
             agent.check_limits(**bad)
+
+
+def test_saved_rankings_and_hits(spark):
+    rows = payloads.ranking_rows(asked(spark).fillna("single_section", ["question_type"]), hits(spark)).orderBy("rank").collect()
+    assert [(r.rank, r.section, r.is_complete_hit_at_rank) for r in rows] == [(1, "1.1", False), (2, "5.5", False), (3, "2.3", True), (4, "6.6", True)]
+    items = spark.createDataFrame([(1, " a text\n", "1.1", None), (2, " \t", "2.2", "h"), (3, None, "3.3", "h"), (4, "b", "4.4", "h")], "item long, text string, section string, heading string")
+    scores = spark.createDataFrame([(7, i, i, 0.5) for i in (1, 2, 3, 4, 5)], "qid long, rank int, item long, score double")
+    found = payloads.hits_from_items(scores, items, ["section", "heading", "absent"], source="lexical").orderBy("rank").collect()
+    assert [(r.rank, r.text, json.loads(r.metadata)) for r in found] == [(1, "a text", {"section": "1.1", "retrieval_source": "lexical"}), (4, "b", {"section": "4.4", "heading": "h", "retrieval_source": "lexical"})]
+    assert json.loads(payloads.hits_from_items(scores, items, ["section"]).first().metadata).keys() == {"section"}
