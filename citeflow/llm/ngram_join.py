@@ -140,8 +140,9 @@ def candidates(met: DataFrame, signs: DataFrame, limit: int = 1000) -> DataFrame
     may be near; ``signs`` has ``_rep`` and ``_sig``. Buckets with more than ``limit`` members, of which
     there are few, are split over tasks.
 
-    In each bucket the members are checked against the first one. Those near enough are joined to it; those
-    that are very near are settled, the others are checked again among themselves. What two checks leave is
+    In each bucket the members are checked against the first one. Those near enough are joined to it; where
+    all are, the bucket is done. Else those that are very near are settled, the others are checked again
+    among themselves. What two checks leave is
     joined unchecked. No near pair of a bucket falls apart: a member that is joined to nothing is too far
     from the first one to be near a settled member.
     """
@@ -154,7 +155,9 @@ def candidates(met: DataFrame, signs: DataFrame, limit: int = 1000) -> DataFrame
         pairs = materialise(pairs.select("_rep", "_first", agreement("_sig", "_other").alias("_near")), "checked")
         new = pairs.where(F.col("_near") >= JOINED).select(F.col("_rep").alias("a"), F.col("_first").alias("b"))
         edges = new if edges is None else edges.union(new)
-        left = held.join(pairs.where(F.col("_near") < SETTLED).select("_rep", "_first"), ["_rep", "_first"], "left_semi").select("_key", "_rep")
+        # A bucket whose members are all joined to its first one is one group; nothing is left to find in it.
+        apart = held.join(pairs.where(F.col("_near") < JOINED).select("_rep", "_first"), ["_rep", "_first"], "left_semi").select("_key").distinct()
+        left = held.join(apart, "_key", "left_semi").join(pairs.where(F.col("_near") < SETTLED).select("_rep", "_first"), ["_rep", "_first"], "left_semi").select("_key", "_rep")
     rest = left.groupBy("_key").agg(F.min("_rep").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("_key").alias("a"), "m", "n")
     return edges.union(_with_least(left.select(F.col("_key").alias("a"), F.col("_rep").alias("b")), rest, limit).select(F.col("b").alias("a"), F.col("m").alias("b")))
 
