@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from citeflow.functions import text as T
 from citeflow.operators import agent, corpus, evaluation, retrieval, review, sampling
 from citeflow.plans.queries import (
-    SQL_CONTEXT, SQL_DENSE, SQL_EVAL, SQL_FETCH, SQL_JUDGED, SQL_REF, VERSION, _semantic, _typed, answered, chunks, context_rows, gold, judged, query, questions, ref, sections, table,
+    SQL_CONTEXT, SQL_DENSE, SQL_EVAL, SQL_FETCH, SQL_JUDGED, SQL_REF, _semantic, _typed, answered, chunks, context_rows, gold, judged, query, questions, ref, sections, table,
 )
 
 # --- search ---
@@ -343,7 +343,30 @@ def qa_assembly(spark, sf_dir):
 # --- samples ---
 
 
-@query()
+#: The kinds of question that a section serves, from its heading and text in lower case.
+SQL_KINDS = r"""list_filter([case when contains(h, 'applicability') or contains(h, 'scope') or contains(substr(t, 1, 1000), 'applies to') then 'applicability' end,
+        case when starts_with(trim(regexp_replace(h, '^§\s*\S+\s*', '')), 'authority') or starts_with(t, 'authority.') or contains(substr(t, 1, 500), '(a) authority.') or contains(substr(t, 1, 500), 'this part is issued pursuant to') then 'authority' end,
+        case when len(list_distinct(regexp_extract_all(t, '§+\s*([0-9]+[a-z]?(?:\.[0-9a-z-]+)+)', 1))) >= 2 then 'cross_section' end,
+        case when contains(h, 'definition') or (length(t) <= 3000 and len(regexp_extract_all(t, '\bmeans\b')) >= 2) then 'definition' end,
+        case when regexp_matches(t, '\b\d+(?:\.\d+)?\s*(?:%|percent|days?|months?|years?)\b') or regexp_matches(t, '\b(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2}(?:,\s+\d{4})?\b') then 'numeric_or_date' end,
+        case when len(regexp_extract_all(t, '\b(?:must|shall|required to|may not)\b')) >= 2 then 'obligation' end], lambda x: x is not null)"""
+SQL_POOL = rf"""{SQL_TYPED}, lowered as (select *, lower(heading) as h, lower(text) as t, split_part(section, '.', 1) as part, case when length(text) <= 900 then 'short' when length(text) <= 3000 then 'medium' else 'long' end as bucket,
+        sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) as hash from typed),
+    kinds as (select *, unnest({SQL_KINDS}) as kind from lowered where doc_id % 7 <> 0),
+    replaceable as (select *, trim(regexp_replace(h, '^§\s*\S+\s*', '')) as label from kinds where length(text) between 300 and 5000 and not contains(t, '[reserved]') and doc_id % 12 <> 0 and doc_id % 22 <> 0 and hash not in (select hash from lowered where doc_id % 30 = 1))"""
+#: A greedy draw: each turn takes, of the rows of its kind (and length class, while it has any), the first by unused part, length class and key.
+SQL_DRAW = """walk as (select 0::bigint as n, ''::varchar as kind, []::bigint[] as taken, []::varchar[] as parts, null::struct(used int, place int, key varchar, doc_id bigint, part varchar, section varchar, bucket varchar) as pick
+        union all select n, kind, list_append(taken, pick.doc_id), list_append(parts, pick.part), pick from (
+            select t.n, t.kind, w.taken, w.parts, coalesce(
+                (select min({{'used': list_contains(w.parts, p.part)::int, 'place': 0, 'key': p.key, 'doc_id': p.doc_id, 'part': p.part, 'section': p.section, 'bucket': p.bucket}}) from pool p where p.kind = t.kind and p.bucket = t.bucket and not list_contains(w.taken, p.doc_id)),
+                (select min({{'used': list_contains(w.parts, p.part)::int, 'place': list_position(['short', 'medium', 'long'], p.bucket)::int, 'key': p.key, 'doc_id': p.doc_id, 'part': p.part, 'section': p.section, 'bucket': p.bucket}}) from pool p where p.kind = t.kind and not list_contains(w.taken, p.doc_id))) as pick
+            from (select n, kind, taken, parts from (select w0.n, w0.kind, w0.taken, case when {same} then w0.parts else [] end as parts from walk w0 left join turns t0 on t0.n = w0.n + 1)) w join turns t on t.n = w.n + 1))"""
+
+
+@query(rf"""with recursive {SQL_POOL}, pool as (select doc_id, kind, bucket, part, section, sha256('7|' || kind || '|' || doc_id) as key from kinds where length(text) between 250 and 20000),
+    turns as (select (k - 1) * 5 + i + 1 as n, ['authority', 'applicability', 'cross_section', 'definition', 'numeric_or_date', 'obligation'][k::int] as kind, ['short', 'medium', 'long'][(i % 3 + 1)::int] as bucket from range(1, 7) a(k), range(5) b(i)),
+    {SQL_DRAW.format(same='t0.kind = w0.kind')}
+    select n::int as candidate_no, kind as question_type, pick.doc_id as document_id, pick.part as part, pick.section as section, pick.bucket as length_bucket from walk where n > 0""")
 def quota_sample(spark, sf_dir):
     return sampling.select_candidates(eval_sections(spark, sf_dir), {t: 5 for t in sampling.TYPE_ORDER}, 7)
 
@@ -361,12 +384,22 @@ def replacement_pool(spark, sf_dir):
     return _replaceable(spark, sf_dir).select("document_id", "section", sampling.heading_title(F.col("heading")).alias("title"))
 
 
-@query()
+@query(rf"""with recursive {SQL_POOL}, strong as (select * from replaceable where case kind when 'applicability' then starts_with(label, 'applicability') or starts_with(label, 'scope') or contains(substr(t, 1, 700), 'applies to')
+        when 'obligation' then true when 'definition' then contains(label, 'definition') and contains(' ' || t || ' ', ' means ') else false end),
+    pool as (select doc_id, kind, '' as bucket, part, section, sha256('7|replacement-exp-006|' || kind || '|' || doc_id) as key from strong),
+    turns as (select unnest([1, 2, 3, 4, 5])::bigint as n, unnest(['applicability', 'applicability', 'obligation', 'obligation', 'definition']) as kind, '' as bucket),
+    {SQL_DRAW.format(same='true')}
+    select n::int as replacement_no, kind as question_type, pick.doc_id as document_id, pick.part as part, pick.section as section from walk where n > 0""")
 def replacement_sample(spark, sf_dir):
     return sampling.sample_replacements(_replaceable(spark, sf_dir), replacement_for="replacement-exp-006", seed=7)
 
 
-@query()
+@query(rf"""with {SQL_POOL}, wanted as (select 'title12-exp-001' as candidate_id, doc_id, section, kind from replaceable where kind = 'obligation'
+        union all select 'title12-exp-002', doc_id, section, kind from replaceable where kind = 'numeric_or_date' and regexp_matches(t, '\b\d+(?:\.\d+)?\s*(?:percent|days?|months?|years?|calendar days?|business days?)\b')),
+    ranked as (select *, row_number() over (partition by candidate_id order by sha256('7|deficit-replacement|' || candidate_id || '|' || kind || '|' || doc_id)) as place from wanted),
+    first as (select * from ranked where candidate_id = 'title12-exp-001' and place <= 5),
+    second as (select candidate_id, doc_id, section, kind, row_number() over (order by place) as place from ranked where candidate_id = 'title12-exp-002' and doc_id not in (select doc_id from first))
+    select candidate_id, place::int as place, doc_id as document_id, section from (select candidate_id, doc_id, section, place from first union all select candidate_id, doc_id, section, place from second where place <= 5)""")
 def deficit_shortlists(spark, sf_dir):
     kinds = [("title12-exp-001", "obligation"), ("title12-exp-002", "numeric_or_date")]
     return sampling.deficit_shortlists(_replaceable(spark, sf_dir), spark.createDataFrame(kinds, "candidate_id string, question_type string"), seed=7)

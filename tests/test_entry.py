@@ -15,7 +15,7 @@ def test_registry():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", ["dense_topk", "classify_sections", "context_search", "answer_policy"])
+@pytest.mark.parametrize("name", ["dense_topk", "classify_sections", "context_search", "answer_policy", "chunk_spans", "index_build_resumed", "family_split_balanced", "trace_store", "xml_snapshot", "judge_repair"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
