@@ -301,7 +301,8 @@ def row_classes(
     parts = F.greatest(F.ceil(F.col("_members") / block), F.ceil(F.col("_all") / BLOCK_GRAMS)).cast("int")
     total = nodes.agg(F.count(F.lit(1)), F.sum("_grams")).first()
     bins = max(1, math.ceil(total[0] / block), math.ceil((total[1] or 0) / BLOCK_GRAMS))
-    member = sized.select("root", F.col("node").alias("_rep"), "_copies", parts.alias("_parts"), F.pmod(hash64("node"), parts).cast("int").alias("_block"))
+    # Written, so that Spark knows how few the members are before it decides whether texts have to be shuffled.
+    member = materialise(sized.select("root", F.col("node").alias("_rep"), "_copies", parts.alias("_parts"), F.pmod(hash64("node"), parts).cast("int").alias("_block")), "sized")
     texts = docs.select(F.col(id_col).alias("_rep"), F.col(text_col).alias("_text"))
     held = member.join(texts, "_rep")
     mates = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.least(F.col("_block"), j).alias("i"), F.greatest(F.col("_block"), j).alias("j")))
