@@ -43,8 +43,8 @@ CUES = {
     "tax_id": "ssn,social security,tax id,steuer-id,sozialversicherung",
     "local_phone": "tel:,tel.,telephone,phone,mobile,telefon,téléphone,teléfono,handy,fax",
 }
-# Ways to write an at-sign and a dot in words.
-AT_WORDS, DOT_WORDS = ("[at]", "(at)", "{at}"), ("[dot]", "(dot)", "{dot}")
+# Ways to write an at-sign in words.
+AT_WORDS = ("[at]", "(at)", "{at}")
 # Path parts after which a web address names a person's page.
 PERSON_PATHS = ("/~", "/@", "/in/", "/u/", "/user/", "/users/", "/profile/", "/people/", "/author/")
 
@@ -59,8 +59,6 @@ _MASKED = re.compile(r"[ ]?([A-Za-z0-9-]{1,63}(?:[ ]?(?:\[dot\]|\(dot\)|\{dot\}|
 _ISSUER = re.compile(r"4|5[1-5]|2[2-7]|3[47]|35|6011|65")
 _MAC = re.compile(r"(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z:-])")
 
-Span = tuple[int, int]
-
 
 def run_left(text: str, at: int, low: int, inside: frozenset[str]) -> int:
     """Where the run of characters of ``inside`` that ends before ``at`` starts, not before ``low``."""
