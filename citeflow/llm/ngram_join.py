@@ -26,7 +26,7 @@ from citeflow.llm.shared import ROW, hash64, materialise, numbered, wrapped, wor
 
 _WORD = re.compile(r"\w+")
 #: Columns of a set-by-n-gram matrix that are held at once.
-STRIP = 8192
+STRIP = 4096
 #: N-grams that a block of representatives holds (or one representative).
 BLOCK_GRAMS = 1 << 21
 #: A signature's estimate that joins a bucket's member to its first one, and the one from which nothing that
