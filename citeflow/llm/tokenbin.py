@@ -100,7 +100,7 @@ def sequence_parts(tokens: DataFrame, *, length: int, key: int) -> DataFrame:
     n = _sequences(tokens, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_memory("shards")  # lets go of what the tokenizer remembers
+        worker_memory("shards")  # lets go of the tokenizer
         for whole in batches:
             for batch in by_bytes(whole, 2):
                 starts, counts = (batch.column(k).to_numpy() for k in (0, 1))
@@ -142,7 +142,7 @@ def read_shards(spark: SparkSession, path: str, *, length: int, shard_records: i
     stride = BYTES * (length + 1)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_memory("shards")  # lets go of what the tokenizer remembers
+        worker_memory("shards")  # lets go of the tokenizer
         for b in batches:
             for shard, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = np.frombuffer(content.as_buffer(), np.uint8)
