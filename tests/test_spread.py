@@ -18,10 +18,12 @@ def test_spread_out(spark, name):
     for f in glob.glob(f"{DATA}/*.parquet"):
         con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    spark.conf.set("spark.sql.shuffle.partitions", 23)
     try:
         rows = entry.queries()[name](spark, DATA).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
     want = con.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     plain = lambda rows: sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
