@@ -28,7 +28,8 @@ def verify(citations: DataFrame, sections: DataFrame, *, version: str, title: in
     ``sections`` has section, version_date, source_url, safe_for_citation. A section that is not there is
     found = false, with no checks (a single lookup would raise)."""
     s = sections.select(T.section_key(F.col("section")).alias("_key"), "version_date", "source_url", F.coalesce("safe_for_citation", F.lit(False)).alias("safe"), F.col("section").alias("_s"))
-    j = citations.withColumn("_key", T.section_key(F.col("section"))).join(s, "_key", "left")
+    citations = citations.withColumn("_key", T.section_key(F.col("section")))
+    j = citations.join(s.join(citations.select("_key").distinct(), "_key", "left_semi"), "_key", "left")
     found = F.col("_s").isNotNull()
     values = [found, F.col("version_date") == version, F.col("source_url") == T.section_url(F.col("_s"), F.col("version_date"), title), F.col("safe")]
     values = [F.coalesce(v, F.lit(False)) for v in values]

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from citeflow.functions import text as T
 from citeflow.operators import agent, evaluation, payloads, retrieval
-from citeflow.operators.tables import new_folder
+from citeflow.operators.tables import new_folder, stored
 from citeflow.plans.queries import SQL_BM25, SQL_CONTEXT, SQL_EVAL, SQL_REF, SQL_SECTIONS, VERSION, context_rows, gold, query, questions, ref, sections, table
 from citeflow.sources import readers
 
@@ -93,9 +93,9 @@ SQL_RUNS = f"""{SQL_CONTEXT}, fetch0 as (select * from (select qid, section, sou
 
 def _runs(spark, sf_dir, max_steps=3):
     """Runs that may fetch nothing but do fetch a cited section, and so can exceed their steps."""
-    evidence = context_rows(spark, sf_dir).checkpoint()
-    fetched = agent.sections_to_fetch(evidence, 0).checkpoint()
-    checked = agent.verify(fetched, sections(spark, sf_dir), version=VERSION).checkpoint()
+    evidence = context_rows(spark, sf_dir)
+    fetched = stored(agent.sections_to_fetch(evidence, 0), "fetched")
+    checked = stored(agent.verify(fetched, sections(spark, sf_dir), version=VERSION), "checked")
     answers = agent.final_answers(questions(spark, sf_dir), evidence, fetched, checked)
     steps = agent.run_steps(questions(spark, sf_dir), evidence, fetched, checked, answers, max_steps=max_steps, most=0).checkpoint()
     return evidence, steps, agent.limited_answers(answers, evidence, steps)
