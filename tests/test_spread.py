@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", ["dense_topk", "dense_eval_hit_mrr", "compare_indexes"])
+@pytest.mark.parametrize("name", ["dense_topk", "dense_eval_hit_mrr", "compare_indexes", "vector_hybrid"])
 def test_spread_out(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
