@@ -101,3 +101,16 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(2, "again")], "doc_id long, text string").write.mode("append").parquet(src)
     ingest_chunks(spark, src, out, cp, d.schema)
     assert sorted(r.document_id for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_similar_texts_at_once_equal_single_ratios():
+    import random
+    from difflib import SequenceMatcher
+
+    made = random.Random(8)
+    words = ["".join(made.choices("abcdefghijklmnop", k=made.randint(3, 9))) for _ in range(400)]
+    base = [made.choices(words, k=n) for n in (2, 30, 60, 60)]
+    texts = [" ".join(w if made.random() < keep else made.choice(words) for w in made.choice(base)) for keep in [1, 0.97, 0.9, 0.6] * 40]
+    a, b = texts[:80], texts[80:]
+    want = {(i, j): r for i, x in enumerate(a) for j, y in enumerate(b) if min(len(x), len(y)) / max(len(x), len(y)) >= 0.8 and (r := SequenceMatcher(None, x, y).ratio()) >= 0.85}
+    assert {(i, j): r for i, j, r in corpus.similar(a, b, 0.85, 0.8)} == want and len(want) > 100
